@@ -201,7 +201,7 @@ def top_k(
     """
     shaped, filters = _prepare_queries(queries, k, score_threshold)
     narrow = _collection_columns(collection, filters)
-    size = shaped.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    size = shaped.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.max("k").alias("k")).first()
     query_bytes = size["n"] * (size["d"] or 0) * 8
     id_type = narrow.schema["id"].dataType
     schema = T.StructType([
@@ -214,7 +214,7 @@ def top_k(
     else:
         partial = _grid_form(shaped, narrow, filters, schema, digits, query_bytes, cell_bytes)
     many_tasks = len(narrow.inputFiles()) > 4 * MERGE_FAN_IN
-    return _merge(partial, shaped, "k" in queries.columns, k, many_tasks)
+    return _merge(partial, shaped, "k" in queries.columns, size["k"] or k, many_tasks)
 
 
 def _broadcast_form(shaped, narrow, filters, schema, digits) -> DataFrame:
@@ -254,10 +254,9 @@ def _grid_form(shaped, narrow, filters, schema, digits, query_bytes, cell_bytes)
     return left.groupBy("_qc", "_rc").cogroup(right.groupBy("_qc", "_rc")).applyInPandas(meet, schema)
 
 
-def _merge(partial: DataFrame, shaped: DataFrame, varying_k: bool, k: int, many_tasks: bool) -> DataFrame:
+def _merge(partial: DataFrame, shaped: DataFrame, varying_k: bool, widest: int, many_tasks: bool) -> DataFrame:
     """Rank the per-task winners; a salted first pass bounds the rows any one task sorts for a query."""
     best_first = [F.desc("score"), F.asc("id")]
-    widest = shaped.agg(F.max("k")).first()[0] or k
     salted = Window.partitionBy("query_id", "_salt").orderBy(*best_first)
     final = Window.partitionBy("query_id").orderBy(*best_first)
     if many_tasks:
