@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from checks import dataset, retrieval, text  # noqa: F401
+from checks import collections, dataset, retrieval, text  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -134,7 +134,7 @@ def concordance_source(t: Tables):
 def parse_only_mentioned(t: Tables):
     features = concordance.feature_properties(feature_lines(t))
     kept = concordance.worth_parsing(features, t.view("city_src").where("population > 300000").select("geoname_id"))
-    return enrich.scan_report(features, kept, concordance.parse_features(kept, "city"))
+    return enrich.scan_report(features, concordance.parse_features(kept, "city"))
 
 
 @register(

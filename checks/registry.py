@@ -22,7 +22,7 @@ VIEWS: dict[str, str] = {
                     ELSE 'South America' END AS continent,
                m.capital, 'Currency ' || CAST(n.n_regionkey AS STRING) AS currency_name, m.population
         FROM nation n
-        LEFT JOIN (SELECT c_nationkey, MIN(c_name) AS capital, COUNT(*) * 1000 AS population FROM customer GROUP BY c_nationkey) m
+        LEFT JOIN (SELECT c_nationkey, MIN(c_name) AS capital, COUNT(*) * 100000 AS population FROM customer GROUP BY c_nationkey) m
           ON m.c_nationkey = n.n_nationkey""",
     "city_src": """
         SELECT c_custkey AS geoname_id, c_name AS name,

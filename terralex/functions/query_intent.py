@@ -21,6 +21,11 @@ def _any_match(text: Column, patterns) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times, which keeps the generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def country_intent(folded: Column) -> Column:
     return _any_match(folded, fv.COUNTRY_INTENT_PATTERNS)
 
@@ -57,12 +62,12 @@ def requested_capital(text: Column, folded: Column, wants_country: Column) -> Co
 
 def constraints(text: Column, folded: Column | None = None) -> Column:
     folded = fold(text) if folded is None else folded
-    wants_country = country_intent(folded)
-    return F.struct(
-        F.when(wants_country, F.lit("country")).alias("entity_type"),
-        requested_continent(folded).alias("continent"),
-        requested_capital(text, folded, wants_country).alias("capital"),
-    )
+    seen = F.struct(text.alias("text"), folded.alias("folded"), country_intent(folded).alias("wants"))
+    return _let(seen, lambda x: F.struct(
+        F.when(x["wants"], F.lit("country")).alias("entity_type"),
+        requested_continent(x["folded"]).alias("continent"),
+        requested_capital(x["text"], x["folded"], x["wants"]).alias("capital"),
+    ))
 
 
 def constrained(constraint: Column) -> Column:
@@ -73,32 +78,50 @@ def constrained(constraint: Column) -> Column:
     )
 
 
-def equivalent_text(left: Column, right: Column) -> Column:
-    a, b = fold(left), fold(right)
+def _equivalent_folded(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
 
-def edit_similarity(left: Column, right: Column) -> Column:
-    a, b = F.replace(fold(left), F.lit(" "), F.lit("")), F.replace(fold(right), F.lit(" "), F.lit(""))
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(
-        F.lit(1.0) - F.levenshtein(a, b).cast("double") / longest.cast("double")
+def _similarity_folded(a: Column, b: Column) -> Column:
+    left, right = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    longest = F.greatest(F.length(left), F.length(right))
+    return F.when((left == "") | (right == ""), F.lit(0.0)).otherwise(
+        F.lit(1.0) - F.levenshtein(left, right).cast("double") / longest.cast("double")
     )
 
 
+def equivalent_text(left: Column, right: Column) -> Column:
+    pair = F.struct(fold(left).alias("a"), fold(right).alias("b"))
+    return _let(pair, lambda x: _equivalent_folded(x["a"], x["b"]))
+
+
+def edit_similarity(left: Column, right: Column) -> Column:
+    pair = F.struct(fold(left).alias("a"), fold(right).alias("b"))
+    return _let(pair, lambda x: _similarity_folded(x["a"], x["b"]))
+
+
 def rejection_reasons(result_type: Column, continent: Column, capital: Column, wanted: Column) -> Column:
     """Why a result contradicts the constraints; an empty array accepts it."""
     type_clash = wanted["entity_type"].isNotNull() & ~F.coalesce(result_type == wanted["entity_type"], F.lit(False))
-    continent_clash = wanted["continent"].isNotNull() & ~equivalent_text(continent, wanted["continent"])
-    same_capital = equivalent_text(capital, wanted["capital"]) | (
-        edit_similarity(capital, wanted["capital"]) >= fv.CAPITAL_SIMILARITY_FLOOR
+    seen = F.struct(
+        type_clash.alias("type_clash"),
+        wanted["continent"].isNotNull().alias("has_continent"), wanted["capital"].isNotNull().alias("has_capital"),
+        fold(continent).alias("continent"), fold(wanted["continent"]).alias("wanted_continent"),
+        fold(capital).alias("capital"), fold(wanted["capital"]).alias("wanted_capital"),
     )
-    capital_clash = wanted["capital"].isNotNull() & ~same_capital
-    return F.array_compact(F.array(
-        F.when(type_clash, F.lit(fv.REASON_TYPE)),
-        F.when(continent_clash, F.lit(fv.REASON_CONTINENT)),
-        F.when(capital_clash, F.lit(fv.REASON_CAPITAL)),
-    ))
+
+    def judge(x: Column) -> Column:
+        same_continent = _equivalent_folded(x["continent"], x["wanted_continent"])
+        same_capital = _equivalent_folded(x["capital"], x["wanted_capital"]) | (
+            _similarity_folded(x["capital"], x["wanted_capital"]) >= fv.CAPITAL_SIMILARITY_FLOOR
+        )
+        return F.array_compact(F.array(
+            F.when(x["type_clash"], F.lit(fv.REASON_TYPE)),
+            F.when(x["has_continent"] & ~same_continent, F.lit(fv.REASON_CONTINENT)),
+            F.when(x["has_capital"] & ~same_capital, F.lit(fv.REASON_CAPITAL)),
+        ))
+
+    return _let(seen, judge)
 
 
 def non_geographic_intent(folded: Column) -> Column:

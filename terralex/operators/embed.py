@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -28,14 +29,23 @@ class CharacterGrams:
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
+        self._slots: dict[str, tuple[int, float]] = {}
+
+    def _slot(self, gram: str) -> tuple[int, float]:
+        if gram not in self._slots:
+            if len(self._slots) > 1_000_000:
+                self._slots.clear()
+            number = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+            self._slots[gram] = (number % self.dimension, 1.0 if number >> 63 else -1.0)
+        return self._slots[gram]
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), dtype=np.float32)
         for row, text in enumerate(texts):
             padded = f"  {text.lower()} "
-            for i in range(len(padded) - 2):
-                slot = int.from_bytes(hashlib.blake2b(padded[i:i + 3].encode(), digest_size=8).digest(), "big")
-                out[row, slot % self.dimension] += 1.0 if slot >> 63 else -1.0
+            for gram, count in Counter(padded[i:i + 3] for i in range(len(padded) - 2)).items():
+                slot, sign = self._slot(gram)
+                out[row, slot] += sign * count
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         out[:, 0] = np.where(norms[:, 0] == 0, 1.0, out[:, 0])
         return out / np.where(norms == 0, 1.0, norms)

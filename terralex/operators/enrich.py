@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.functions.text import append_aliases
 from terralex.operators.normalize import gazetteer_id
-from terralex.operators.validate import normalise_entities
 
 
 def eligible_names(names: DataFrame) -> DataFrame:
@@ -159,15 +158,13 @@ def concordance_report(applied: DataFrame) -> DataFrame:
     )
 
 
-def scan_report(features: DataFrame, kept: DataFrame, parsed: DataFrame) -> DataFrame:
+def scan_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """scanned, skipped without parsing, and invalid feature counts as one row."""
-    def one(df: DataFrame, **aggregates) -> DataFrame:
-        return df.agg(*[v.alias(k) for k, v in aggregates.items()])
-
-    counts = one(features, scanned=F.count("*")).crossJoin(F.broadcast(one(kept, parsed=F.count("*")))).crossJoin(
-        F.broadcast(one(parsed, invalid=F.count_if(F.size("_errors") > 0)))
+    scanned = lines.agg(F.count("*").alias("scanned"))
+    seen = parsed.agg(F.count("*").alias("parsed"), F.count_if(F.size("_errors") > 0).alias("invalid"))
+    return scanned.crossJoin(F.broadcast(seen)).select(  # one row each
+        "scanned", (F.col("scanned") - F.col("parsed")).alias("skipped_unmatched"), "invalid"
     )
-    return counts.select("scanned", (F.col("scanned") - F.col("parsed")).alias("skipped_unmatched"), "invalid")
 
 
 def enrichment_status(attempted: int, succeeded: int) -> str:
@@ -183,7 +180,3 @@ def ambiguity_samples(matched: DataFrame, candidates: DataFrame, n: int = fv.SAM
     picked = matched.where(F.col("match") == "ambiguous").select("type", "gn_id", "id").orderBy("id").limit(n)
     pairs = candidates.select(F.col("gn_id").cast("string").alias("gn_id"), "wof_id").distinct()
     return picked.join(pairs, "gn_id").select("type", "gn_id", "wof_id")
-
-
-def renormalise(df: DataFrame) -> DataFrame:
-    return normalise_entities(df)

@@ -28,11 +28,19 @@ def _derived(df: DataFrame) -> DataFrame:
     })
 
 
-def progress_snapshots(batches: DataFrame) -> DataFrame:
-    """Per-batch metrics -> cumulative snapshots per run, in batch order (one row per batch, not per document)."""
+def progress_snapshots(batches: DataFrame, every: int = 1) -> DataFrame:
+    """Per-batch metrics -> cumulative snapshots per run at the first batch and at every `every`-th one.
+
+    Batches are summed per publishing step before the running totals, so a run's window holds its
+    published snapshots only (about one hundred with the default step), however many batches it had.
+    """
+    step = F.when(F.col("batch") == 1, F.lit(0)).otherwise(F.ceil(F.col("batch") / every))
+    counters = ("embedded", "upserted", "skipped_existing", "elapsed_ms", "embedding_ms", "upsert_ms")
+    summed = batches.groupBy("run_id", step.alias("_step")).agg(
+        F.max("batch").alias("batch"), F.max("total").alias("total"), *[F.sum(c).alias(c) for c in counters]
+    )
     order = Window.partitionBy("run_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = ("embedded", "upserted", "skipped_existing", "elapsed_ms", "embedding_ms", "upsert_ms")
-    return _derived(batches.withColumns({c: F.sum(c).over(order) for c in summed}))
+    return _derived(summed.drop("_step").withColumns({c: F.sum(c).over(order) for c in counters}))
 
 
 def running_progress(batches: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from terralex import fixed_values as fv
 from terralex.operators import enrich, quality
 from terralex.operators.filters import dataset_options
 from terralex.operators.normalize import city_entities, country_entities, gazetteer_id, select_representative
-from terralex.session import fail_on_errors
+from terralex.session import fail_on_errors, materialise
 from terralex.sources import concordance, gazetteer
 
 
@@ -88,13 +88,12 @@ def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[],
 def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFrame, dict]:
     features = concordance.feature_properties(lines)
     targets = typed.select(gazetteer_id().alias("geoname_id")).where(F.col("geoname_id").isNotNull())
-    kept = concordance.worth_parsing(features, targets)
-    parsed = concordance.parse_features(kept, kind)
+    parsed = materialise(concordance.parse_features(concordance.worth_parsing(features, targets), kind))
     candidates = parsed.where("_admissible").select("gn_id", "wof_id", "placetype", "name_en", "name_vi", "aliases_en", "aliases_vi")
-    matched = enrich.match_concordance(typed, candidates)
-    applied = enrich.apply_concordance(matched, typed.columns)
+    matched = materialise(enrich.match_concordance(typed, candidates))
+    applied = materialise(enrich.apply_concordance(matched, typed.columns))
     totals = enrich.concordance_report(applied).where(F.col("type").isNull()).first()
-    scan = enrich.scan_report(features, kept, parsed).first()
+    scan = enrich.scan_report(lines, parsed).first()
     samples = [
         {"type": r["type"], "geonamesId": r["gn_id"], "candidates": r["n"], "smallestCandidate": r["w"]}
         for r in matched.where("match = 'ambiguous'").select("type", "gn_id", F.col("c_candidate_count").alias("n"), F.col("c_wof_id").alias("w")).orderBy("gn_id").limit(fv.SAMPLE_LIMIT).collect()
@@ -110,13 +109,14 @@ def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFra
 def build_dataset(dumps: Dumps, sources=fv.PUBLIC_SOURCES, types=fv.BACKBONE_TYPES, limit: int | None = None) -> tuple[DataFrame, dict]:
     """(entities, manifest). Selection comes before enrichment, so only survivors are enriched."""
     options = dataset_options(sources, types, limit)
-    backbone = load_backbone(dumps, options["loaded_types"])
+    backbone = materialise(load_backbone(dumps, options["loaded_types"]))
     before = backbone.count()
     selected = select_representative(backbone, options["limit"]) if limit is not None and limit < before else backbone
-    entities = enrich_names(selected, dumps.alternate_names)
+    entities = materialise(enrich_names(selected, dumps.alternate_names))
     report = {"status": "disabled", "requested": 0, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0}
     if "wof" in options["sources"]:
         entities, report = enrich_concordance(entities, dumps.features)
+        entities = materialise(entities)
     totals, continents = quality.coverage(entities), quality.continent_coverage(entities)
     failures = quality.coverage_failures(totals, continents)
     if failures:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder and read it back: later passes scan columns instead of
+    recomputing, and a lost executor costs a re-read only."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def require(condition: Column, message: str | Column) -> Column:
     """A predicate for `where` that keeps every row and fails the job on the first violation."""
     text = F.lit(message) if isinstance(message, str) else message
