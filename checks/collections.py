@@ -18,7 +18,7 @@ from terralex.operators.normalize import gazetteer_id
 from terralex.operators.validate import normalise_entities
 from terralex.plans import evaluate, load_collection
 from terralex.plans.build_dataset import Dumps, build_dataset
-from terralex.session import ensure_checkpoint_dir, fail_on_errors
+from terralex.session import ensure_checkpoint_dir, fail_on_errors, materialise
 from terralex.sources import logs
 from terralex.sources.collection_store import CollectionStore
 from terralex.sources.entities import read_json_document, write_dataset, write_report
@@ -183,7 +183,7 @@ def digest_sums(t: Tables):
 
 @register("A18_fingerprint_properties", "SELECT TRUE AS order_free, TRUE AS content_sensitive, TRUE AS version_sensitive, TRUE AS identity_sensitive, count(*) AS entities FROM ent", "ent")
 def fingerprint_properties(t: Tables):
-    rows = inputs.entities(t)
+    rows = inputs.stored_entities(t)
     meta = {"embedding_model": "m", "embedding_version": "1", "dataset_version": "d"}
     base = fingerprint.index_fingerprint(rows, meta)
     shuffled = fingerprint.index_fingerprint(rows.repartition(5, "region").select(*reversed(rows.columns)), meta)
@@ -239,7 +239,7 @@ META = {"embedding_model": "grams", "embedding_version": "1", "dataset_version":
 def load(t: Tables):
     """Load, then load again: the second run changes nothing."""
     store = CollectionStore(t.spark, scratch(t), buckets=8)
-    rows = inputs.entities(t)
+    rows = inputs.stored_entities(t)
     modes = [load_collection.load_collection(rows, store, make_grams, META, "v2.1")["mode"] for _ in range(2)]
     return store.read().select("entity_id", F.lit("|".join(modes)).alias("modes"), F.size("embedding").cast("bigint").alias("size"))
 
@@ -248,7 +248,7 @@ def load(t: Tables):
 def resume_load(t: Tables):
     """A load interrupted after the cities writes only the countries."""
     store = CollectionStore(t.spark, scratch(t), buckets=8)
-    rows = inputs.entities(t)
+    rows = inputs.stored_entities(t)
     value = fingerprint.index_fingerprint(rows, META, "v2.1")["value"]
     cities = load_collection.to_points(rows.where("type = 'city'"), META | {"index_fingerprint": value}, "v2.1")
     store.insert(embed_texts(cities, "document", make_grams))
@@ -269,7 +269,7 @@ def plan_dry_run(t: Tables):
 def search_loaded(t: Tables):
     """Every entity's document text finds a document with the same vector in the loaded collection."""
     store = CollectionStore(t.spark, scratch(t), buckets=8)
-    load_collection.load_collection(inputs.entities(t), store, make_grams, META, "v2.1")
+    load_collection.load_collection(inputs.stored_entities(t), store, make_grams, META, "v2.1")
     points = store.read()
     queries = embed_distinct(points.select(F.col("entity_id").alias("query_id"), "document"), "document", make_grams).select("query_id", "embedding")
     found = top_k(queries, load_collection.resolve_vectors(points), 1)
@@ -340,7 +340,7 @@ _CAND = {
 def _candidate_inputs(t: Tables):
     near = F.when((F.col("type") == "city") & (gazetteer_id() % 10 == 3), F.concat(F.lit("near "), F.col("_cap")))
     caps = t.view("country_src").select(F.col("iso2").alias("country_code"), F.col("capital").alias("_cap"))
-    rows = inputs.entities(t).join(caps, "country_code").withColumn("description", F.col("description").withField("en", near)).drop("_cap")
+    rows = materialise(inputs.entities(t).join(caps, "country_code").withColumn("description", F.col("description").withField("en", near)).drop("_cap"))
     cases = t.view("country_src").where("continent IN ('Africa', 'Asia')").select(
         F.concat(F.lit("c"), F.lpad(F.col("geoname_id").cast("string"), 2, "0")).alias("id"), F.lit("en").alias("language"),
         F.concat(F.lit("Which country is "), F.col("country_name")).alias("query"),
@@ -437,7 +437,7 @@ _BATCHES = {
 
 def _progress_sql(source: str) -> str:
     return f"""SELECT run_id, batch, embedded::BIGINT AS embedded, upserted::BIGINT AS upserted, round(least(100, (upserted + skipped) * 100.0 / total), 3) AS percent, round(upserted / (ms / 1000), 3) AS rate_per_second,
-               round(CASE WHEN total - upserted - skipped > 0 THEN (total - upserted - skipped) / (upserted / (ms / 1000)) * 1000 ELSE 0 END, 3) AS eta_ms FROM {source}"""
+               round(CASE WHEN upserted > 0 AND total - upserted - skipped > 0 THEN (total - upserted - skipped) / (upserted / (ms / 1000)) * 1000 ELSE 0 END, 3) AS eta_ms FROM {source}"""
 
 
 def _batches(df):

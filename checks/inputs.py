@@ -9,7 +9,7 @@ from checks.registry import Tables
 from terralex.operators.knn import top_k
 from terralex.operators.normalize import city_entities, country_entities
 from terralex.operators.ranking import case_evidence
-from terralex.session import fail_on_errors
+from terralex.session import fail_on_errors, materialise
 
 DIGITS = 9
 
@@ -39,6 +39,15 @@ def entities(t: Tables) -> DataFrame:
     return city_rows(t).unionByName(country_rows(t))
 
 
+def stored_entities(t: Tables) -> DataFrame:
+    """The entities as a stored table, which is how jobs after the dataset build receive them."""
+    return materialise(entities(t))
+
+
+def stored_evidence(t: Tables, **options) -> DataFrame:
+    return materialise(evidence(t, **options))
+
+
 def collection(t: Tables) -> DataFrame:
     return t.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -15,6 +15,7 @@ from terralex.operators.filters import compile_filter
 from terralex.operators.knn import top_k
 from terralex.plans import calibrate as calibration
 from terralex.plans import evaluate, gates
+from terralex.session import materialise
 
 SWEEP = tuple(round(0.30 + i * 0.01, 6) for i in range(21))
 SWEEP_SQL = "(SELECT round(0.30 + i * 0.01, 6) AS threshold FROM range(21) g(i))"
@@ -247,7 +248,7 @@ def separation(t: Tables):
     "SELECT threshold, round(lo - threshold, 6) AS answerable_headroom, round(threshold - hi, 6) AS no_answer_headroom, "
     "round(least(lo - threshold, threshold - hi), 6) AS guard_band FROM swept, gap", "cases", then=sql_evidence() | _SWEEP_CTES | _GAP)
 def guard_band(t: Tables):
-    evidence = inputs.evidence(t)
+    evidence = inputs.stored_evidence(t)
     guarded = calibrate.with_guard_band(calibrate.sweep(evidence, SWEEP), evidence)
     return rounded(guarded, "answerable_headroom", "no_answer_headroom", "guard_band").select(
         "threshold", "answerable_headroom", "no_answer_headroom", "guard_band")
@@ -259,7 +260,7 @@ def guard_band(t: Tables):
     "round(answerable_top1_accuracy, 9) DESC, round(no_answer_accuracy, 9) DESC, round(least(lo - threshold, threshold - hi), 9) DESC, "
     "abs(threshold - 0.4), threshold LIMIT 1", "cases", then=sql_evidence() | _SWEEP_CTES | _GAP)
 def robust_threshold(t: Tables):
-    return calibration.robust(inputs.evidence(t), SWEEP, 0.4)["recommended"].select("threshold", "tp", "fp", "fn", "tn")
+    return calibration.robust(inputs.stored_evidence(t), SWEEP, 0.4)["recommended"].select("threshold", "tp", "fp", "fn", "tn")
 
 
 _Z = fv.WILSON_Z
@@ -298,7 +299,7 @@ def false_positives_by_challenge(t: Tables):
               ELSE 'retain-production' END AS status, c.fp AS current_fp, c.fn AS current_fn, l.fp AS lower_fp, l.fn AS lower_fn
        FROM swept c, swept l WHERE c.threshold = 0.46 AND l.threshold = 0.42""", "cases", then=sql_evidence() | _SWEEP_CTES)
 def recommendation_policy(t: Tables):
-    table = calibration.no_answer(inputs.evidence(t), SWEEP, 0.46, 0.42)["recommendation"]
+    table = calibration.no_answer(inputs.stored_evidence(t), SWEEP, 0.46, 0.42)["recommendation"]
     return table.select("status", "current_fp", "current_fn", "lower_fp", "lower_fn")
 
 
@@ -308,7 +309,7 @@ _BOTH = sql_evidence(prefix="b_") | sql_evidence(variant="self", prefix="a_")
 
 
 def _variants(t: Tables):
-    return inputs.evidence(t), inputs.evidence(t, variant="self")
+    return inputs.stored_evidence(t), inputs.stored_evidence(t, variant="self")
 
 
 @register(
@@ -449,7 +450,7 @@ def execution_gate(t: Tables):
     timings = t.view("cases").select(
         F.col("id").alias("case_id"), value.alias("embedding_ms"), value.alias("search_ms"), value.alias("total_ms"),
         F.when(F.col("id") % 10 != 0, value).alias("client_ms"))
-    return gates.execution_gate(inputs.evidence(t), timings, [1, 2]).select("check", "observed")
+    return gates.execution_gate(inputs.stored_evidence(t), timings, [1, 2]).select("check", "observed")
 
 
 _PRODUCTION = {
@@ -471,8 +472,8 @@ _PRODUCTION = {
        UNION ALL SELECT 'recall_at_1_floor', round(avg(CASE WHEN r = 1 THEN 1 ELSE 0 END), 6) FROM ev2 WHERE answerable""", "cases",
     then=sql_ranked() | _PRODUCTION)
 def production_gate(t: Tables):
-    results = inputs.marked(t, threshold=0.4)
-    evidence = ranking.case_evidence(t.view("cases").drop("label"), results)
+    results = materialise(inputs.marked(t, threshold=0.4))
+    evidence = materialise(ranking.case_evidence(t.view("cases").drop("label"), results))
     checks = gates.production_gate(evidence, results, 0.4, [3, 6, 9])
     skipped = ("rank1_kept", "result_count_valid", "result_contract", "recall_at_3_floor", "recall_at_5_floor")
     return rounded(checks.where(~F.col("check").isin(*skipped)), "observed").select("check", "observed")

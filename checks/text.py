@@ -17,6 +17,7 @@ from terralex.operators.filters import verified_runtime_rows
 from terralex.operators.ranking import case_evidence
 from terralex.operators.validate import validate_cases, validate_requests
 from terralex.plans import gates
+from terralex.session import materialise
 from terralex.plans.search import SearchOptions, accepted_rows, gate_results, prepare_requests, search, search_candidates, verify_results
 
 _CONTINENT_SQL = "CASE " + " ".join(
@@ -421,7 +422,7 @@ def verification_experiment(t: Tables):
     from pyspark.sql import Window
 
     valid, _ = prepare_requests(_requests(t), OPTIONS)
-    judged = search_candidates(valid, _payload(t), OPTIONS)
+    judged = materialise(search_candidates(valid, _payload(t), OPTIONS))
     raw = _marked(t, judged.withColumnRenamed("candidate_rank", "rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     verified = _marked(t, judged.where(F.size("consistency_reasons") == 0).withColumn("rank", F.row_number().over(order)))
@@ -438,7 +439,7 @@ def intent_experiment(t: Tables):
     from terralex.operators.ranking import trim_results
 
     valid, _ = prepare_requests(_requests(t), OPTIONS)
-    judged = search_candidates(valid, _payload(t), OPTIONS)
+    judged = materialise(search_candidates(valid, _payload(t), OPTIONS))
     cases = _experiment_cases(t).withColumns({c: F.lit("x") for c in ("language", "category", "query")})
 
     def evidence(rows):

@@ -63,10 +63,10 @@ def requested_capital(text: Column, folded: Column, wants_country: Column) -> Co
 def constraints(text: Column, folded: Column | None = None) -> Column:
     folded = fold(text) if folded is None else folded
     seen = F.struct(text.alias("text"), folded.alias("folded"), country_intent(folded).alias("wants"))
-    return _let(seen, lambda x: F.struct(
-        F.when(x["wants"], F.lit("country")).alias("entity_type"),
-        requested_continent(x["folded"]).alias("continent"),
-        requested_capital(x["text"], x["folded"], x["wants"]).alias("capital"),
+    return _let(seen, lambda x: F.named_struct(
+        F.lit("entity_type"), F.when(x["wants"], F.lit("country")),
+        F.lit("continent"), requested_continent(x["folded"]),
+        F.lit("capital"), requested_capital(x["text"], x["folded"], x["wants"]),
     ))
 
 

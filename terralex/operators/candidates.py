@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
 from terralex.functions.text import trim_to_null
-from terralex.session import collect_bounded, require
+from terralex.operators.ordering import top_n
+from terralex.session import collect_bounded, materialise, require
 
 
 def _present(value: Column) -> Column:
@@ -102,9 +103,10 @@ def focused_candidates(
         raise ValueError(f"focus cases are missing from the report: {sorted(set(focus_case_ids) - present)}")
     wanted = _require_known(expected_ids(cases), entities, "expected entity").withColumn("tier", F.lit(1))
     mined = _require_known(mine_distractors(results, cases, focus_case_ids), entities, "distractor").withColumn("tier", F.lit(2))
-    required = wanted.unionByName(mined).groupBy("id").agg(F.min(F.struct("tier", "seq")).alias("at"))
+    required = materialise(wanted.unionByName(mined).groupBy("id").agg(F.min(F.struct("tier", "seq")).alias("at")))
     ids = [r["id"] for r in collect_bounded(required.orderBy("at", "id"), max_size, "required candidates")]
-    context = _context_values(entities.join(wanted, "id", "left_semi"), max_size)
+    expected = required.where(F.col("at.tier") == 1).select("id")
+    context = _context_values(entities.join(F.broadcast(expected), "id", "left_semi"), max_size)
     missing = max(0, target_size - len(ids))
     spark = entities.sparkSession
     chosen = spark.createDataFrame([(i, n + 1) for n, i in enumerate(ids)], "id string, position int")
@@ -112,10 +114,10 @@ def focused_candidates(
         "id", "position", F.when(F.col("at.tier") == 1, "expected").otherwise("distractor").alias("reason")
     )
     pool = entities.select("id", relation_score(context).alias("score")).where(F.col("score") >= 0)
-    fillers = pool.join(F.broadcast(chosen.select("id")), "id", "left_anti").orderBy(F.desc("score"), F.asc("id")).limit(missing)
+    fillers = top_n(pool.join(F.broadcast(chosen.select("id")), "id", "left_anti"), [F.desc("score"), F.asc("id")], missing)
     order = Window.orderBy(F.desc("score"), F.asc("id"))  # at most target_size rows
     filled = fillers.select("id", (F.row_number().over(order) + len(ids)).alias("position"), F.lit("related").alias("reason"))
-    selection = reasons.unionByName(filled)
+    selection = materialise(reasons.unionByName(filled))
     total = selection.count()
     if total < target_size:
         raise ValueError(f"could only build {total} focused candidates; target {target_size} is not satisfiable")
@@ -169,36 +171,38 @@ def stress_candidates(
     """(selection, pool sizes). Selection: id, position, tier, reasons.
 
     Four mandatory tiers are taken whole (too many is an error), four optional ones fill up to the target.
-    A tier can contribute at most target + maximum rows, so each is cut to that many by its own order in
-    the scan, and only those few rows are ranked together.
+    The entities are read once into a narrow table of tier flags. A tier can contribute at most target +
+    maximum rows, so each is cut to that many by its own order, and only those few rows are ranked together.
     """
     _check_sizes(target_size, max_size)
-    wanted = _require_known(expected_ids(cases), entities, "expected entity")
-    mined = _require_known(mine_distractors(results, cases), entities, "distractor")
+    wanted = materialise(_require_known(expected_ids(cases), entities, "expected entity"))
+    mined = materialise(_require_known(mine_distractors(results, cases), entities, "distractor"))
     context = _context_values(entities.join(wanted, "id", "left_semi"), max_size)
-    flags = _tier_flags(context)
-    cut = target_size + max_size
+    flags = {name: f"_{i}" for i, name in enumerate(_tier_flags(context))}
+    narrow = materialise(entities.select(
+        "id", "population", *[F.coalesce(flag, F.lit(False)).alias(flags[name]) for name, flag in _tier_flags(context).items()]
+    ))
+    cut = target_size + max_size + 1
     none, by_id = F.lit(None).cast("bigint"), F.col("id")
-    population = -F.coalesce("population", F.lit(-1))
+    by_population = -F.coalesce("population", F.lit(-1))
 
     def tier(name: str, rows: DataFrame, number: Column, text: Column) -> DataFrame:
         index = fv.STRESS_TIERS.index(name)
         rows = rows.select("id", F.lit(index).alias("tier"), number.cast("bigint").alias("o1"), text.alias("o2"))
-        return rows.orderBy("o1", "o2", "id").limit(cut + 1)
+        return top_n(rows, [F.asc("o1"), F.asc("o2"), F.asc("id")], cut)
 
-    def seq(rows: DataFrame, name: str) -> DataFrame:
+    def listed(rows: DataFrame, name: str) -> DataFrame:
         return tier(name, rows, none, F.concat_ws("\u0001", F.col("seq.a"), F.lpad(F.col("seq.b").cast("string"), 12, "0")))
 
-    tiers = [tier(name, entities.where(flags[name]), none, by_id) for name in ("all-country", "all-capital-city")]
-    tiers += [seq(wanted, "expected"), seq(mined, "hard-report-distractor")]
-    tiers += [tier(name, entities.where(flags[name]), population, by_id) for name in ("capital-locality", "related-major-city", "global-major-city")]
-    tiers += [tier("deterministic-filler", entities, none, by_id)]
+    tiers = [tier(name, narrow.where(flags[name]), none, by_id) for name in ("all-country", "all-capital-city")]
+    tiers += [listed(wanted, "expected"), listed(mined, "hard-report-distractor")]
+    tiers += [tier(name, narrow.where(flags[name]), by_population, by_id) for name in ("capital-locality", "related-major-city", "global-major-city")]
+    tiers += [tier("deterministic-filler", narrow, none, by_id)]
     pool = reduce(DataFrame.unionByName, tiers)
     first = pool.groupBy("id").agg(F.min(F.struct("tier", "o1", "o2", "id")).alias("at"))
     order = Window.orderBy("at")  # at most eight cut tiers
-    ranked = first.withColumn("position", F.row_number().over(order))
     mandatory = F.col("at.tier") < fv.STRESS_MANDATORY_TIERS
-    kept = ranked.where(mandatory | (F.col("position") <= target_size))
+    kept = materialise(first.withColumn("position", F.row_number().over(order)).where(mandatory | (F.col("position") <= target_size)))
     sizes = kept.agg(F.count("*").alias("n"), F.count_if(mandatory).alias("m")).first()
     if sizes["m"] > max_size:
         raise ValueError(f"mandatory stress candidates ({sizes['m']}) exceed the maximum size ({max_size})")
@@ -206,27 +210,26 @@ def stress_candidates(
         raise ValueError(f"could only build {sizes['n']} stress candidates; target {target_size} is not satisfiable")
     names = F.array(*[F.lit(t) for t in fv.STRESS_TIERS])
     chosen = kept.select("id", "position", names[F.col("at.tier")].alias("tier"))
-    selection = _with_reasons(chosen, entities, wanted, mined, flags)
-    return selection, pool_sizes(entities, wanted, mined, flags)
+    return _with_reasons(chosen, narrow, wanted, mined, flags), _pool_sizes(narrow, wanted, mined, flags)
 
 
-def _with_reasons(chosen, entities, wanted, mined, flags) -> DataFrame:
-    """Every reason an id qualified for, from predicates on its own row."""
+def _with_reasons(chosen: DataFrame, narrow: DataFrame, wanted: DataFrame, mined: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """Every pool a chosen id belonged to."""
     def marked(ids: DataFrame, name: str) -> DataFrame:
         return ids.select("id", F.lit(True).alias(name))
 
-    rows = entities.join(F.broadcast(chosen), "id").join(marked(wanted, "_w"), "id", "left").join(marked(mined, "_m"), "id", "left")
-    listed = {"expected": F.col("_w"), "hard-report-distractor": F.col("_m"), **flags}
-    order = ("expected", "hard-report-distractor", "all-country", "all-capital-city", "capital-locality", "related-major-city", "global-major-city")
-    reasons = F.array_compact(F.array(*[F.when(listed[name], F.lit(name)) for name in order]))
+    rows = narrow.join(F.broadcast(chosen), "id")  # at most the maximum size
+    rows = rows.join(marked(wanted, "_w"), "id", "left").join(marked(mined, "_m"), "id", "left")
+    columns = {"expected": "_w", "hard-report-distractor": "_m", **flags}
+    reasons = F.array_compact(F.array(*[F.when(F.col(column), F.lit(name)) for name, column in columns.items()]))
     filler = F.array(F.lit("deterministic-filler"))
     return rows.select("id", "position", "tier", F.when(F.size(reasons) > 0, reasons).otherwise(filler).alias("reasons"))
 
 
-def pool_sizes(entities, wanted, mined, flags) -> DataFrame:
+def _pool_sizes(narrow: DataFrame, wanted: DataFrame, mined: DataFrame, flags: dict[str, str]) -> DataFrame:
     """(tier, candidates): how many entities each pool offered."""
-    counts = entities.agg(*[F.count_if(flag).alias(name) for name, flag in flags.items()])
-    pairs = F.array(*[F.struct(F.lit(n).alias("tier"), F.col(f"`{n}`").alias("candidates")) for n in flags])
+    counts = narrow.agg(*[F.count_if(column).alias(column) for column in flags.values()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("tier"), F.col(column).alias("candidates")) for name, column in flags.items()])
     wide = counts.select(F.explode(pairs).alias("p")).select("p.*")
     listed = [df.agg(F.count("*").alias("candidates")).select(F.lit(n).alias("tier"), "candidates") for n, df in (("expected", wanted), ("hard-report-distractor", mined))]
     return reduce(DataFrame.unionByName, listed, wide)

@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from terralex.session import cut_lineage
 
-SINGLE_TASK_ROWS = 1_000_000
+MERGE_GROUPS = 256
 
 
-def top_n(df: DataFrame, order: list[Column], n: int, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def _local_top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of every partition: a local sort and a row index, no shuffle."""
+    index = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return df.sortWithinPartitions(*order).withColumn("_i", index).where(F.col("_i") < n).drop("_i")
+
+
+def top_n(df: DataFrame, order: list[Column], n: int, groups: int = MERGE_GROUPS, many_tasks: bool | None = None) -> DataFrame:
     """The first n rows of a total order.
 
-    Up to `single_task_rows`, each task keeps its own n best and one task merges them. Beyond, rows are
-    range-partitioned and sorted, the layout is checkpointed, and per-partition counts decide how much of
-    each partition belongs to the prefix - no task ever holds the whole prefix.
+    Over few input files the plain sorted limit is best: each task keeps n rows and one task merges them.
+    Over many files that merge would receive tasks x n rows, so partitions are cut locally and merged in
+    `groups` parts first; the last step sees groups x n rows at most.
     """
-    if n <= single_task_rows:
-        return df.orderBy(*order).limit(n)
-    return number_rows(df, order).where(F.col("_row") <= n).drop("_row")
+    if many_tasks is None:
+        many_tasks = len(df.inputFiles()) > 4 * groups
+    if many_tasks:
+        df = _local_top(_local_top(df, order, n).repartition(groups), order, n)
+    return df.orderBy(*order).limit(n)
 
 
 def number_rows(df: DataFrame, order: list[Column], column: str = "_row") -> DataFrame:

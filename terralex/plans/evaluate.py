@@ -21,6 +21,7 @@ from terralex.operators.metrics import (
     quality_by_group,
 )
 from terralex.operators.ranking import case_evidence, mark_expected, require_results
+from terralex.session import materialise
 
 
 def evaluate_cases(
@@ -89,11 +90,11 @@ def text_experiment(
     chosen = entities.join(F.broadcast(selection.select("id")), "id")  # a selection has a bounded target size
     size = selection.count()
     queries = embed_distinct(answerable.select(F.col("id").alias("query_id"), "query"), "query", make_embedder)
-    queries = queries.select("query_id", "embedding").persist()
+    queries = materialise(queries.select("query_id", "embedding"))
     variants = {}
     for version in versions:
         texts = chosen.select("id", document_text(version).alias("text"))
         vectors = embed_texts(texts, "text", make_embedder, batch_size).select("id", "embedding")
-        variants[version] = evaluate_candidates(answerable, queries, vectors, size, result_limit, digits)
+        variants[version] = materialise(evaluate_candidates(answerable, queries, vectors, size, result_limit, digits))
     before, after = (variants[v] for v in versions)
     return {"before": before, "after": after, **compare_variants(before, after)}

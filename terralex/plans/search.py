@@ -103,8 +103,13 @@ def search(
     """(results, meta). Results are ranked rows per query; meta is one row per valid request."""
     valid, _ = prepare_requests(requests, options)
     judged = search_candidates(valid, collection, options, make_embedder)
-    results = trim_results(accepted_rows(judged), valid, "query_id").drop("consistency_reasons", "intent_reasons", "candidate_rank")
-    return results, search_meta(valid, judged)
+    return search_results(valid, judged), search_meta(valid, judged)
+
+
+def search_results(valid: DataFrame, judged: DataFrame) -> DataFrame:
+    """The accepted candidates, cut to each request's limit."""
+    kept = trim_results(accepted_rows(judged), valid, "query_id")
+    return kept.drop("consistency_reasons", "intent_reasons", "candidate_rank")
 
 
 def search_meta(valid: DataFrame, judged: DataFrame) -> DataFrame:

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terralex import fixed_values as fv
 from terralex.operators.embed import Embedder, embed_texts
 from terralex.operators.payload import to_points
 from terralex.operators.stats import request_statistics, running_progress
-from terralex.plans.search import SearchOptions, prepare_requests, search
+from terralex.plans.search import SearchOptions, prepare_requests, search_candidates, search_meta, search_results
+from terralex.session import materialise
 from terralex.sources.collection_store import CollectionStore
 
 
@@ -68,13 +68,14 @@ def search_stream(
 ) -> StreamingQuery:
     """Answer requests as they arrive. Each batch writes its own directories, so a replay overwrites itself."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            results, meta = search(batch, collection, options, make_embedder)
-            _, rejected = prepare_requests(batch, options)
-            for name, table in (("results", results), ("meta", meta), ("rejected", rejected.select("query_id", "_error"))):
-                table.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        valid, rejected = prepare_requests(batch, options)
+        valid = materialise(valid)
+        judged = materialise(search_candidates(valid, collection, options, make_embedder))
+        tables = {
+            "results": search_results(valid, judged), "meta": search_meta(valid, judged),
+            "rejected": rejected.select("query_id", "_error"),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
 
     return _start(requests, each, checkpoint, trigger)
