@@ -62,12 +62,20 @@ def requested_capital(text: Column, folded: Column, wants_country: Column) -> Co
 
 def constraints(text: Column, folded: Column | None = None) -> Column:
     folded = fold(text) if folded is None else folded
-    seen = F.struct(text.alias("text"), folded.alias("folded"), country_intent(folded).alias("wants"))
-    return _let(seen, lambda x: F.named_struct(
-        F.lit("entity_type"), F.when(x["wants"], F.lit("country")),
-        F.lit("continent"), requested_continent(x["folded"]),
-        F.lit("capital"), requested_capital(x["text"], x["folded"], x["wants"]),
-    ))
+
+    def read(x: Column) -> Column:
+        return F.named_struct(
+            F.lit("entity_type"), F.when(x["wants"], F.lit("country")),
+            F.lit("continent"), requested_continent(x["folded"]),
+            F.lit("capital"), requested_capital(x["text"], x["folded"], x["wants"]),
+        )
+
+    def intend(x: Column) -> Column:
+        return _let(F.named_struct(
+            F.lit("text"), x["text"], F.lit("folded"), x["folded"], F.lit("wants"), country_intent(x["folded"])
+        ), read)
+
+    return _let(F.named_struct(F.lit("text"), text, F.lit("folded"), folded), intend)
 
 
 def constrained(constraint: Column) -> Column:
@@ -126,14 +134,18 @@ def rejection_reasons(result_type: Column, continent: Column, capital: Column, w
 
 def non_geographic_intent(folded: Column) -> Column:
     """struct(domain, reason), or null when the query may be geographic."""
-    media = folded.rlike(fv.MEDIA_MARKER) & folded.rlike(fv.MEDIA_CONTENT)
-    club = folded.rlike(fv.CLUB_MARKER) & folded.rlike(fv.CLUB_ACHIEVEMENT)
-    eligible = (folded != "") & ~_any_match(folded, fv.GEOGRAPHIC_QUESTION_PATTERNS)
-    return F.when(eligible & media, _intent(fv.MEDIA_INTENT)).when(eligible & club, _intent(fv.CLUB_INTENT))
+    def judge(f: Column) -> Column:
+        media = f.rlike(fv.MEDIA_MARKER) & f.rlike(fv.MEDIA_CONTENT)
+        club = f.rlike(fv.CLUB_MARKER) & f.rlike(fv.CLUB_ACHIEVEMENT)
+        open_question = (f == "") | _any_match(f, fv.GEOGRAPHIC_QUESTION_PATTERNS)
+        none = F.lit(None).cast("struct<domain:string,reason:string>")
+        return F.when(open_question, none).when(media, _intent(fv.MEDIA_INTENT)).when(club, _intent(fv.CLUB_INTENT))
+
+    return _let(folded, judge)
 
 
 def _intent(pair: tuple[str, str]) -> Column:
-    return F.struct(F.lit(pair[0]).alias("domain"), F.lit(pair[1]).alias("reason"))
+    return F.named_struct(F.lit("domain"), F.lit(pair[0]), F.lit("reason"), F.lit(pair[1]))
 
 
 def geographic_type(result_type: Column) -> Column:

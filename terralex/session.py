@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession, *packages: str) -> None:
+    """Send the package sources to the Python workers, once per application.
+
+    Needed when the job was not submitted with the package (for example with --py-files).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "terralex_sources.zip"
+    root = Path(__file__).resolve().parent.parent
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for package in ("terralex", *packages):
+            for source in sorted((root / package).rglob("*.py")):
+                bundle.write(source, source.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and read it back: later passes scan columns instead of
     recomputing, and a lost executor costs a re-read only."""
