@@ -74,11 +74,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def require(condition: Column, message: str | Column) -> Column:
-    """A predicate for `where` that keeps every row and fails the job on the first violation."""
+    """A predicate for `where` that keeps every row and fails the job on the first violation.
+
+    The row id makes it non-deterministic to the optimizer, so it stays where it is written: it never sees
+    rows that an earlier join removes, and later filters cannot hide rows from it.
+    """
     text = F.lit(message) if isinstance(message, str) else message
-    return F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(
-        F.raise_error(text).cast("boolean")
-    )
+    always = F.monotonically_increasing_id() >= 0
+    return F.when(F.coalesce(condition, F.lit(False)), always).otherwise(F.raise_error(text).cast("boolean"))
 
 
 def fail_on_errors(df: DataFrame, errors: str = "_errors") -> DataFrame:
