@@ -96,13 +96,13 @@ def separation(evidence: DataFrame) -> DataFrame:
 
 def with_guard_band(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     """Headroom of each threshold to both score populations, and the smaller of the two."""
-    gap = F.broadcast(separation(evidence).select("min_answerable_top1", "max_no_answer_top1"))  # one row
-    above = round_half_up(F.col("min_answerable_top1") - F.col("threshold"))
-    below = round_half_up(F.col("threshold") - F.col("max_no_answer_top1"))
-    return candidates.join(gap, F.lit(True)).withColumns({
+    gap = separation(evidence).first()
+    above = round_half_up(F.lit(gap["min_answerable_top1"]).cast("double") - F.col("threshold"))
+    below = round_half_up(F.col("threshold") - F.lit(gap["max_no_answer_top1"]).cast("double"))
+    return candidates.withColumns({
         "answerable_headroom": above, "no_answer_headroom": below,
         "guard_band": round_half_up(F.least(above, below)),
-    }).drop("min_answerable_top1", "max_no_answer_top1")
+    })
 
 
 def robust_recommended(guarded: DataFrame, current: float = fv.CURRENT_THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.functions.text import trim_to_null
 from terralex.operators.ordering import top_n
-from terralex.session import collect_bounded, materialise, require
+from terralex.session import collect_bounded, materialise, require, small_side
 
 
 def _present(value: Column) -> Column:
@@ -80,7 +80,7 @@ def relation_score(context: dict[str, list[str]]) -> Column:
 
 
 def _require_known(ids: DataFrame, entities: DataFrame, what: str) -> DataFrame:
-    known = entities.select("id", F.lit(True).alias("_known"))
+    known = entities.select("id").join(small_side(ids.select("id")), "id", "left_semi").withColumn("_known", F.lit(True))
     message = F.concat(F.lit(f"{what} is missing from dataset: "), F.col("id"))
     return ids.join(known, "id", "left").where(require(F.col("_known"), message)).drop("_known")
 
@@ -177,7 +177,7 @@ def stress_candidates(
     _check_sizes(target_size, max_size)
     wanted = materialise(_require_known(expected_ids(cases), entities, "expected entity"))
     mined = materialise(_require_known(mine_distractors(results, cases), entities, "distractor"))
-    context = _context_values(entities.join(wanted, "id", "left_semi"), max_size)
+    context = _context_values(entities.join(small_side(wanted.select("id")), "id", "left_semi"), max_size)
     flags = {name: f"_{i}" for i, name in enumerate(_tier_flags(context))}
     narrow = materialise(entities.select(
         "id", "population", *[F.coalesce(flag, F.lit(False)).alias(flags[name]) for name, flag in _tier_flags(context).items()]

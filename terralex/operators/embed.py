@@ -52,14 +52,18 @@ class CharacterGrams:
 
 
 def embed_texts(
-    df: DataFrame, text: str, make_embedder: Callable[[], Embedder], batch_size: int = 64, output: str = "embedding"
+    df: DataFrame, text: str, make_embedder: Callable[[], Embedder], batch_size: int = 64, output: str = "embedding",
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Add a vector column. The model is built once per task; texts go to it in slices of `batch_size`.
 
+    `parallelism` spreads the rows first, which pays when the input has fewer splits than there are workers.
     Blank texts, wrong counts, wrong dimensions and non-finite values fail the job.
     """
     if not 1 <= batch_size <= fv.MAX_EMBED_BATCH:
         raise ValueError(f"batch size must be between 1 and {fv.MAX_EMBED_BATCH}")
+    if parallelism:
+        df = df.repartition(parallelism)
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.functions.text import append_aliases
 from terralex.operators.normalize import gazetteer_id
+from terralex.session import small_side
 
 
 def eligible_names(names: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def match_concordance(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     """Entities left-joined to their candidate on exact id, with `match` = matched / ambiguous / none."""
     rows = entities.withColumn("_gid", gazetteer_id())
     targets = rows.where(F.col("_gid").isNotNull()).select(F.col("_gid").cast("string").alias("gn_id")).distinct()
-    relevant = candidates.withColumn("gn_id", F.col("gn_id").cast("string")).join(targets, "gn_id", "left_semi")
+    relevant = candidates.withColumn("gn_id", F.col("gn_id").cast("string")).join(small_side(targets), "gn_id", "left_semi")
     degrees = candidate_degrees(relevant)
     for column in degrees.columns:
         if column != "gn_id":
@@ -160,10 +161,11 @@ def concordance_report(applied: DataFrame) -> DataFrame:
 
 def scan_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """scanned, skipped without parsing, and invalid feature counts as one row."""
-    scanned = lines.agg(F.count("*").alias("scanned"))
-    seen = parsed.agg(F.count("*").alias("parsed"), F.count_if(F.size("_errors") > 0).alias("invalid"))
-    return scanned.crossJoin(F.broadcast(seen)).select(  # one row each
-        "scanned", (F.col("scanned") - F.col("parsed")).alias("skipped_unmatched"), "invalid"
+    scanned = lines.select(F.lit(1).alias("scanned"), F.lit(0).alias("parsed"), F.lit(0).alias("bad"))
+    seen = parsed.select(F.lit(0).alias("scanned"), F.lit(1).alias("parsed"), (F.size("_errors") > 0).cast("int").alias("bad"))
+    totals = scanned.unionByName(seen).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scanned", "parsed", "bad")])
+    return totals.select(
+        "scanned", (F.col("scanned") - F.col("parsed")).alias("skipped_unmatched"), F.col("bad").alias("invalid")
     )
 
 

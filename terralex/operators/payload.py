@@ -12,6 +12,7 @@ from terralex.functions.document_text import selected_document_text
 from terralex.functions.ids import canonical_entity_id, point_id
 from terralex.operators.filters import normalise_runtime
 from terralex.operators.validate import bilingual_state
+from terralex.session import require, small_side
 
 
 def to_points(entities: DataFrame, metadata: Mapping, text_version: str = fv.DEFAULT_TEXT_VERSION) -> DataFrame:
@@ -41,12 +42,13 @@ RESULT_FIELDS = (
 def attach_payload(results: DataFrame, collection: DataFrame) -> DataFrame:
     """Payload of the winners only: the vectors were scanned without it, these few rows come back for it.
 
-    The winners are at most k per query, so the collection side is filtered, not shuffled, when they are
-    small enough for Spark to broadcast.
+    `results` should be a stored table. There are at most k winners per query: when their ids are few, the
+    collection is filtered by a broadcast of them in its scan, and only matching rows meet the results.
     """
     fields = [f for f in RESULT_FIELDS if f in collection.columns]
     key = "entity_id" if "entity_id" in collection.columns else "id"
-    payload = collection.select(F.col(key).alias("id"), *fields)
+    winners = small_side(results.select("id").distinct())
+    payload = collection.select(F.col(key).alias("id"), *fields).join(winners, "id", "left_semi")
     return results.join(payload, "id", "left")
 
 
@@ -61,9 +63,7 @@ def entity_view(points: DataFrame) -> DataFrame:
 
 def lookup(collection: DataFrame, ids: DataFrame) -> DataFrame:
     """Entity views of a batch of ids; malformed ids fail the job, unknown ones are absent."""
-    from terralex.session import require
-
     canonical = canonical_entity_id(F.col("id"))
     wanted = ids.where(require(canonical.isNotNull(), "entity id must be a Q-id or a safe namespaced id"))
-    keys = wanted.select(point_id(F.col("id")).alias("point_id")).distinct()
+    keys = small_side(wanted.select(point_id(F.col("id")).alias("point_id")).distinct())
     return entity_view(collection.join(keys, "point_id", "left_semi"))

@@ -42,7 +42,7 @@ def exact_percentiles(
         for i, p in enumerate(percentiles)
     ])
     brackets = brackets.select(*keys, bands.alias("_bands"))
-    joined = _join(data, brackets, keys)
+    joined = _join(data, brackets, keys) if keys else _with_constant(data, brackets)
     # Below the bracket only a count is needed; inside it the distinct values with their counts.
     placed = joined.select(*keys, "_v", F.explode("_bands").alias("b")).where(F.col("_v") <= F.col("b.hi")).select(
         *keys, F.col("b.percentile").alias("percentile"), F.col("b.target").alias("target"),
@@ -61,17 +61,23 @@ def exact_percentiles(
 
 
 def _join(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        shaped = brackets
-        for key in keys:
-            shaped = shaped.withColumnRenamed(key, f"_k_{key}")
-        condition = None
-        for key in keys:
-            part = data[key].eqNullSafe(shaped[f"_k_{key}"])
-            condition = part if condition is None else condition & part
-        return data.join(shaped, condition).drop(*[f"_k_{key}" for key in keys])
-    # A global aggregate is one row, so this broadcast has a fixed size.
-    return data.crossJoin(F.broadcast(brackets))
+    shaped, condition = brackets, None
+    for key in keys:
+        shaped = shaped.withColumnRenamed(key, f"_k_{key}")
+    for key in keys:
+        part = data[key].eqNullSafe(shaped[f"_k_{key}"])
+        condition = part if condition is None else condition & part
+    return data.join(shaped, condition).drop(*[f"_k_{key}" for key in keys])
+
+
+def _with_constant(data: DataFrame, brackets: DataFrame) -> DataFrame:
+    """The one row of a global aggregate, as literals."""
+    row = brackets.first()
+    kinds = "struct<percentile:double,target:bigint,lo:double,hi:double>"
+    bands = [
+        F.struct(*[F.lit(v).alias(n) for n, v in band.asDict().items()]).cast(kinds) for band in row["_bands"]
+    ]
+    return data.withColumn("_bands", F.array(*bands))
 
 
 def summarize(
@@ -87,16 +93,9 @@ def summarize(
         F.max(F.when(F.col("percentile") == float(p), F.col("value"))).alias(f"p{p:g}") for p in percentiles
     ])
     columns = ["min", "mean", *[f"p{p:g}" for p in percentiles], "max"]
-    if keys:
-        for key in keys:
-            ranks = ranks.withColumnRenamed(key, f"_k_{key}")
-        condition = None
-        for key in keys:
-            part = base[key].eqNullSafe(ranks[f"_k_{key}"])
-            condition = part if condition is None else condition & part
-        joined = base.join(ranks, condition, "left")
-    else:
-        joined = base.join(F.broadcast(ranks), F.lit(True), "left")  # one row each
+    # Two one-row-per-group tables fold into one by an aggregate.
+    both = base.unionByName(ranks, allowMissingColumns=True)
+    joined = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
     return joined.select(*keys, "count", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
 
 

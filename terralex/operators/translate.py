@@ -133,7 +133,8 @@ def translate_missing(
 
 def translation_report(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:
     """candidates, translated, remaining as one row."""
-    start = translation_candidates(before, fields).agg(F.count("*").alias("candidates"))
-    rest = F.broadcast(translation_candidates(after, fields).agg(F.count("*").alias("remaining")))
+    start = translation_candidates(before, fields).select(F.lit(1).alias("candidates"), F.lit(0).alias("remaining"))
+    rest = translation_candidates(after, fields).select(F.lit(0).alias("candidates"), F.lit(1).alias("remaining"))
+    totals = start.unionByName(rest).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("candidates", "remaining")])
     gained = F.greatest(F.lit(0), F.col("candidates") - F.col("remaining"))
-    return start.crossJoin(rest).select("candidates", gained.alias("translated"), "remaining")
+    return totals.select("candidates", gained.alias("translated"), "remaining")

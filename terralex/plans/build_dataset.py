@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.operators import enrich, quality
 from terralex.operators.filters import dataset_options
-from terralex.operators.normalize import city_entities, country_entities, gazetteer_id, select_representative
-from terralex.session import fail_on_errors, materialise
+from terralex.operators.normalize import city_entities, country_entities, gazetteer_id, keep_first, select_representative
+from terralex.session import collect_bounded, fail_on_errors, materialise
 from terralex.sources import concordance, gazetteer
 
 
@@ -42,7 +42,7 @@ def load_backbone(dumps: Dumps, types: list[str]) -> DataFrame:
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
-    return rows.dropDuplicates(["id"])
+    return keep_first(rows.withColumn("_load", F.monotonically_increasing_id()), "id", "_load")
 
 
 def enrich_names(entities: DataFrame, alternate_lines: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def build_dataset(dumps: Dumps, sources=fv.PUBLIC_SOURCES, types=fv.BACKBONE_TYP
         "sourceCounts": {"geonames": before, "wof": report["matched"]}, "mergedCountBeforeLimit": before,
         "mergedCount": summary["total"], "skipped": options["skipped"], "wofEnrichment": report,
         "coverage": summary | {"continents": {r["continent"]: r["entities"] for r in continents.collect()},
-                               "countries": {r["country_code"]: r["entities"] for r in quality.country_coverage(entities).orderBy("country_code").limit(1000).collect()}},
+                               "countries": {r["country_code"]: r["entities"] for r in collect_bounded(quality.country_coverage(entities), 1000, "country codes")}},
         "dataQuality": {
             "policy": fv.QUALITY_POLICY, "issueCount": sum(checks.values()), "checks": checks,
             "issues": [r.asDict() for r in sample[:fv.SAMPLE_LIMIT]], "truncated": len(sample) > fv.SAMPLE_LIMIT,

@@ -22,6 +22,7 @@ from terralex.operators.knn import top_k
 from terralex.operators.payload import attach_payload
 from terralex.operators.ranking import trim_results
 from terralex.operators.validate import validate_requests
+from terralex.session import materialise
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def search_candidates(
     searchable = collection if key == "id" else collection.withColumn("id", F.col("entity_id"))
     filters = [c for c in requests.columns if c.startswith("filter_")]
     queries = requests.select("query_id", "embedding", F.col("candidate_limit").alias("k"), "score_threshold", *filters)
-    found = top_k(queries, searchable, digits=options.digits).withColumnRenamed("rank", "candidate_rank")
+    found = materialise(top_k(queries, searchable, digits=options.digits).withColumnRenamed("rank", "candidate_rank"))
     context = requests.select("query_id", "constraints", "intent")
     judged = attach_payload(found, searchable).join(context, "query_id")
     capital = F.col("facts.capital") if "facts" in judged.columns else F.lit(None).cast("string")

@@ -73,6 +73,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark one side of a join for broadcast if it really has at most `max_rows` narrow rows.
+
+    Counting first keeps the other, large side from being shuffled before its partner's size is known;
+    beyond the bound the join is left to Spark.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def require(condition: Column, message: str | Column) -> Column:
     """A predicate for `where` that keeps every row and fails the job on the first violation.
 

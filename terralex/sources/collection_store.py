@@ -70,7 +70,8 @@ class CollectionStore:
         segment = f"v={version:06d}"
         target = f"{self.path}/data/{segment}"
         bucketed = points.withColumn("bucket", self.bucket(F.col("point_id")))
-        bucketed.repartition(self.manifest["buckets"], "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        # Rebalancing sizes the files: small buckets share a task, a large one is split over several.
+        bucketed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         counts = self.spark.read.parquet(target).groupBy("bucket").agg(F.count("*").alias("n")).collect() if self._has_files(target) else []
         fresh = {str(r["bucket"]) for r in counts}
         segments = {b: list(keep(b)) for b in {*self.manifest["segments"], *fresh}}

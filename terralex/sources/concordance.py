@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
 from terralex.functions.localized_names import localized_names, positive_ids
+from terralex.session import small_side
 
 
 def mentioned_ids(text: Column) -> Column:
@@ -28,7 +29,7 @@ def worth_parsing(features: DataFrame, target_ids: DataFrame) -> DataFrame:
     read, or has no properties (so that it is reported as invalid). Only lines naming several ids, which
     are rare, are exploded.
     """
-    targets = target_ids.select(F.col("geoname_id").cast("string").alias("_id")).distinct()
+    targets = small_side(target_ids.select(F.col("geoname_id").cast("string").alias("_id")).distinct())
     one = features.where(F.size("_ids") == 1).withColumn("_id", F.get("_ids", F.lit(0)))
     single = one.join(targets, "_id", "left_semi").select("properties")
     several = features.where(F.size("_ids") > 1).withColumn("_id", F.explode("_ids"))

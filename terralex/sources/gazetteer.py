@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.functions.numeric import number_error, parse_number
 from terralex.functions.text import repair_legacy_letters, split_list, trim_to_null, trimmed
+from terralex.session import small_side
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -123,11 +124,14 @@ def parse_alternate_names(lines: DataFrame, selected_ids: DataFrame | None = Non
     def flag_ok(name: str) -> Column:
         return cell(name).isin("", "1")
 
-    rows = _cells(lines).where(cell("language").isin(*fv.NAME_LANGUAGES))
+    def raw(position: int) -> Column:
+        return F.substring_index(F.substring_index("value", "\t", position + 1), "\t", -1)
+
+    lines = lines.where(raw(fv.ALTERNATE_NAME_COLUMNS.index("language")).isin(*fv.NAME_LANGUAGES))
     if selected_ids is not None:
-        keys = selected_ids.select(F.col("geoname_id").cast("string").alias("_id")).distinct()
-        rows = rows.withColumn("_key", cell("geoname_id"))
-        rows = rows.join(keys, rows["_key"] == keys["_id"], "left_semi").drop("_key")
+        keys = small_side(selected_ids.select(F.col("geoname_id").cast("string").alias("_id")).distinct())
+        lines = lines.join(keys, raw(fv.ALTERNATE_NAME_COLUMNS.index("geoname_id")) == F.col("_id"), "left_semi")
+    rows = _cells(lines).where(cell("language").isin(*fv.NAME_LANGUAGES))
     name = F.when(cell("language") == "vi", repair_legacy_letters(trimmed(cell("name")))).otherwise(trimmed(cell("name")))
     flags_ok = flag_ok("preferred") & flag_ok("short_name") & flag_ok("colloquial") & flag_ok("historic")
     return rows.select(
