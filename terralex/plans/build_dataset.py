@@ -111,26 +111,26 @@ def build_dataset(dumps: Dumps, sources=fv.PUBLIC_SOURCES, types=fv.BACKBONE_TYP
     options = dataset_options(sources, types, limit)
     backbone = materialise(load_backbone(dumps, options["loaded_types"]))
     before = backbone.count()
-    selected = select_representative(backbone, options["limit"]) if limit is not None and limit < before else backbone
+    selected = materialise(select_representative(backbone, limit)) if limit is not None and limit < before else backbone
     entities = materialise(enrich_names(selected, dumps.alternate_names))
     report = {"status": "disabled", "requested": 0, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0}
     if "wof" in options["sources"]:
         entities, report = enrich_concordance(entities, dumps.features)
         entities = materialise(entities)
-    totals, continents = quality.coverage(entities), quality.continent_coverage(entities)
-    failures = quality.coverage_failures(totals, continents)
+    summary = quality.coverage(entities).first().asDict()
+    continents = {r["continent"]: r["entities"] for r in quality.continent_coverage(entities).collect()}  # seven rows
+    failures = quality.coverage_failures(summary["city_count"], continents)
     if failures:
         raise ValueError("; ".join(failures))
-    issues = quality.quality_issues(entities)
+    issues = materialise(quality.quality_issues(entities))
     sample = issues.orderBy("code", "entity_id", "field").limit(fv.SAMPLE_LIMIT + 1).collect()
     checks = quality.quality_checks(issues).first().asDict()
-    summary = totals.first().asDict()
     manifest = {
         "version": fv.MANIFEST_VERSION, "generatedAt": datetime.now(timezone.utc).isoformat(),
         "sources": options["sources"], "types": options["types"], "limit": options["limit"],
         "sourceCounts": {"geonames": before, "wof": report["matched"]}, "mergedCountBeforeLimit": before,
         "mergedCount": summary["total"], "skipped": options["skipped"], "wofEnrichment": report,
-        "coverage": summary | {"continents": {r["continent"]: r["entities"] for r in continents.collect()},
+        "coverage": summary | {"continents": continents,
                                "countries": {r["country_code"]: r["entities"] for r in collect_bounded(quality.country_coverage(entities), 1000, "country codes")}},
         "dataQuality": {
             "policy": fv.QUALITY_POLICY, "issueCount": sum(checks.values()), "checks": checks,
