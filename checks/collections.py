@@ -214,7 +214,7 @@ def make_grams() -> CharacterGrams:
     return CharacterGrams(64)
 
 
-@register("X1_embed_documents", "SELECT doc_id, 64 AS size, 1.0 AS norm FROM documents")
+@register("X1_embed_documents", "SELECT doc_id, 64 AS size, CAST(1 AS DOUBLE) AS norm FROM documents")
 def embed_documents(t: Tables):
     rows = embed_texts(t.table("documents").select("doc_id", "text"), "text", make_grams, parallelism=t.spark.sparkContext.defaultParallelism)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -264,7 +264,7 @@ def plan_dry_run(t: Tables):
     return t.spark.createDataFrame([(plan["entities"], plan["translationCandidates"])], "entities bigint, candidates bigint")
 
 
-@register("C7_search_loaded", "SELECT id AS query_id, 1.0 AS score FROM ent", "ent")
+@register("C7_search_loaded", "SELECT id AS query_id, CAST(1 AS DOUBLE) AS score FROM ent", "ent")
 def search_loaded(t: Tables):
     """Every entity's document text finds a document with the same vector in the loaded collection."""
     store = CollectionStore(t.spark, scratch(t), buckets=8)

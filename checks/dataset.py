@@ -72,7 +72,7 @@ def alternate_lines(t: Tables):
     """SELECT geoname_id, name, CASE WHEN geoname_id % 53 = 0 THEN 1 ELSE 0 END + CASE WHEN geoname_id % 41 = 0 THEN 1 ELSE 0 END
             + CASE WHEN geoname_id % 43 = 0 THEN 1 ELSE 0 END + CASE WHEN geoname_id % 47 = 0 THEN 1 ELSE 0 END AS errors,
             CASE WHEN geoname_id % 47 = 0 THEN -5 ELSE population END AS population,
-            CASE WHEN geoname_id % 41 <> 0 THEN geoname_id % 90 + 0.5 END AS latitude FROM city_src""", "city_src")
+            CASE WHEN geoname_id % 41 <> 0 THEN CAST(geoname_id % 90 + 0.5 AS DOUBLE) END AS latitude FROM city_src""", "city_src")
 def city_source(t: Tables):
     rows = gazetteer.parse_cities(city_lines(t))
     return rows.select("geoname_id", "name", F.size("_errors").cast("bigint").alias("errors"), "population", "latitude")

@@ -18,7 +18,7 @@ from terralex.plans import evaluate, gates
 from terralex.session import materialise
 
 SWEEP = tuple(round(0.30 + i * 0.01, 6) for i in range(21))
-SWEEP_SQL = "(SELECT round(0.30 + i * 0.01, 6) AS threshold FROM range(21) g(i))"
+SWEEP_SQL = "(SELECT CAST(round(0.30 + i * 0.01, 6) AS DOUBLE) AS threshold FROM range(21) g(i))"
 
 
 @register("J7_T2_similarity_join", "SELECT case_id AS query_id, id, rank, round(score, 6) AS score FROM top", then=sql_ranked())
@@ -188,7 +188,7 @@ def ranking_margins(t: Tables):
 
 @register(
     "A8_decision_quality",
-    """SELECT 0.37 AS threshold, round(avg(ok), 6) AS accuracy, round(avg(CASE WHEN answerable THEN ok END), 6) AS answerable_top1_accuracy,
+    """SELECT CAST(0.37 AS DOUBLE) AS threshold, round(avg(ok), 6) AS accuracy, round(avg(CASE WHEN answerable THEN ok END), 6) AS answerable_top1_accuracy,
        round(avg(CASE WHEN NOT answerable THEN ok END), 6) AS no_answer_accuracy
        FROM (SELECT answerable, CASE WHEN answerable THEN CASE WHEN top1_score >= 0.37 AND hit_at_1 = 1 THEN 1 ELSE 0 END
              ELSE CASE WHEN top1_score >= 0.37 THEN 0 ELSE 1 END END AS ok FROM evidence) x""", "cases", then=sql_evidence())
@@ -491,7 +491,7 @@ def cosine_similarity(t: Tables):
 
 @register(
     "F15_F16_normalised_vectors",
-    "SELECT vec_id, TRUE AS valid, 1.0 AS norm, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings")
+    "SELECT vec_id, TRUE AS valid, CAST(1 AS DOUBLE) AS norm, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings")
 def normalised_vectors(t: Tables):
     scaled = F.transform("embedding", lambda x: x * F.lit(3.0).cast("float"))
     rows = t.table("embeddings").select("vec_id", valid_vector(F.col("embedding"), 64).alias("valid"), l2_normalised(scaled).alias("u"))

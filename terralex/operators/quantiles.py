@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terralex import fixed_values as fv
 from terralex.session import require
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 100_000
 
 
 def exact_percentiles(
