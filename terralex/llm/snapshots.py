@@ -41,8 +41,8 @@ def maximal(turns: DataFrame) -> DataFrame:
     conversation of its own.
     """
     found = materialise(prefixes(turns))
-    last = found.groupBy("conv_id").agg(F.max("n").alias("last"))
-    marked = found.join(last, found.conv_id.eqNullSafe(last.conv_id)).select(found.conv_id, "n", "h1", "h2", (F.col("n") == F.col("last")).alias("whole"))
+    last = found.groupBy(F.col("conv_id").alias("_c")).agg(F.max("n").alias("last"))
+    marked = found.join(last, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "n", "h1", "h2", (F.col("n") == F.col("last")).alias("whole"))
     whole = marked.where("whole").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     inner = marked.where("not whole").select("n", "h1", "h2").distinct()
     return whole.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"))
