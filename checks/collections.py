@@ -278,7 +278,7 @@ def search_loaded(t: Tables):
 # ---------------------------------------------------------------- whole dataset build
 
 _BUILD = {
-    "base": f"SELECT * FROM ent {dataset._TOP} LIMIT 300",
+    "base": f"SELECT * FROM ent",
     "nm": """SELECT geoname_id, language, name FROM (SELECT *, row_number() OVER (PARTITION BY geoname_id, language ORDER BY preferred DESC, short_name DESC, alternate_name_id) AS rn
              FROM (SELECT * REPLACE (CASE WHEN language = 'vi' THEN 'Đảo ' || name ELSE name END AS name) FROM alt_src WHERE language IN ('en', 'vi') AND NOT historic) e) x WHERE rn = 1""",
     "cand": "SELECT * FROM wof_src WHERE placetype = 'locality' AND is_current AND gn_id <> '0'",
@@ -292,7 +292,7 @@ _BUILD = {
 @register("C4_build_dataset", "SELECT id, name_en, name_vi, wof_id FROM built", "ent", "alt_src", "wof_src", then=_BUILD)
 def build(t: Tables):
     """All stages from raw lines; the country source of the concordance is missing, which only affects countries."""
-    entities, _ = build_dataset(_dumps(t), limit=300)
+    entities, _ = build_dataset(_dumps(t))
     return entities.select("id", F.col("name.en").alias("name_en"), F.col("name.vi").alias("name_vi"), F.col("facts.wof_id").alias("wof_id"))
 
 
@@ -308,7 +308,7 @@ def _dumps(t: Tables) -> Dumps:
 def manifest(t: Tables):
     """Dataset and manifest written and read back."""
     path = scratch(t)
-    write_dataset(*build_dataset(_dumps(t), limit=300), path)
+    write_dataset(*build_dataset(_dumps(t)), path)
     m = read_json_document(t.spark, f"{path}/manifest")
     stored = t.spark.read.parquet(f"{path}/entities")
     w = m["wofEnrichment"]
@@ -526,5 +526,5 @@ def streaming_search(t: Tables):
     stream = _streamed(t, "embeddings", 2).select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("embedding"), F.lit("plain words").alias("query"))
     facts = F.lit(None).cast(schema.FACTS)
     rows = inputs.collection(t).select("id", "embedding", F.lit("city").alias("type"), F.lit("Asia").alias("continent"), facts.alias("facts"))
-    jobs.search_stream(stream, rows, path, scratch(t), SearchOptions(digits=inputs.DIGITS)).awaitTermination()
+    jobs.search_stream(stream, rows, path, scratch(t), SearchOptions(default_limit=5, default_threshold=0.0, digits=inputs.DIGITS)).awaitTermination()
     return t.spark.read.parquet(f"{path}/results").select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))

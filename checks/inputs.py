@@ -72,6 +72,13 @@ def marked(t: Tables, k: int = 5, variant: str = "reversed", threshold: float |
     ).drop("_want", "_have", "answerable")
 
 
+def expecting_cases(t: Tables) -> DataFrame:
+    """Cases with the ids they expect: those of their label, none for a case without an answer."""
+    members = collection(t).groupBy("label").agg(F.collect_list("id").alias("expected_ids"))
+    none = F.array().cast("array<bigint>")
+    return t.view("cases").join(members, "label").withColumn("expected_ids", F.when(F.col("answerable"), F.col("expected_ids")).otherwise(none)).drop("label")
+
+
 def evidence(t: Tables, k: int = 5, limit: int = 5, variant: str = "reversed", clamp: bool = False) -> DataFrame:
     return case_evidence(t.view("cases").drop("label"), marked(t, k, variant), limit, clamp)
 

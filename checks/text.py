@@ -269,14 +269,14 @@ def natural_order(t: Tables):
 @register(
     "P16_request_validation",
     """SELECT query_id, CASE WHEN query_id % 10 = 0 THEN 'query is required' WHEN length(q) > 1000 THEN 'query must be at most 1000 characters'
-            WHEN query_id % 10 = 1 THEN 'language must be auto, en or vi' WHEN query_id % 10 = 2 THEN 'limit must be between 1 and 20'
+            WHEN query_id % 10 = 1 THEN 'language must be auto, en or vi' WHEN query_id % 10 = 2 THEN 'limit must be between 1 and 100'
             WHEN query_id % 10 = 3 THEN 'score_threshold must be between 0 and 1' WHEN query_id % 10 = 4 THEN 'continent must be a non-empty string' END AS error
        FROM (SELECT query_id, trim(query, chr(9) || chr(10) || chr(13) || ' ') AS q FROM query_text) x""", "query_text")
 def request_validation(t: Tables):
     mod = F.col("query_id") % 10
     requests = t.view("query_text").select(
         "query_id", F.when(mod == 0, " \n").otherwise(F.col("query")).alias("query"), F.when(mod == 1, "fr").alias("language"),
-        F.when(mod == 2, 21).alias("limit"), F.when(mod == 3, 1.5).alias("score_threshold"), F.when(mod == 4, "  ").alias("filter_continent"))
+        F.when(mod == 2, 101).alias("limit"), F.when(mod == 3, 1.5).alias("score_threshold"), F.when(mod == 4, "  ").alias("filter_continent"))
     return validate_requests(requests).select("query_id", F.col("_error").alias("error"))
 
 
@@ -331,7 +331,7 @@ _SEARCH = INTENT_CTES | {
     "total": "SELECT count(*) AS c FROM keyed",
     "req": """SELECT e.vec_id AS case_id, k.entity_type, k.continent, k.capital, k.domain, 3 AS lim,
               CASE WHEN k.entity_type IS NOT NULL OR k.continent IS NOT NULL OR k.capital IS NOT NULL THEN 15 ELSE 3 END AS cand FROM embeddings e
-              JOIN keyed k ON k.n = e.vec_id % (SELECT c FROM total)""",
+              JOIN keyed k ON k.n = e.vec_id % (SELECT c FROM total) WHERE length(k.query) <= 1000""",
     "coll": """SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'country' ELSE 'city' END AS type, CASE label % 5 WHEN 0 THEN 'Africa' WHEN 1 THEN 'North America'
                WHEN 2 THEN 'Asia' WHEN 3 THEN 'Europe' ELSE 'South America' END AS rcont, CASE WHEN label % 2 = 0 THEN 'Customer#' || lpad(CAST(vec_id % 50 AS STRING), 9, '0') END AS rcap
                FROM embeddings""",
@@ -412,11 +412,12 @@ def _experiment_cases(t: Tables):
 
 @register(
     "C23_verification_experiment",
-    """SELECT 'answerable_rank_regressions' AS "check", CAST(count(CASE WHEN answerable AND rr IS NOT NULL AND (vr IS NULL OR vr > rr) THEN 1 END) AS DOUBLE) AS observed FROM xp
-       UNION ALL SELECT 'answerable_threshold_misses', CAST(count(CASE WHEN answerable AND vh = 0 THEN 1 END) AS DOUBLE) FROM xp
-       UNION ALL SELECT 'false_positives_reduced', CAST(count(CASE WHEN NOT answerable AND val > 0 THEN 1 END) AS DOUBLE) FROM xp
-       UNION ALL SELECT 'contradictory_geography_improved', CAST(count(CASE WHEN NOT answerable AND val > 0 AND challenge = 'contradictory-geography' THEN 1 END) AS DOUBLE) FROM xp
-       UNION ALL SELECT 'plausible_absent_not_worse', CAST(count(CASE WHEN NOT answerable AND val > 0 AND challenge = 'plausible-absent-entity' THEN 1 END) AS DOUBLE) FROM xp""",
+    """SELECT x."check", x.observed, x.bound, CASE x.rule WHEN 'below' THEN x.observed < x.bound ELSE x.observed <= x.bound END AS passed FROM (
+       SELECT 'answerable_rank_regressions' AS "check", CAST(count(CASE WHEN answerable AND rr IS NOT NULL AND (vr IS NULL OR vr > rr) THEN 1 END) AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS bound, 'most' AS rule FROM xp
+       UNION ALL SELECT 'answerable_threshold_misses', CAST(count(CASE WHEN answerable AND vh = 0 THEN 1 END) AS DOUBLE), 0, 'most' FROM xp
+       UNION ALL SELECT 'false_positives_reduced', CAST(count(CASE WHEN NOT answerable AND val > 0 THEN 1 END) AS DOUBLE), count(CASE WHEN NOT answerable AND ral > 0 THEN 1 END), 'below' FROM xp
+       UNION ALL SELECT 'contradictory_geography_improved', CAST(count(CASE WHEN NOT answerable AND val > 0 THEN 1 END) AS DOUBLE), count(CASE WHEN NOT answerable AND ral > 0 THEN 1 END), 'below' FROM xp WHERE challenge = 'contradictory-geography'
+       UNION ALL SELECT 'plausible_absent_not_worse', CAST(count(CASE WHEN NOT answerable AND val > 0 THEN 1 END) AS DOUBLE), count(CASE WHEN NOT answerable AND ral > 0 THEN 1 END), 'most' FROM xp WHERE challenge = 'plausible-absent-entity') x""",
     "query_text", then=_SEARCH | _EXPECT)
 def verification_experiment(t: Tables):
     from pyspark.sql import Window
@@ -426,15 +427,24 @@ def verification_experiment(t: Tables):
     raw = _marked(t, judged.withColumnRenamed("candidate_rank", "rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     verified = _marked(t, judged.where(F.size("consistency_reasons") == 0).withColumn("rank", F.row_number().over(order)))
-    return gates.verification_experiment(raw, verified, _experiment_cases(t), 0.3).select("check", "observed")
+    return gates.verification_experiment(raw, verified, _experiment_cases(t), 0.3).select("check", "observed", "bound", "passed")
 
 
 @register(
     "C24_intent_experiment",
-    """SELECT 'zero_answerable_applications' AS "check", CAST(count(CASE WHEN r.case_id % 3 <> 0 AND domain IS NOT NULL THEN 1 END) AS DOUBLE) AS observed FROM req r
-       UNION ALL SELECT 'false_positives_reduced', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 AND domain IS NULL THEN case_id END) AS DOUBLE) FROM jd WHERE NOT inconsistent
-       UNION ALL SELECT 'zero_gated_false_positives', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 AND domain IS NULL THEN case_id END) AS DOUBLE) FROM jd WHERE NOT inconsistent""",
-    "query_text", then=_SEARCH)
+    """SELECT x."check", round(x.observed, 6) AS observed, CAST(x.bound AS DOUBLE) AS bound, CASE x.rule WHEN 'below' THEN x.observed < x.bound WHEN 'least' THEN x.observed >= x.bound ELSE x.observed = x.bound END AS passed FROM (
+       SELECT 'zero_answerable_applications' AS "check", CAST(count(CASE WHEN r.case_id % 3 <> 0 AND domain IS NOT NULL THEN 1 END) AS DOUBLE) AS observed, 0 AS bound, 'equal' AS rule FROM req r
+       UNION ALL SELECT 'false_positives_reduced', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 AND domain IS NULL THEN case_id END) AS DOUBLE), count(DISTINCT CASE WHEN case_id % 3 = 0 THEN case_id END), 'below' FROM jd WHERE NOT inconsistent
+       UNION ALL SELECT 'zero_gated_false_positives', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 AND domain IS NULL THEN case_id END) AS DOUBLE), 0, 'equal' FROM jd WHERE NOT inconsistent
+       UNION ALL SELECT 'zero_answerable_regressions', CAST(count(CASE WHEN NOT coalesce(g <= r, FALSE) THEN 1 END) AS DOUBLE), 0, 'equal' FROM gains
+       UNION ALL SELECT 'answerable_quality_kept', least(avg(coalesce(1.0 / g, 0) - coalesce(1.0 / r, 0)), avg(CAST(coalesce(g = 1, FALSE) AS INT) - CAST(coalesce(r = 1, FALSE) AS INT)),
+                 avg(CAST(g IS NOT NULL AS INT) - CAST(r IS NOT NULL AS INT))), 0, 'least' FROM gains) x""",
+    "query_text", then=_SEARCH | {
+        "trimmed": """SELECT case_id, domain, id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS n FROM jd WHERE NOT inconsistent""",
+        "found": """SELECT case_id, domain, min(CASE WHEN q.label = d.label THEN n END) AS r FROM trimmed JOIN embeddings q ON q.vec_id = case_id JOIN embeddings d ON d.vec_id = id
+                    WHERE n <= 3 GROUP BY 1, 2""",
+        "gains": """SELECT r.case_id, f.r, CASE WHEN r.domain IS NULL THEN f.r END AS g FROM req r LEFT JOIN found f USING (case_id) WHERE r.case_id % 3 <> 0""",
+    })
 def intent_experiment(t: Tables):
     from terralex.operators.ranking import trim_results
 
@@ -449,22 +459,24 @@ def intent_experiment(t: Tables):
     after = evidence(accepted_rows(judged))
     intents = valid.select(F.col("query_id").alias("case_id"), F.col("intent").isNotNull().alias("intent_applied"))
     checks = gates.intent_experiment(before, after, intents)
-    return checks.where(F.col("check").isin("zero_answerable_applications", "false_positives_reduced", "zero_gated_false_positives")).select("check", "observed")
+    return rounded(checks, "observed").select("check", "observed", "bound", "passed")
 
 
 @register(
     "C22_intent_gate_acceptance",
-    """SELECT 'application_matches_rule' AS "check", 0.0 AS observed
-       UNION ALL SELECT 'zero_false_positives', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 THEN case_id END) AS DOUBLE) FROM fin
-       UNION ALL SELECT 'never_applied_to_answerable', CAST(count(CASE WHEN case_id % 3 <> 0 AND domain IS NOT NULL THEN 1 END) AS DOUBLE) FROM req
-       UNION ALL SELECT 'intent_cases', CAST(count(domain) AS DOUBLE) FROM req""", "query_text", then=_SEARCH)
+    """SELECT x."check", x.observed, CAST(x.bound AS DOUBLE) AS bound, x.observed = x.bound AS passed FROM (
+       SELECT 'application_matches_rule' AS "check", CAST(0 AS DOUBLE) AS observed, 0 AS bound
+       UNION ALL SELECT 'zero_false_positives', CAST(count(DISTINCT CASE WHEN case_id % 3 = 0 THEN case_id END) AS DOUBLE), 0 FROM fin
+       UNION ALL SELECT 'never_applied_to_answerable', CAST(count(CASE WHEN case_id % 3 <> 0 AND domain IS NOT NULL THEN 1 END) AS DOUBLE), 0 FROM req
+       UNION ALL SELECT 'targets_fixed', CAST(count(DISTINCT CASE WHEN case_id IN (3, 6, 9, 12) AND domain IS NOT NULL AND NOT inconsistent THEN case_id END) AS DOUBLE), 4 FROM jd
+       UNION ALL SELECT 'intent_cases', CAST(count(domain) AS DOUBLE), 100 FROM req) x""", "query_text", then=_SEARCH)
 def intent_gate_acceptance(t: Tables):
     requests = _requests(t)
     results, meta = search(requests, _payload(t), OPTIONS)
     cases = _experiment_cases(t).join(requests.select(F.col("query_id").alias("id"), "query"), "id").withColumns({c: F.lit("x") for c in ("language", "category")})
     evidence = case_evidence(cases, _marked(t, results), 3)
-    checks = gates.intent_gate_acceptance(evidence, meta.withColumnRenamed("query_id", "case_id"), [], 0)
-    return checks.where(F.col("check") != "targets_fixed").select("check", "observed")
+    checks = gates.intent_gate_acceptance(evidence, meta.withColumnRenamed("query_id", "case_id"), [3, 6, 9, 12], 100)
+    return checks.select("check", "observed", "bound", "passed")
 
 
 @register(

@@ -160,12 +160,13 @@ RANGE_FILTER = "population"
 RANGE_OPS = ("gt", "gte", "lt", "lte")
 QUERY_LANGUAGES = ("auto", "en", "vi")
 MAX_QUERY_CHARS = 1000
-DEFAULT_LIMIT = 5
-MAX_LIMIT = 20
-DEFAULT_SCORE_THRESHOLD = 0.0
+DEFAULT_LIMIT = 10
+MAX_LIMIT = 100
+DEFAULT_SCORE_THRESHOLD = 0.55
 DEFAULT_CANDIDATE_MULTIPLIER = 5
 
 # ---------------------------------------------------------------- evaluation
+EVALUATION_LIMIT = 5
 RECALL_KS = (1, 3, 5)
 CASE_LANGUAGES = ("en", "vi")
 CATEGORY_TYPES = {"country-factual": "country", "city-capital": "city", "city-alias": "city", "no-answer": None}

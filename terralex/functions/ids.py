@@ -13,7 +13,7 @@ from terralex.functions.text import trimmed
 def canonical_entity_id(value: Column) -> Column:
     """Upper-cased Q-id or a safe namespaced id; anything else is null."""
     text = trimmed(value)
-    return F.when(text.rlike(fv.QID_PATTERN), F.concat(F.lit("Q"), F.substring(text, 2, 1_000_000))).when(
+    return F.when(text.rlike(fv.QID_PATTERN), F.concat(F.lit("Q"), F.substring(text, F.lit(2), F.length(text)))).when(
         text.rlike(fv.NAMESPACED_ID_PATTERN) & ~text.contains(".."), text
     )
 

@@ -44,7 +44,7 @@ def localized_names(properties: Column, language: str) -> Column:
     preferred = usable(_values(properties, prefix, "_x_preferred"))
     variants = _values(properties, prefix, "_x_variant", "_x_colloquial")
     primary = F.get(preferred, F.lit(0))
-    rest = usable(F.concat(F.slice(preferred, 2, 1_000_000), variants))
+    rest = usable(F.concat(F.slice(preferred, F.lit(2), F.greatest(F.size(preferred), F.lit(0))), variants))
     aliases = F.filter(rest, lambda x: F.coalesce(x != primary, F.lit(True)))
     return F.struct(primary.alias("primary"), aliases.alias("aliases"))
 
@@ -59,6 +59,6 @@ def positive_ids(value: Column) -> Column:
     items = F.coalesce(F.when(kind.startswith("ARRAY"), many).otherwise(one), F.array().cast("array<string>"))
     valid = F.filter(items, lambda x: x.isNotNull() & x.rlike(r"^[0-9]+\z") & (x != "0"))
     keyed = F.array_sort(F.transform(
-        F.array_distinct(valid), lambda x: F.struct(F.lpad(x, 40, "0").alias("order"), x.alias("id"))
+        F.array_distinct(valid), lambda x: F.struct(F.length(F.ltrim(x, F.lit("0"))).alias("length"), F.ltrim(x, F.lit("0")).alias("number"), x.alias("id"))
     ))
     return F.transform(keyed, lambda x: x["id"])

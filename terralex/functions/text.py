@@ -91,7 +91,7 @@ def natural_sort_key(identifier: Column) -> Column:
     digits = F.regexp_extract(identifier, r"([0-9]+)\z", 1)
     prefix = F.regexp_replace(identifier, r"[0-9]+\z", "")
     return F.struct(
-        prefix.alias("prefix"), F.coalesce(F.lpad(F.nullif(digits, F.lit("")), 40, "0"), F.lit("")).alias("number"),
+        prefix.alias("prefix"), F.length(F.ltrim(digits, F.lit("0"))).alias("length"), F.ltrim(digits, F.lit("0")).alias("number"),
         identifier.alias("id"),
     )
 

@@ -84,8 +84,8 @@ def candidate_degrees(candidates: DataFrame) -> DataFrame:
     many features claim one id. Copies of one feature count once; the smallest copy is kept.
     """
     payload = [c for c in candidates.columns if c not in ("gn_id", "wof_id")]
-    order = F.lpad(F.col("wof_id").cast("string"), 40, "0")
-    keyed = candidates.withColumn("_w", order)
+    text = F.col("wof_id").cast("string")
+    keyed = candidates.withColumn("_w", F.struct(F.length(text).alias("length"), text.alias("text")))
     claims = keyed.groupBy("_w").agg(F.min("gn_id").alias("_lo"), F.max("gn_id").alias("_hi"))
     contested = claims.select("_w", (F.col("_lo") != F.col("_hi")).alias("_contested"))
     per_pair = keyed.groupBy("gn_id", "wof_id", "_w").agg(F.min(F.struct(*payload)).alias("payload"))

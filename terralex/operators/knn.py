@@ -4,8 +4,9 @@ Two physical forms with the same result:
 
 * broadcast - the query matrix is sent to every task when its measured size is within a byte limit. Each
   task streams its part of the collection once and keeps k rows per query, so the shuffle carries
-  tasks x queries x k rows whatever the collection size.
-* grid - beyond the limit nothing passes through the driver. Queries and collection rows are hashed into
+  tasks x queries x k rows whatever the collection size. The measure counts the k results per query; a few
+  times the limit is answered in as many scans.
+* grid - far beyond the limit nothing passes through the driver. Queries and collection rows are hashed into
   cells of bounded size and every pair of cells meets in one task (co-grouped), which again emits k rows
   per query.
 
@@ -31,7 +32,9 @@ from terralex import fixed_values as fv
 BROADCAST_BYTES = 128 * 1024 * 1024
 CELL_BYTES = 64 * 1024 * 1024
 SCORE_BLOCK = 4_000_000
-MERGE_FAN_IN = 256
+MERGE_FAN_IN = 64
+BYTES_PER_RESULT = 24
+MAX_BLOCKS = 4  # scans of the collection, each with its part of the queries, before the grid is cheaper
 
 # Filter columns a request row may carry; null means "no condition".
 FILTER_COLUMNS = tuple(f"filter_{name}" for name in fv.KEYWORD_FILTERS) + tuple(
@@ -120,16 +123,16 @@ class _TopK:
         if vectors.shape[1] != self.q.units.shape[1]:
             raise ValueError("query and collection vectors differ in dimension")
         units = _unit_rows(vectors)
-        masks = [_filter_mask(f, columns) for f in self.q.filters]
         step = max(1, SCORE_BLOCK // len(ids))
         for start in range(0, len(self.q.ids), step):
-            self._add_block(slice(start, start + step), units, ids, masks)
+            self._add_block(slice(start, start + step), units, ids, columns)
 
-    def _add_block(self, block: slice, units: np.ndarray, ids: np.ndarray, masks: list) -> None:
+    def _add_block(self, block: slice, units: np.ndarray, ids: np.ndarray, columns: pd.DataFrame) -> None:
         raw = self.q.units[block] @ units.T
-        for index in np.unique(self.q.filter_index[block]):
-            if masks[index] is not None:
-                raw[np.ix_(self.q.filter_index[block] == index, ~masks[index])] = -np.inf
+        for index in np.unique(self.q.filter_index[block]):  # one mask at a time: a filter per query costs no more memory
+            mask = _filter_mask(self.q.filters[index], columns)
+            if mask is not None:
+                raw[np.ix_(self.q.filter_index[block] == index, ~mask)] = -np.inf
         slack = 2.0 / self.scale
         floor = np.maximum(self.floor[block], -2.0) - slack
         row, column = np.nonzero(raw >= floor[:, None])
@@ -187,7 +190,7 @@ def _collection_columns(collection: DataFrame, filters: list[str]) -> DataFrame:
 def top_k(
     queries: DataFrame,
     collection: DataFrame,
-    k: int = fv.DEFAULT_LIMIT,
+    k: int = fv.EVALUATION_LIMIT,
     score_threshold: float | None = None,
     digits: int = 12,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -202,19 +205,24 @@ def top_k(
     shaped, filters = _prepare_queries(queries, k, score_threshold)
     narrow = _collection_columns(collection, filters)
     size = shaped.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.max("k").alias("k")).first()
-    query_bytes = size["n"] * (size["d"] or 0) * 8
+    # A task holds every query's vector and its k best rows so far.
+    query_bytes = size["n"] * ((size["d"] or 0) * 8 + (size["k"] or k) * BYTES_PER_RESULT)
     id_type = narrow.schema["id"].dataType
     schema = T.StructType([
         T.StructField("query_id", shaped.schema["query_id"].dataType),
         T.StructField("id", id_type),
         T.StructField("score", T.DoubleType()),
     ])
-    if query_bytes <= broadcast_bytes:
-        partial = _broadcast_form(shaped, narrow, filters, schema, digits)
+    blocks = max(1, math.ceil(query_bytes / max(broadcast_bytes, 1)))
+    if blocks <= MAX_BLOCKS:
+        partial = None
+        for block in range(blocks):
+            part = shaped if blocks == 1 else shaped.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            found = _broadcast_form(part, narrow, filters, schema, digits)
+            partial = found if partial is None else partial.unionAll(found)
     else:
         partial = _grid_form(shaped, narrow, filters, schema, digits, query_bytes, cell_bytes)
-    many_tasks = len(narrow.inputFiles()) > 4 * MERGE_FAN_IN
-    return _merge(partial, shaped, "k" in queries.columns, size["k"] or k, many_tasks)
+    return _merge(partial, shaped, "k" in queries.columns, size["k"] or k)
 
 
 def _broadcast_form(shaped, narrow, filters, schema, digits) -> DataFrame:
@@ -254,16 +262,15 @@ def _grid_form(shaped, narrow, filters, schema, digits, query_bytes, cell_bytes)
     return left.groupBy("_qc", "_rc").cogroup(right.groupBy("_qc", "_rc")).applyInPandas(meet, schema)
 
 
-def _merge(partial: DataFrame, shaped: DataFrame, varying_k: bool, widest: int, many_tasks: bool) -> DataFrame:
+def _merge(partial: DataFrame, shaped: DataFrame, varying_k: bool, widest: int) -> DataFrame:
     """Rank the per-task winners; a salted first pass bounds the rows any one task sorts for a query."""
     best_first = [F.desc("score"), F.asc("id")]
     salted = Window.partitionBy("query_id", "_salt").orderBy(*best_first)
     final = Window.partitionBy("query_id").orderBy(*best_first)
-    if many_tasks:
-        partial = (
-            partial.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_FAN_IN)))
-            .withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= widest).drop("_r", "_salt")
-        )
+    partial = (
+        partial.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_FAN_IN)))
+        .withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= widest).drop("_r", "_salt")
+    )
     ranked = partial.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= widest)
     if varying_k:
         limits = shaped.select("query_id", F.col("k").alias("_k"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralex.session import cut_lineage
 
-MERGE_GROUPS = 256
+MERGE_GROUPS = 16
 
 
 def _local_top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -16,17 +16,13 @@ def _local_top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.sortWithinPartitions(*order).withColumn("_i", index).where(F.col("_i") < n).drop("_i")
 
 
-def top_n(df: DataFrame, order: list[Column], n: int, groups: int = MERGE_GROUPS, many_tasks: bool | None = None) -> DataFrame:
+def top_n(df: DataFrame, order: list[Column], n: int, groups: int = MERGE_GROUPS) -> DataFrame:
     """The first n rows of a total order.
 
-    Over few input files the plain sorted limit is best: each task keeps n rows and one task merges them.
-    Over many files that merge would receive tasks x n rows, so partitions are cut locally and merged in
-    `groups` parts first; the last step sees groups x n rows at most.
+    A plain sorted limit merges n rows of every task in one; here partitions are cut locally and merged in
+    `groups` parts first, so the last step sees groups x n rows at most, however many tasks there are.
     """
-    if many_tasks is None:
-        many_tasks = len(df.inputFiles()) > 4 * groups
-    if many_tasks:
-        df = _local_top(_local_top(df, order, n).repartition(groups), order, n)
+    df = _local_top(_local_top(df, order, n).repartition(groups), order, n)
     return df.orderBy(*order).limit(n)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
-from terralex.session import require
+from terralex.session import materialise, require, small_side
 
 SKETCH_ACCURACY = 100_000
 
@@ -41,7 +41,7 @@ def exact_percentiles(
         )
         for i, p in enumerate(percentiles)
     ])
-    brackets = brackets.select(*keys, bands.alias("_bands"))
+    brackets = materialise(brackets.select(*keys, bands.alias("_bands"))) if keys else brackets.select(bands.alias("_bands"))
     joined = _join(data, brackets, keys) if keys else _with_constant(data, brackets)
     # Below the bracket only a count is needed; inside it the distinct values with their counts.
     placed = joined.select(*keys, "_v", F.explode("_bands").alias("b")).where(F.col("_v") <= F.col("b.hi")).select(
@@ -67,7 +67,8 @@ def _join(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     for key in keys:
         part = data[key].eqNullSafe(shaped[f"_k_{key}"])
         condition = part if condition is None else condition & part
-    return data.join(shaped, condition).drop(*[f"_k_{key}" for key in keys])
+    # One row per group, counted before it is broadcast: the raw rows stay where they are.
+    return data.join(small_side(shaped), condition).drop(*[f"_k_{key}" for key in keys])
 
 
 def _with_constant(data: DataFrame, brackets: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def answerable(column: str = "answerable") -> Column:
 
 
 def case_evidence(
-    cases: DataFrame, marked: DataFrame, result_limit: int = fv.DEFAULT_LIMIT, clamp_margin: bool = False
+    cases: DataFrame, marked: DataFrame, result_limit: int = fv.EVALUATION_LIMIT, clamp_margin: bool = False
 ) -> DataFrame:
     """One row per case from its ranked results (which may reach past `result_limit` as a rank probe).
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terralex import schema
 from terralex.functions.ids import text_sha256, translation_key
 from terralex.functions.text import trim_to_null, trimmed
+from terralex.session import materialise
 
 FIELDS = ("description", "name")
 
@@ -125,7 +126,8 @@ def translate_missing(
 ) -> tuple[DataFrame, DataFrame]:
     """(translated entities, new cache records)."""
     keyed = keyed_texts(translation_candidates(entities, fields), identity)
-    fresh = translate_texts(cache_misses(keyed, cache), make_translator, identity)
+    # Stored before use: every consumer reads the same texts, and the model sees each miss once.
+    fresh = materialise(translate_texts(cache_misses(keyed, cache), make_translator, identity))
     known = cache.select("key", "text", "metadata").unionByName(fresh)
     translated = keyed.select("id", "field", "key").join(known, "key")
     return apply_translations(entities, translated, fields), fresh

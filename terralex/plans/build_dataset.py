@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from terralex import fixed_values as fv
 from terralex.operators import enrich, quality
 from terralex.operators.filters import dataset_options
 from terralex.operators.normalize import city_entities, country_entities, gazetteer_id, keep_first, select_representative
-from terralex.session import collect_bounded, fail_on_errors, materialise
+from terralex.session import fail_on_errors, materialise
 from terralex.sources import concordance, gazetteer
 
 
@@ -66,12 +67,16 @@ def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[],
         attempted += 1
         try:
             applied, part = _enrich_type(typed, features[kind](), kind)
-        except Exception as error:  # the source of this type is unavailable or unreadable
+        except (AnalysisException, KeyError, OSError) as error:  # the source of this type is missing or unreadable
             part = {"status": "unavailable", "requested": requested, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0, "nameEn": 0, "nameVi": 0, "error": str(error).splitlines()[0] if str(error) else type(error).__name__}
             outputs.append(typed)
         else:
             succeeded += 1
             outputs.append(applied.select(*columns))
+        listed = part.pop("ambiguityCandidates", None)
+        if listed is not None:
+            known = report.get("ambiguityCandidates")
+            report["ambiguityCandidates"] = listed if known is None else known.unionByName(listed)
         report["byType"][kind] = part
         for key in ("requested", "matched", "ambiguous", "invalid", "scanned", "skippedUnmatched", "nameEn", "nameVi"):
             report[key] += part.get(key, 0)
@@ -94,6 +99,7 @@ def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFra
     applied = materialise(enrich.apply_concordance(matched, typed.columns))
     totals = enrich.concordance_report(applied).where(F.col("type").isNull()).first()
     scan = enrich.scan_report(lines, parsed).first()
+    listed = materialise(enrich.ambiguity_samples(matched, candidates))
     samples = [
         {"type": r["type"], "geonamesId": r["gn_id"], "candidates": r["n"], "smallestCandidate": r["w"]}
         for r in matched.where("match = 'ambiguous'").select("type", "gn_id", F.col("c_candidate_count").alias("n"), F.col("c_wof_id").alias("w")).orderBy("gn_id").limit(fv.SAMPLE_LIMIT).collect()
@@ -102,6 +108,7 @@ def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFra
         "status": "ok", "requested": totals["requested"], "matched": totals["matched"], "ambiguous": totals["ambiguous"],
         "nameEn": totals["name_en"], "nameVi": totals["name_vi"], "scanned": scan["scanned"],
         "skippedUnmatched": scan["skipped_unmatched"], "invalid": scan["invalid"], "ambiguitySamples": samples,
+        "ambiguityCandidates": listed,
     }
     return applied, report
 
@@ -131,7 +138,7 @@ def build_dataset(dumps: Dumps, sources=fv.PUBLIC_SOURCES, types=fv.BACKBONE_TYP
         "sourceCounts": {"geonames": before, "wof": report["matched"]}, "mergedCountBeforeLimit": before,
         "mergedCount": summary["total"], "skipped": options["skipped"], "wofEnrichment": report,
         "coverage": summary | {"continents": continents,
-                               "countries": {r["country_code"]: r["entities"] for r in collect_bounded(quality.country_coverage(entities), 1000, "country codes")}},
+                               "countries": quality.country_coverage(entities)},
         "dataQuality": {
             "policy": fv.QUALITY_POLICY, "issueCount": sum(checks.values()), "checks": checks,
             "issues": [r.asDict() for r in sample[:fv.SAMPLE_LIMIT]], "truncated": len(sample) > fv.SAMPLE_LIMIT,

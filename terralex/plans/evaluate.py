@@ -26,7 +26,7 @@ from terralex.session import materialise
 
 def evaluate_cases(
     cases: DataFrame, results: DataFrame, timings: DataFrame | None = None, decision_threshold: float | None = None,
-    result_limit: int = fv.DEFAULT_LIMIT,
+    result_limit: int = fv.EVALUATION_LIMIT,
 ) -> dict[str, DataFrame]:
     """Tables of a report: evidence, quality, groups, margins, and decision quality / latency when asked for."""
     marked = mark_expected(results, cases)
@@ -44,7 +44,7 @@ def evaluate_cases(
 
 
 def evaluate_collection(
-    cases: DataFrame, query_vectors: DataFrame, collection: DataFrame, result_limit: int = fv.DEFAULT_LIMIT,
+    cases: DataFrame, query_vectors: DataFrame, collection: DataFrame, result_limit: int = fv.EVALUATION_LIMIT,
     rank_probe: int = 100, digits: int = 12,
 ) -> DataFrame:
     """Evidence against a whole collection, looking `rank_probe` results deep for expected ids."""
@@ -57,7 +57,7 @@ def evaluate_collection(
 
 def evaluate_candidates(
     cases: DataFrame, query_vectors: DataFrame, candidates: DataFrame, candidate_count: int,
-    result_limit: int = fv.DEFAULT_LIMIT, digits: int = 12,
+    result_limit: int = fv.EVALUATION_LIMIT, digits: int = 12,
 ) -> DataFrame:
     """Evidence on a bounded candidate set, where every candidate keeps its rank."""
     found = top_k(query_vectors, candidates, candidate_count, digits=digits).withColumnRenamed("query_id", "case_id")
@@ -83,7 +83,7 @@ def compare_variants(before: DataFrame, after: DataFrame, excluded_challenge: st
 
 def text_experiment(
     cases: DataFrame, entities: DataFrame, selection: DataFrame, make_embedder: Callable[[], Embedder],
-    versions: tuple[str, str] = ("v1", "v2.1"), batch_size: int = 128, result_limit: int = fv.DEFAULT_LIMIT, digits: int = 12,
+    versions: tuple[str, str] = ("v1", "v2.1"), batch_size: int = 128, result_limit: int = fv.EVALUATION_LIMIT, digits: int = 12,
 ) -> Mapping[str, DataFrame]:
     """One candidate set, two document texts, one set of query vectors."""
     answerable = cases.where(F.coalesce("answerable", F.lit(True)))

@@ -148,7 +148,7 @@ def _failure_table(rows: DataFrame, failures: dict[str, Column]) -> DataFrame:
 
 def production_gate(
     evidence: DataFrame, results: DataFrame, threshold: float, allowed_false_positives: Sequence[str],
-    known_rank2: Sequence[str] = (), floors: dict = fv.PRODUCTION_FLOORS, limit: int = fv.DEFAULT_LIMIT,
+    known_rank2: Sequence[str] = (), floors: dict = fv.PRODUCTION_FLOORS, limit: int = fv.EVALUATION_LIMIT,
 ) -> DataFrame:
     """No score below the threshold leaks, quality stays above its floors, false positives stay in their envelope."""
     wrong = evidence.where(~F.col("answerable") & (F.col("result_count") > 0))

@@ -15,6 +15,7 @@ from terralex.operators.filters import compatible_runtime, normalise_runtime, re
 from terralex.operators.fingerprint import index_fingerprint
 from terralex.operators.payload import to_points
 from terralex.operators.translate import TranslationIdentity, check_fields, translate_missing, translation_candidates, translation_report
+from terralex.session import materialise
 from terralex.sources.collection_store import CollectionStore
 
 
@@ -40,8 +41,10 @@ def load_collection(
     audit.check_pairing(text_version, collection_name, reserved or {})
     if require_semantic:
         require_semantic_runtime(metadata.get("embedding_runtime"))
+    entities = materialise(entities)  # read for the fingerprint and again for the points
     fingerprint = index_fingerprint(entities, metadata, text_version)
     expected = fingerprint["entity_count"]
+    store.size_for(expected)
     points, matching = stored_counts(store, fingerprint["value"])
     mode = audit.load_mode(points, matching, expected)
     report = {
@@ -54,7 +57,7 @@ def load_collection(
         stamped = to_points(entities, {**metadata, "index_fingerprint": fingerprint["value"]}, text_version)
         pending = store.missing(stamped)
         vectors = embed_texts(pending, "document", make_embedder, batch_size)
-        report["upserted"] = store.insert(vectors)
+        report["upserted"] = store.insert(vectors, unique=True)
         report["points_after"], report["matching_after"] = stored_counts(store, fingerprint["value"])
         audit.verify_load(report["points_after"], report["matching_after"], expected)
     elapsed = time.monotonic() - started

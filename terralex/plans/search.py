@@ -71,21 +71,21 @@ def gate_results(results: DataFrame, result_type: str = "type", intent: str = "i
 
 def search_candidates(
     requests: DataFrame, collection: DataFrame, options: SearchOptions = SearchOptions(),
-    make_embedder: Callable[[], Embedder] | None = None,
+    make_embedder: Callable[[], Embedder] | None = None, keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> DataFrame:
     """Prepared requests -> judged candidates with payload (before the final trim).
 
-    Requests carry `embedding`, or an embedder is applied once per distinct query text.
+    Requests carry `embedding`, or an embedder is applied once per distinct query text. `keep` stores a step.
     """
     if "embedding" not in requests.columns:
         if make_embedder is None:
             raise ValueError("requests need an embedding column or an embedder")
-        requests = embed_distinct(requests, "query", make_embedder)
+        requests = keep(embed_distinct(requests, "query", make_embedder))  # read by several passes below
     key = "entity_id" if "entity_id" in collection.columns else "id"
     searchable = collection if key == "id" else collection.withColumn("id", F.col("entity_id"))
     filters = [c for c in requests.columns if c.startswith("filter_")]
     queries = requests.select("query_id", "embedding", F.col("candidate_limit").alias("k"), "score_threshold", *filters)
-    found = materialise(top_k(queries, searchable, digits=options.digits).withColumnRenamed("rank", "candidate_rank"))
+    found = keep(top_k(queries, searchable, digits=options.digits).withColumnRenamed("rank", "candidate_rank"))
     context = requests.select("query_id", "constraints", "intent")
     judged = attach_payload(found, searchable).join(context, "query_id")
     capital = F.col("facts.capital") if "facts" in judged.columns else F.lit(None).cast("string")
@@ -102,8 +102,8 @@ def search(
     make_embedder: Callable[[], Embedder] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, meta). Results are ranked rows per query; meta is one row per valid request."""
-    valid, _ = prepare_requests(requests, options)
-    judged = search_candidates(valid, collection, options, make_embedder)
+    valid = materialise(prepare_requests(requests, options)[0])
+    judged = materialise(search_candidates(valid, collection, options, make_embedder))
     return search_results(valid, judged), search_meta(valid, judged)
 
 

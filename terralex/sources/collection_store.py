@@ -11,16 +11,37 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 64
+MIN_BUCKETS = 8
+POINTS_PER_BUCKET = 100_000
+
+
+def buckets_for(points: int) -> int:
+    return max(MIN_BUCKETS, -(-points // POINTS_PER_BUCKET))
+
+
+def last_per_id(points: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per point id: the last by `order`; without one, or among ties, by a hash of the row."""
+    last = [F.desc(order)] if order else []
+    by_id = Window.partitionBy("point_id").orderBy(*last, F.desc(F.xxhash64(F.to_json(F.struct("*")))))
+    return points.withColumn("_r", F.row_number().over(by_id)).where("_r = 1").drop("_r")
 
 
 class CollectionStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, expected_points: int = 0):
+        """A new store takes its number of buckets from `buckets`, or from the number of points it is to hold."""
         self.spark, self.path = spark, path.rstrip("/")
         found = self._latest()
-        self.manifest = found or {"version": 0, "buckets": buckets, "segments": {}}
+        self.sized = buckets is not None
+        self.manifest = found or {"version": 0, "buckets": buckets or buckets_for(expected_points), "segments": {}, "schema": None}
+
+    def size_for(self, points: int) -> None:
+        """Derive the number of buckets from the points to come, as long as nothing is stored."""
+        if not self.sized and not self.manifest["version"]:
+            self.manifest["buckets"] = buckets_for(points)
 
     def _latest(self) -> dict | None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest")
@@ -44,19 +65,26 @@ class CollectionStore:
             for bucket, segments in self.manifest["segments"].items() for segment in segments
             if buckets is None or int(bucket) in buckets
         ]
-        return self.spark.read.parquet(*paths) if paths else None
+        if not paths:
+            return None
+        # The recorded schema covers columns that only later segments have.
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(self.manifest["schema"]))).parquet(*paths)
 
     def missing(self, points: DataFrame) -> DataFrame:
         """Points not stored yet (an anti-join on ids only)."""
         current = self.read()
         return points if current is None else points.join(current.select("point_id"), "point_id", "left_anti")
 
-    def insert(self, points: DataFrame) -> int:
-        """Append points known to be absent. Returns the number written."""
+    def insert(self, points: DataFrame, unique: bool = False) -> int:
+        """Append points known to be absent. Returns the number written. Rows of one id are stored once; `unique`
+        says that there are none and saves the shuffle."""
+        points = points if unique else last_per_id(points)
         return self._commit(points, keep=lambda bucket: self.manifest["segments"].get(bucket, []))
 
-    def upsert(self, points: DataFrame) -> int:
-        """Insert or replace by point id; only buckets that receive points are rewritten."""
+    def upsert(self, points: DataFrame, order: str | None = None) -> int:
+        """Insert or replace by point id; only buckets that receive points are rewritten. Of several rows of one
+        id the last by `order` is stored."""
+        points = last_per_id(points, order)
         incoming = points.withColumn("_bucket", self.bucket(F.col("point_id")))
         touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]
         current = self.read(touched)
@@ -69,6 +97,7 @@ class CollectionStore:
         version = self.manifest["version"] + 1
         segment = f"v={version:06d}"
         target = f"{self.path}/data/{segment}"
+        recorded = self._merged_schema(points)
         bucketed = points.withColumn("bucket", self.bucket(F.col("point_id")))
         # Rebalancing sizes the files: small buckets share a task, a large one is split over several.
         bucketed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
@@ -77,11 +106,18 @@ class CollectionStore:
         segments = {b: list(keep(b)) for b in {*self.manifest["segments"], *fresh}}
         for bucket in fresh:
             segments[bucket].append(segment)
-        self.manifest = {"version": version, "buckets": self.manifest["buckets"], "segments": segments}
+        self.manifest = {"version": version, "buckets": self.manifest["buckets"], "segments": segments, "schema": recorded}
         row = self.spark.createDataFrame([(json.dumps(self.manifest),)], "value string")
         row.coalesce(1).write.mode("overwrite").text(f"{self.path}/_manifest/{segment}")
         return sum(r["n"] for r in counts)
 
+    def _merged_schema(self, points: DataFrame) -> str:
+        """Stored columns in their order, then new ones; all nullable, since older segments lack the new ones."""
+        known = T.StructType.fromJson(json.loads(self.manifest["schema"])).fields if self.manifest.get("schema") else []
+        names = {f.name for f in known}
+        fields = [*known, *(f for f in points.schema.fields if f.name not in names)]
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]).json()
+
     def _has_files(self, target: str) -> bool:
         pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*")
         found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)

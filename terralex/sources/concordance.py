@@ -26,14 +26,17 @@ def worth_parsing(features: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Features that may concern a target: the rest is skipped without parsing its JSON.
 
     A feature is kept when it mentions a target id, or carries the key with a value the pattern cannot
-    read, or has no properties (so that it is reported as invalid). Only lines naming several ids, which
-    are rare, are exploded.
+    read, or has no properties (so that it is reported as invalid). Lines naming several ids, which are
+    rare, are matched as one row each: equal lines stay separate rows.
     """
     targets = small_side(target_ids.select(F.col("geoname_id").cast("string").alias("_id")).distinct())
     one = features.where(F.size("_ids") == 1).withColumn("_id", F.get("_ids", F.lit(0)))
     single = one.join(targets, "_id", "left_semi").select("properties")
-    several = features.where(F.size("_ids") > 1).withColumn("_id", F.explode("_ids"))
-    multiple = several.join(targets, "_id", "left_semi").select("properties").dropDuplicates()
+    # Ids meet the targets as (id list, id) pairs; the lines are then kept by their whole id list.
+    several = features.where(F.size("_ids") > 1).withColumn("_ids", F.array_join("_ids", ","))
+    lists = several.select("_ids").distinct().withColumn("_id", F.explode(F.split("_ids", ",")))
+    wanted = lists.join(targets, "_id", "left_semi").select("_ids").distinct()
+    multiple = several.join(wanted, "_ids", "left_semi").select("properties")
     named_key = F.col("properties").contains('"gn:id"') | F.col("properties").contains('"gn:geonameid"')
     unreadable = features.where(F.col("properties").isNull() | ((F.size("_ids") == 0) & named_key))
     return single.unionByName(multiple).unionByName(unreadable.select("properties"))

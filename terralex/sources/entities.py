@@ -47,14 +47,19 @@ def parse_entity_json(raw: DataFrame) -> DataFrame:
     return normalise_entities(shaped)
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array or JSON lines; any invalid row or duplicate id fails."""
-    raw = spark.read.schema(schema.ENTITY_JSON).option("multiLine", True).json(path)
-    return assert_unique(fail_on_errors(parse_entity_json(raw)), "id", "entity id")
+def _read_json(spark: SparkSession, path: str, kind, array: bool) -> DataFrame:
+    """One record per line, which splits; with `array`, files that each hold one JSON array, read whole by one
+    task each. A line that is not a record fails, so an array file is never taken for lines in silence."""
+    return spark.read.schema(kind).option("multiLine", array).option("mode", "FAILFAST").json(path)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.CASE).option("multiLine", True).json(path)
+def read_entities(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """JSON lines, or JSON array files with `array`; any invalid row or duplicate id fails."""
+    return assert_unique(fail_on_errors(parse_entity_json(_read_json(spark, path, schema.ENTITY_JSON, array))), "id", "entity id")
+
+
+def read_cases(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    return _read_json(spark, path, schema.CASE, array)
 
 
 def read_report_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +80,17 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
 
 
 def write_dataset(entities: DataFrame, manifest: dict, path: str) -> None:
+    """Entities, the manifest, and beside it the tables it carries (countries, ambiguity candidates), one Parquet
+    folder each; in the document stands the name of the folder."""
     entities.write.mode("overwrite").parquet(f"{path}/entities")
-    write_json_document(entities.sparkSession, manifest, f"{path}/manifest")
+
+    def stored(value, name: str):
+        if isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(f"{path}/{name}")
+            return {"table": name}
+        return {k: stored(v, k) for k, v in value.items()} if isinstance(value, dict) else value
+
+    write_json_document(entities.sparkSession, stored(manifest, "manifest"), f"{path}/manifest")
 
 
 def write_report(tables: dict[str, DataFrame], summary: dict, path: str) -> None:

@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from terralex import schema
 from terralex.operators.translate import latest_records
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+from terralex.session import path_exists
 
 
 def append_cache(records: DataFrame, path: str) -> None:
-    """Append records; the write time orders them against earlier appends."""
-    records.select("key", "text", "metadata").withColumn(
-        "appended_at", F.current_timestamp()
-    ).write.mode("append").parquet(path)
+    """Append records, one per key; the write time orders them against earlier appends. Of several records of a
+    key the largest by text is kept, whatever order they arrive in."""
+    one = records.groupBy("key").agg(F.max_by(F.struct("text", "metadata"), F.struct("text", F.xxhash64("metadata"))).alias("_r"))
+    one.select("key", "_r.*").withColumn("appended_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Latest usable record per key; an absent cache is empty."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema.CACHE_RECORD)
     return latest_records(spark.read.parquet(path), "appended_at")
 

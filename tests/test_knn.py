@@ -89,6 +89,6 @@ def test_sorted_prefix_forms_agree(spark):
     rows = spark.range(1000).select("id", (F.col("id") * 37 % 101).alias("v")).repartition(9)
     order = [F.desc("v"), F.asc("id")]
     want = [r["id"] for r in rows.orderBy(*order).limit(50).collect()]
-    assert [r["id"] for r in top_n(rows, order, 50, groups=3, many_tasks=True).orderBy(*order).collect()] == want
+    assert [r["id"] for r in top_n(rows, order, 50, groups=3).orderBy(*order).collect()] == want
     numbered = number_rows(rows, order).where("_row <= 50").orderBy("_row")
     assert [r["id"] for r in numbered.collect()] == want
