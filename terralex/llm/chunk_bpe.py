@@ -11,8 +11,10 @@ string, which is exact by definition.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +33,12 @@ class ChunkSettings:
     tokenizer: str  # path of a tokenizers file, the same on every machine
     window: int = 32  # bytes of the rolling hash
     average: int = 512  # bytes of a chunk, a power of two
-    memo_words: int = 300_000  # encoded words that a task remembers
+    memo_words: int = 400_000  # encoded words that a worker remembers, twice over
     broadcast_rows: int = 500_000
 
 
-_IDS = np.dtype("<u4")
+#: A word may be cut before a comma or full stop that ends it: after a letter it is a token of its own.
+_ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 class Encoder:
@@ -49,31 +52,64 @@ class Encoder:
         self.library = Tokenizer.from_file(settings.tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
-        self.limit, self.memo = settings.memo_words, {}
+        self.limit, self.memo, self.older = settings.memo_words, {}, {}
         size = self.library.get_vocab_size(with_added_tokens=True)
+        self.kind = "H" if size <= 1 << 16 else "I"
         self.tokens = [(self.library.id_to_token(i) or "") for i in range(size)] if self.library.decoder is None else None
         self.decimals = [str(i) for i in range(size)]
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or "\0"
+        self.closing = np.array([(self.library.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.lower = "Lowercase" in str(self.library.normalizer)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, _IDS).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array.array(self.kind, e.ids).tobytes() for e in found]
 
-    def whole(self, text: bytes) -> bytes:
-        return self._library([text.decode()])[0]
-
-    def windows(self, texts: list[bytes]) -> list[bytes]:
-        return self._library([t.decode() for t in texts])
+    def words(self, text: bytes) -> list[bytes]:
+        """Pieces of a run of whole words that are encoded each by itself. Where the tokenizer lower-cases, A-Z are
+        lower-cased first (unless special tokens, which are matched as they stand, may be there)."""
+        if self.lower and b"<|" not in text:
+            text = _ENDING.sub(rb" \1", text.lower())
+        return text.split()
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.memo.keys())
+        """Remember the words. Of an older half of the memory only what is used again is kept."""
+        new = words - self.memo.keys()
         if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.memo.update(zip(part, self._library([w.decode() for w in part]), strict=True))
-
-    def run(self, text: bytes) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split()))
+            self.memo, self.older = {}, self.memo
+            new = words
+        known = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in known)
+        letters, others = [], []
+        for w in new - known:
+            (letters if w.decode().isalpha() else others).append(w)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            self.memo.update(zip(part, self.encode(part), strict=True))
+        groups = [letters[at : at + 64] for at in range(0, len(letters), 64)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for words_, data in zip(part, self.encode([b" ".join(g) for g in part]), strict=True):
+                self._divide(words_, data)
+
+    def _divide(self, words: list[bytes], data: bytes) -> None:
+        """Remember words of letters that were encoded in one call. Each is one run of tokens that closes with the
+        only end-of-word token in it; where the numbers differ the words are encoded one by one."""
+        width = array.array(self.kind).itemsize
+        cuts_ = np.flatnonzero(self.closing[np.frombuffer(data, self.kind)]) + 1
+        if len(cuts_) != len(words) or cuts_[-1] * width != len(data):
+            self.memo.update(zip(words, self.encode(words), strict=True))
+            return
+        start = 0
+        for word, end in zip(words, (cuts_ * width).tolist(), strict=True):
+            self.memo[word] = data[start:end]
+            start = end
+
+    def run(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.memo.__getitem__, words))
+
+    def ids(self, data: bytes) -> list[int]:
+        return array.array(self.kind, data).tolist()
 
     def decode(self, ids: list[int]) -> str:
         if self.tokens is None:
@@ -81,14 +117,23 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, ids))  # what decode does for a file without a decoder
 
 
+_ENCODERS: dict[ChunkSettings, Encoder] = {}
+
+
+def encoder_of(settings: ChunkSettings) -> Encoder:
+    """One encoder per worker process, so that its memory of words outlives a task."""
+    if settings not in _ENCODERS:
+        _ENCODERS[settings] = Encoder(settings)
+    return _ENCODERS[settings]
+
+
 def chunk_bounds(t: Texts, settings: ChunkSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of the chunks of a slice of texts: cut after every byte at which the hash of
     the last `window` bytes falls into 1 of `average` and a code point ends."""
-    n, w = len(t.data), settings.window
-    at = np.arange(max(n - w, 0), dtype=np.int64)
-    here = t.hashes(at, at + w)
-    cut = at[(here & np.uint64(settings.average - 1)) == 0] + w
-    cut = cut[(t.data[cut] & 0xC0) != 0x80] if n else cut
+    w = settings.window
+    cut = np.flatnonzero(t.rolling(w) >> np.uint64(64 - (settings.average.bit_length() - 1)) == 0) + w
+    cut = cut[cut < len(t.data)]
+    cut = cut[(t.data[cut] & 0xC0) != 0x80]
     owner = np.searchsorted(t.offsets, cut, "right") - 1
     cut = cut[cut - w >= t.offsets[owner]] if len(cut) else cut
     edges = np.unique(np.concatenate([t.offsets, cut]))
@@ -113,7 +158,7 @@ def _keys(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
 
 
 def chunk_keys(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
-    """doc_id, content, number, a, b of every chunk that has an interior."""
+    """content, number, a, b of every chunk that has an interior, with the smallest doc_id of that content."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +176,15 @@ def chunk_keys(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
                     [part.column("doc_id").take(at), part.column("content").take(at), pa.array(number[keep].astype(np.int32)), pa.array(a), pa.array(b)],
                     names=["doc_id", "content", "number", "a", "b"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, content long, number int, a long, b long")
+    found = docs.mapInArrow(run, f"doc_id {kind}, content binary, number int, a long, b long")
+    return found.groupBy("content", "number", "a", "b").agg(F.min("doc_id").alias("doc_id"))
 
 
 def encode_shared(rows: DataFrame, settings: ChunkSettings) -> DataFrame:
     """a, b, ids of the chunks named by the list `numbers` beside each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(settings)
+        encoder = encoder_of(settings)
         for batch in batches:
             for start, count in cuts(batch.column("text")):
                 part = batch.slice(start, count)
@@ -149,8 +195,8 @@ def encode_shared(rows: DataFrame, settings: ChunkSettings) -> DataFrame:
                 low, high = _interiors(t, starts[picked], ends[picked])
                 a, b = _keys(t, starts[picked], ends[picked])
                 raw = t.data.tobytes()
-                runs = [raw[x:y] for x, y in zip(low, high, strict=True)]
-                encoder.learn({w for r in runs for w in r.split()})
+                runs = [encoder.words(raw[x:y]) for x, y in zip(low, high, strict=True)]
+                encoder.learn({w for r in runs for w in r})
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([pack(encoder.run(r)) for r in runs], pa.binary())], names=["a", "b", "ids"])
 
     return rows.select("text", "numbers").mapInArrow(run, "a long, b long, ids binary")
@@ -186,34 +232,46 @@ def encode_documents(docs: DataFrame, settings: ChunkSettings, digests: bool = T
     empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    inner = docs.select("doc_id", F.xxhash64("text").alias("content"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    inner = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("content"), text.alias("text"))
     keys = materialise(chunk_keys(inner, settings))
+    # Copies of a text are one content, so a chunk is shared if it stands in two contents or twice in one.
     shared = keys.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "content", "number")).alias("one")).where("n > 1")
     holders = shared.groupBy(F.col("one.doc_id").alias("_d"), F.col("one.content").alias("_c")).agg(F.collect_set("one.number").alias("numbers"))
     holders = small_side(materialise(holders), settings.broadcast_rows)
     held = inner.join(holders, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c")))
     once = materialise(encode_shared(held, settings).dropDuplicates(["a", "b"]))
-    reused = keys.join(once, ["a", "b"]).groupBy(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.collect_list(F.struct("number", "ids")).alias("reused"))
-    packed = inner.mapInArrow(_packed_texts, f"doc_id {kind}, content long, packed binary")
-    rows = packed.join(reused, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c")), "left")
+    reused = keys.join(once, ["a", "b"]).groupBy(F.col("content").alias("_c")).agg(F.collect_list(F.struct("number", "ids")).alias("reused"))
+    packed = inner.mapInArrow(_packed_texts, f"doc_id {kind}, content binary, packed binary")
+    rows = packed.join(reused, F.col("content") == F.col("_c"), "left")
     result = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(settings)
+        encoder, last, done = encoder_of(settings), None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                coded = _encode_part(part, encoder, settings)
-                sizes = pa.array([len(x) for x in coded], pa.int64())
-                if digests:
-                    first = [hashlib.sha256(" ".join(map(encoder.decimals.__getitem__, x)).encode()).hexdigest() for x in coded]
-                    second = [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in coded]
-                    arrays, names = [pa.array(first), pa.array(second)], ["ids_sha256", "decoded_sha256"]
-                else:
-                    arrays, names = [pa.array(coded, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in coded])], ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, *arrays], names=["doc_id", "n_tokens", *names])
+                contents = part.column("content").to_pylist()
+                new = [i for i, c in enumerate(contents) if c != (contents[i - 1] if i else last)]  # copies stand together
+                made = iter(_results(_encode_part(part.take(pa.array(new, pa.int32())), encoder, settings), encoder, digests))
+                fresh, results = set(new), []
+                for i in range(len(contents)):
+                    done = next(made) if i in fresh else done
+                    results.append(done)
+                last = contents[-1]
+                types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.string()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*results, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+
+    return rows.select("doc_id", "content", "packed", "reused").mapInArrow(run, f"doc_id {kind}, n_tokens long, {result}")
+
 
-    return rows.select("doc_id", "packed", "reused").mapInArrow(run, f"doc_id {kind}, n_tokens long, {result}")
+def _results(coded: list[list[int]], encoder: Encoder, digests: bool) -> Iterator[tuple]:
+    for ids in coded:
+        if digests:
+            yield (len(ids), hashlib.sha256(" ".join(map(encoder.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+        else:
+            yield len(ids), ids, encoder.decode(ids)
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +299,17 @@ def _encode_part(part: pa.RecordBatch, encoder: Encoder, settings: ChunkSettings
                 start, end = _join_window(raw, a, b)
                 windows.append(raw[start:end])
                 sides.append((i, raw[start:a], raw[a:b], raw[b:end]))
-    encoder.learn({w for raw, plan in zip(raws, plans, strict=True) for a, b, ids in plan if ids is None for w in raw[a:b].split()}
-                  | {w for _, left, _, right in sides for w in (*left.split(), *right.split())})
+    words = encoder.words
+    runs = [[words(raw[a:b]) if ids is None else None for a, b, ids in plan] for raw, plan in zip(raws, plans, strict=True)]
+    sides = [(i, words(left), words(middle), words(right)) for i, left, middle, right in sides]
+    needed = {w for run in runs for found in run if found for w in found}
+    for _, left, middle, right in sides:
+        needed.update(left, middle, right)
+    encoder.learn(needed)
     run = encoder.run
-    torn = {i for (i, left, middle, right), ids in zip(sides, encoder.windows(windows), strict=True) if ids != run(left) + run(middle) + run(right)}
+    torn = {i for (i, left, middle, right), ids in zip(sides, encoder.encode(windows), strict=True) if ids != run(left) + run(middle) + run(right)}
     out = []
     for i, (raw, plan) in enumerate(zip(raws, plans, strict=True)):
-        ids = encoder.whole(raw) if i in torn else b"".join(run(raw[a:b]) if ids is None else ids for a, b, ids in plan)
-        out.append(np.frombuffer(ids, _IDS).tolist())
+        data = encoder.encode([raw])[0] if i in torn else b"".join(ids if found is None else run(found) for (_, _, ids), found in zip(plan, runs[i], strict=True))
+        out.append(encoder.ids(data))
     return out

@@ -104,11 +104,20 @@ class Texts:
         self.count = len(texts)
         self._sums = None
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _running(self) -> tuple[np.ndarray, np.ndarray]:
         up, down = _powers(len(self.data) + 1)
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_BYTE_VALUES[self.data] * up[: len(self.data)], out=self._sums[1:])
+        return self._sums, down
+
+    def rolling(self, window: int) -> np.ndarray:
+        """A hash of every `window` bytes in a row, by where they start."""
+        sums, down = self._running()
+        return (sums[window:] - sums[:-window]) * down[: max(len(sums) - window, 0)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        _, down = self._running()
         spans = (self._sums[ends] - self._sums[starts]) * down[starts]
         return mix(spans ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
