@@ -27,7 +27,7 @@ from terralex.session import materialise
 
 @dataclass(frozen=True)
 class Sampling:
-    coordinates: int = 64
+    coordinates: int = 128
     partition_bytes: int = 64 << 20  # of text
 
 
