@@ -28,7 +28,10 @@ class ToxicSettings:
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 8)  # bytes of a word's beginning, lower case; and the whole word
     support: int = 2  # toxic documents that a marking feature needs,
     support_share: float = 0.012  # and this share of the toxic documents besides
-    purity: float = 0.9
+    purity: float = 0.97
+    #: Clean documents in which a marking feature may stand by chance: this many, and more where few are known.
+    stray: float = 1.0
+    stray_documents: int = 200
     segment: int = 256  # tokens per chain while fitting; inference runs over whole texts
     steps: int = 80
     l2: float = 1e-3
@@ -118,7 +121,7 @@ def _marking_features(hashes: list[np.ndarray], toxic: np.ndarray, s: ToxicSetti
     for h in good:
         at = _lookup(feature, h)
         clean[at[at >= 0]] += 1
-    rate_bad, rate_good = n / len(bad), clean / max(len(good), 1)
+    rate_bad, rate_good = n / len(bad), np.maximum(clean - s.stray - s.stray_documents / max(len(good), 1), 0) / max(len(good), 1)
     return feature[rate_bad / (rate_bad + rate_good) >= s.purity]
 
 
