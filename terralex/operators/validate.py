@@ -144,18 +144,18 @@ def validate_cases(cases: DataFrame, entities: DataFrame) -> DataFrame:
     blank = F.coalesce(F.size("expected_ids"), F.lit(-1)) < 0
     some = F.size("expected_ids") > 0
     errors = F.array_compact(F.array(
-        _unless(trim_to_null(F.col("id")).isNotNull(), "case id is required"),
-        F.when(F.col("_copies") > 1, F.lit("duplicate case id")),
-        _unless(F.col("language").isin(*fv.CASE_LANGUAGES), "unsupported language"),
-        _unless(F.col("category").isin(*fv.CATEGORY_TYPES), "unsupported category"),
-        _unless(trim_to_null(F.col("query")).isNotNull(), "query is required"),
-        F.when(blank, F.lit("expected_ids is required")),
-        F.when(no_answer & can_answer, F.lit("no-answer case must declare answerable=false")),
-        F.when(no_answer & some, F.lit("no-answer case must not define expected_ids")),
-        F.when(~no_answer & ~can_answer, F.lit("answerable category cannot declare answerable=false")),
-        F.when(~no_answer & ~some & ~blank, F.lit("expected_ids is required")),
-        F.when(~no_answer & F.exists("expected_ids", lambda x: x.rlike(r"^[Qq][0-9]+\z")), F.lit("stale Q-id")),
-        F.when(~no_answer & (F.col("_absent") > 0), F.lit("expected id not present in dataset")),
-        F.when(~no_answer & (F.col("_mistyped") > 0), F.lit("expected entity has the wrong type for its category")),
+        _unless(trim_to_null(F.col("id")).isNotNull(), "id is blank"),
+        F.when(F.col("_copies") > 1, F.lit("id occurs more than once")),
+        _unless(F.col("language").isin(*fv.CASE_LANGUAGES), "language is not one of the two"),
+        _unless(F.col("category").isin(*fv.CATEGORY_TYPES), "category is unknown"),
+        _unless(trim_to_null(F.col("query")).isNotNull(), "query is blank"),
+        F.when(blank, F.lit("expected ids are missing")),
+        F.when(no_answer & can_answer, F.lit("a case without an answer is marked answerable")),
+        F.when(no_answer & some, F.lit("a case without an answer names expected ids")),
+        F.when(~no_answer & ~can_answer, F.lit("category has answers but the case is marked unanswerable")),
+        F.when(~no_answer & ~some & ~blank, F.lit("expected ids are missing")),
+        F.when(~no_answer & F.exists("expected_ids", lambda x: x.rlike(r"^[Qq][0-9]+\z")), F.lit("expected id is of the old form")),
+        F.when(~no_answer & (F.col("_absent") > 0), F.lit("expected id is in no entity")),
+        F.when(~no_answer & (F.col("_mistyped") > 0), F.lit("expected entity is not of the category's type")),
     ))
     return rows.withColumn("_errors", errors).drop("_copies", "_absent", "_mistyped")
