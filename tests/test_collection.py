@@ -141,7 +141,7 @@ def test_search_end_to_end(spark, tmp_path):
         (1, "Name 3 ddddd", None), (2, "Which country has Tokyo as its capital?", None), (3, "Which country has Paris as its capital?", None),
         (4, "What is the plot of the movie Name?", None), (5, " ", None), (6, "Name 4 eeeee", "Europe"),
     ], "query_id int, query string, filter_continent string")
-    options = SearchOptions(default_limit=3)
+    options = SearchOptions(default_limit=3, default_threshold=0.0)
     results, meta = search(requests, points, options, grams)
     rows = {}
     for r in results.orderBy("query_id", "rank").collect():
@@ -154,7 +154,7 @@ def test_search_end_to_end(spark, tmp_path):
     assert set(counters) == {1, 2, 3, 4, 6}
     assert counters[3]["candidate_limit"] == 15 and counters[3]["rejected_capital"] > 0 and counters[3]["count"] == 0
     assert counters[4]["intent_applied"] and counters[4]["intent_rejected"] == 3
-    off, _ = search(requests, points, SearchOptions(verify_consistency=False, gate_intent=False, default_limit=3), grams)
+    off, _ = search(requests, points, SearchOptions(verify_consistency=False, gate_intent=False, default_limit=3, default_threshold=0.0), grams)
     assert off.where("query_id = 4").count() == 3
     assert [r["query_id"] for r in prepare_requests(requests, options)[1].collect()] == [5]
 
