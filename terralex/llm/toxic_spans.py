@@ -33,6 +33,7 @@ class ToxicSettings:
     stray: float = 1.0
     stray_documents: int = 200
     segment: int = 256  # tokens per chain while fitting; inference runs over whole texts
+    chains_at_once: int = 1024
     steps: int = 80
     l2: float = 1e-3
     calibration_share: float = 0.3
@@ -92,13 +93,17 @@ class FeatureTable:
 # ---- fitting ----------------------------------------------------------------------------------------------
 
 
-def _without_copies(shingles: list[np.ndarray]) -> np.ndarray:
+def _smallest(values: np.ndarray, number: int) -> list[int]:
+    """The smallest hash of a document's word triples under each of four orders."""
+    return [int(mix(values ^ np.uint64(k + 1)).min()) for k in range(4)] if len(values) else [number] * 4
+
+
+def _without_copies(smallest: list[list[int]]) -> np.ndarray:
     """Which documents to keep so that near copies do not count as independent evidence: a document goes if it
-    shares the smallest hash of its word triples, under any of four orders, with an earlier one."""
+    shares a smallest hash with an earlier one."""
     seen: list[set] = [set() for _ in range(4)]
     kept = []
-    for i, values in enumerate(shingles):
-        least = [int(mix(values ^ np.uint64(k + 1)).min()) for k in range(4)] if len(values) else [i] * 4
+    for i, least in enumerate(smallest):
         if not any(v in s for v, s in zip(least, seen, strict=True)):
             kept.append(i)
         for v, s in zip(least, seen, strict=True):
@@ -141,46 +146,72 @@ def _messages(potentials: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np
     return forward, backward, scale
 
 
-def _fit_field(known: list[np.ndarray], tags: list[np.ndarray], n_features: int, s: ToxicSettings) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood with an L2 penalty by Adam, exact gradients from forward-backward.
-
-    known: per document, token x feature slot, index of a feature or -1; tags: per document, state per token.
-    """
-    width = s.segment
-    chains, answers = [], []
-    for k, y in zip(known, tags, strict=True):
-        for a in range(0, len(y), width):
-            pad = width - len(y[a : a + width])
-            chains.append(np.pad(k[a : a + width], ((0, pad), (0, 0)), constant_values=-1))
-            answers.append(np.pad(y[a : a + width], (0, pad), constant_values=-1))
-    if not chains:
+@dataclass(frozen=True)
+class Tagged:
+    """A document for fitting: its length, and where which known feature stands; the state of those tokens is
+    `tag`, that of all others clean."""
+
+    length: int
+    token: np.ndarray
+    feature: np.ndarray
+    tag: int
+
+
+def _tagged(hashes: np.ndarray, marking: np.ndarray, toxic: int) -> Tagged:
+    at = _lookup(marking, hashes)
+    token, slot = np.nonzero(at >= 0)
+    return Tagged(len(hashes), token.astype(np.int32), at[token, slot].astype(np.int32), toxic)
+
+
+def _chains(docs: list[Tagged], width: int) -> tuple[np.ndarray, ...]:
+    """Documents cut into chains of `width` tokens: state per token (-1 beyond the end), and chain, place and
+    feature of every known feature."""
+    counts = [-(-d.length // width) for d in docs]
+    states = np.full((sum(counts), width), -1, np.int8)
+    rows, columns, features, first = [], [], [], 0
+    for d, n in zip(docs, counts, strict=True):
+        flat = states[first : first + n].reshape(-1)
+        flat[: d.length] = 0
+        flat[d.token] = d.tag
+        rows.append(first + d.token // width)
+        columns.append(d.token % width)
+        features.append(d.feature)
+        first += n
+    return states, *(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, columns, features))
+
+
+def _fit_field(docs: list[Tagged], n_features: int, s: ToxicSettings) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum likelihood with an L2 penalty by Adam; exact gradients from forward-backward, added up over
+    `chains_at_once` chains at a time."""
+    y, row, col, index = _chains(docs, s.segment)
+    if not len(y):
         return np.zeros(n_features), -5.0, np.zeros((2, 2))
-    k, y = np.stack(chains), np.stack(answers)
     real = y >= 0
-    row, col, slot = np.nonzero(k >= 0)
-    index = k[row, col, slot]
-    y = np.maximum(y, 0)
-    before = np.concatenate([np.zeros((len(y), 1), int), y[:, :-1]], axis=1)
+    before = np.concatenate([np.zeros((len(y), 1), np.int8), y[:, :-1]], axis=1)
     seen = np.array([[(real & (before == a) & (y == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    observed = np.bincount(index, y[row, col], n_features)
+    observed, positive = np.bincount(index, y[row, col], n_features), float((y == 1).sum())
+    parts = [(a, a + s.chains_at_once, *np.searchsorted(row, (a, a + s.chains_at_once))) for a in range(0, len(y), s.chains_at_once)]
     parameters = np.concatenate([np.zeros(n_features), [-3.0], [0.0, -1.0, 0.0, 0.0]])
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     total = real.sum()
     for step in range(1, s.steps + 1):
         weights, bias, moves = parameters[:n_features], parameters[n_features], np.exp(parameters[n_features + 1 :].reshape(2, 2))
-        emission = np.full(y.shape, bias)
-        np.add.at(emission, (row, col), weights[index])
-        potentials = np.ones((*y.shape, 2))
-        potentials[..., 1] = np.exp(np.clip(emission, -30, 30))
-        potentials[~real] = 1.0
-        forward, backward, scale = _messages(potentials, moves)
-        marginal = forward[..., 1] * backward[..., 1] / (forward * backward).sum(axis=2)
-        previous = np.concatenate([np.tile([1.0, 0.0], (len(y), 1, 1)), forward[:, :-1]], axis=1)
-        ahead = backward * potentials / scale[..., None]
-        pairs = np.einsum("nta,ntb,nt->ab", previous, ahead, real) * moves
-        gradient = np.concatenate([
-            observed - np.bincount(index, marginal[row, col], n_features), [((y - marginal) * real).sum()], (seen - pairs).ravel()])
-        gradient = gradient / np.sqrt(total) - s.l2 * parameters
+        expected, hot, pairs = np.zeros(n_features), 0.0, np.zeros((2, 2))
+        for a, b, lo, hi in parts:
+            here, r, c, f = real[a:b], row[lo:hi] - a, col[lo:hi], index[lo:hi]
+            emission = np.full(here.shape, bias)
+            np.add.at(emission, (r, c), weights[f])
+            potentials = np.ones((*here.shape, 2))
+            potentials[..., 1] = np.exp(np.clip(emission, -30, 30))
+            potentials[~here] = 1.0
+            forward, backward, scale = _messages(potentials, moves)
+            marginal = forward[..., 1] * backward[..., 1] / (forward * backward).sum(axis=2)
+            previous = np.concatenate([np.tile([1.0, 0.0], (len(here), 1, 1)), forward[:, :-1]], axis=1)
+            ahead = backward * potentials / scale[..., None] * here[..., None]
+            pairs += np.einsum("nta,ntb->ab", previous, ahead)
+            expected += np.bincount(f, marginal[r, c], n_features)
+            hot += marginal[here].sum()
+        gradient = np.concatenate([observed - expected, [positive - hot], (seen - pairs * moves).ravel()]) / np.sqrt(total) - s.l2 * parameters
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         parameters = parameters + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return parameters[:n_features], float(parameters[n_features]), parameters[n_features + 1 :].reshape(2, 2)
@@ -220,14 +251,15 @@ def fit_sample(texts: pa.Array, toxic: np.ndarray, s: ToxicSettings) -> ToxicMod
         features, words = token_features(t, starts, ends, s), t.hashes(starts, ends)
         for a, b in zip(before[:-1], before[1:], strict=True):
             hashes.append(features[a:b])
-            triples.append(_triples(words[a:b]))
+            triples.append(_smallest(_triples(words[a:b]), len(triples)))
     kept = _without_copies(triples)
     held = kept[: int(len(kept) * s.calibration_share)]
     used = kept[len(held) :]
     marking = _marking_features([hashes[i] for i in used], toxic[used], s)
-    known = [_lookup(marking, hashes[i]) for i in used]
-    tags = [((k >= 0).any(axis=1) & (y == 1)).astype(int) for k, y in zip(known, toxic[used], strict=True)]
-    weights, bias, transitions = _fit_field(known, tags, len(marking), s)
+    tagged = [_tagged(hashes[i], marking, int(toxic[i])) for i in used]
+    for i in used:
+        hashes[i] = None  # not needed again
+    weights, bias, transitions = _fit_field(tagged, len(marking), s)
     model = ToxicModel(marking, weights, bias, transitions, np.zeros(3), s)
     table = FeatureTable(marking, weights)
     evidence = []
