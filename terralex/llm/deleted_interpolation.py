@@ -8,6 +8,9 @@ its distinct words and word pairs, sorted, with their training counts, cut into
 group and slot. A slot adds up the counts of all groups and answers every group with the totals of the keys it
 sent, in their order. The group then has the corpus counts of all its tokens at hand. A key occurs once per group
 however frequent it is, so a word that makes up a third of all tokens is no hot spot.
+
+The weights are learned on every document of one training fold. A slot answers a second time with the totals of
+only those keys that stand in the group's documents of that fold, so these documents are resolved without the rest.
 """
 
 from __future__ import annotations
@@ -36,9 +39,6 @@ class Interpolation:
     em_fold: int = 0  # training fold whose counts are held out while the weights are learned
     group_bytes: int = 4 << 20  # of text
     slot_bytes: int = 16 << 20
-    #: The weights are fitted on the held-out counts of at most so many groups of documents; all counts that the
-    #: estimates rest on come from the whole corpus.
-    em_groups: int = 16
     buckets: int = 40  # of the context's count, by powers of two
     iterations: int = 60
 
@@ -134,49 +134,51 @@ class Scorer:
             totals = [np.bincount(inverse, np.concatenate([_from_planes(x, np.uint32) for x in table.column(c).to_pylist()]), len(keys)).astype(np.uint64) for c in ("em", "rest")]
             ends = np.cumsum([len(p) for p in parts])
             replies = [[_planes(t[inverse[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)] for t in totals]
+            own = [_from_planes(x, np.uint32) > 0 for x in table.column("em").to_pylist()]
+            held = [_planes(totals[1][inverse[e - len(p) : e][f]]) if f.any() else None for p, e, f in zip(parts, ends, own, strict=True)]
             words = slot < slots
             sums = [int(totals[0].sum() + totals[1].sum()), int(totals[1].sum()), int((totals[0] + totals[1] > 0).sum())] if words else [0, 0, 0]
             count = len(groups)
             return pa.table({
                 "grp": pa.array([*groups, -1], pa.int32()), "slot": pa.array([slot] * (count + 1), pa.int32()),
                 "em": pa.array([*replies[0], None], pa.binary()), "rest": pa.array([*replies[1], None], pa.binary()),
+                "held": pa.array([*held, None], pa.binary()),
                 **{c: pa.array([0] * count + [x], pa.int64()) for c, x in zip(("n", "n_rest", "v"), sums, strict=True)}})
 
         sent = packed.groupBy("grp").applyInArrow(send, "slot int, grp int, keys binary, em binary, rest binary")
-        return sent.groupBy("slot").applyInArrow(answer, "grp int, slot int, em binary, rest binary, n long, n_rest long, v long")
+        return sent.groupBy("slot").applyInArrow(answer, "grp int, slot int, em binary, rest binary, held binary, n long, n_rest long, v long")
 
-    def _resolved(self, inner: DataFrame, totals: DataFrame, use, schema: str) -> DataFrame:
-        """`use(table, tokens, counts)` per group; counts: (kind, "em" or "rest") -> totals per token."""
+    def _resolved(self, inner: DataFrame, replies: DataFrame, use, schema: str) -> DataFrame:
+        """`use(table, tokens, counts)` per group; counts: (kind, column of the replies) -> totals per token. The
+        replies of a group are those for all keys of its documents in `inner`."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             left, right = _sorted_rows(left), right.sort_by("slot")
             tokens, counts = GroupTokens(_group_texts(left)), {}
             kinds = right.column("slot").to_numpy() >= slots
             for kind in (WORDS, PAIRS):
-                for c in ("em", "rest"):
-                    replies = [_from_planes(x, np.uint64) for x, k in zip(right.column(c).to_pylist(), kinds, strict=True) if k == kind]
-                    counts[kind, c] = np.concatenate(replies).astype(np.float64)[tokens.inverse[kind]]
+                for c in columns:
+                    found = [_from_planes(x, np.uint64) for x, k in zip(right.column(c).to_pylist(), kinds, strict=True) if k == kind]
+                    counts[kind, c] = np.concatenate(found).astype(np.float64)[tokens.inverse[kind]]
             return use(left, tokens, counts)
 
-        slots = self.slots
-        replies = totals.where("grp >= 0").select("grp", "slot", "em", "rest")
+        slots, columns = self.slots, [c for c in replies.columns if c not in ("grp", "slot")]
         return self._packed(inner).groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(run, schema)
 
     def weights(self) -> np.ndarray:
-        """bucket x order (0, 1, 2), learned on the held-out fold of a bounded number of groups."""
+        """bucket x order (0, 1, 2), learned on all documents of the held-out training fold."""
         o, n_rest, v = self.options, self.n_rest, self.v
 
         def events(table: pa.Table, tokens: GroupTokens, counts: dict) -> pa.Table:
-            held = np.repeat(table.column("fold").to_numpy() == o.em_fold, np.diff(tokens.offsets))
-            context = _contexts(tokens, counts[WORDS, "rest"])[held]
-            p2 = counts[PAIRS, "rest"][held] / np.maximum(context, 1)
-            p1 = counts[WORDS, "rest"][held] / max(n_rest, 1)
+            context = _contexts(tokens, counts[WORDS, "held"])
+            p2 = counts[PAIRS, "held"] / np.maximum(context, 1)
+            p1 = counts[WORDS, "held"] / max(n_rest, 1)
             cells = np.stack([_bucket(context, o), *(np.where(p > 0, np.round(8 * np.log2(np.maximum(p, 1e-300))), 1) for p in (p2, p1))], axis=1).astype(np.int64)
-            cells, n = np.unique(cells, axis=0, return_counts=True) if len(cells) else (cells, np.zeros(0, np.int64))
+            cells, n = np.unique(cells, axis=0, return_counts=True)
             return pa.table({"bucket": cells[:, 0], "q2": cells[:, 1], "q1": cells[:, 2], "n": n.astype(np.int64)})
 
-        chosen = F.col("grp") < o.em_groups
-        cells = self._resolved(self.inner.where(chosen), self.totals.where(chosen), events, "bucket long, q2 long, q1 long, n long")
+        replies = self.totals.where("grp >= 0 AND held IS NOT NULL").select("grp", "slot", "held")
+        cells = self._resolved(self.inner.where(F.col("fold") == o.em_fold), replies, events, "bucket long, q2 long, q1 long, n long")
         found = cells.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()  # probabilities in eighths of a power of two
         bucket, q2, q1, n = (found.column(c).to_numpy() for c in ("bucket", "q2", "q1", "n"))
         p = np.stack([np.full(len(n), 1 / (v + 1)), np.where(q1 > 0, 0, 2.0 ** (q1 / 8)), np.where(q2 > 0, 0, 2.0 ** (q2 / 8))], axis=1)
@@ -201,7 +203,7 @@ class Scorer:
                 "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at)})
 
         schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return self._resolved(self.inner, self.totals, score, schema)
+        return self._resolved(self.inner, self.totals.where("grp >= 0").select("grp", "slot", "em", "rest"), score, schema)
 
 
 def _contexts(tokens: GroupTokens, word: np.ndarray) -> np.ndarray:

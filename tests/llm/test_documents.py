@@ -268,6 +268,33 @@ def test_deleted_interpolation(name, request):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=2e-3)
 
 
+def test_weights_are_learned_on_every_group(spark):
+    """Many groups: the weights are those of all events of the fold, counted by plain Python."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 40)) % 500)) for i in range(400)]
+    options = deleted_interpolation.Interpolation(group_bytes=512, slot_bytes=1 << 12)
+    scorer = deleted_interpolation.Scorer(spark.createDataFrame(rows, "doc_id long, text string"), options)
+    assert scorer.groups > 40
+    fold = {i: brute.fold(i, options.folds) for i, _ in rows}
+    one, two, events = collections.Counter(), collections.Counter(), []
+    for i, text in rows:
+        seen = [None, *brute.words(text), ""]  # the start, and the end of a text
+        if fold[i] == options.em_fold:
+            events += zip(seen[:-1], seen[1:], strict=True)
+        elif fold[i] != options.held_out_fold:
+            one.update(seen[1:])
+            two.update(zip(seen[:-1], seen[1:], strict=True))
+    vocabulary = {w for i, t in rows if fold[i] != options.held_out_fold for w in [*brute.words(t), ""]}
+    context = np.array([one["" if a is None else a] for a, _ in events])
+    p2, p1 = np.array([two[e] for e in events]) / np.maximum(context, 1), np.array([one[b] for _, b in events]) / sum(one.values())
+    near = [np.where(x > 0, 2.0 ** (np.round(8 * np.log2(np.maximum(x, 1e-300))) / 8), 0) for x in (p1, p2)]
+    p, n = np.column_stack([np.full(len(events), 1 / (len(vocabulary) + 1)), *near]), np.ones(len(events))
+    em, k = deleted_interpolation.expectation_maximisation, options.buckets
+    pooled = em(np.zeros(len(events), int), p, n, 1, np.full((1, 3), 1 / 3), options.iterations)
+    want = em(np.floor(np.log2(context + 1)).astype(int), p, n, k, np.repeat(pooled, k, axis=0), options.iterations)
+    assert np.allclose(scorer.weights(), want, atol=1e-9)
+
+
 def test_expectation_maximisation_finds_the_mixture():
     rng = np.random.default_rng(0)
     p = rng.random((4000, 3)) ** 3
