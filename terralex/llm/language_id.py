@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.llm.common import cuts, fold_of, hash_sample, mix
+from terralex.llm.common import cuts, fold_of, mix
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -21,9 +21,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 class LanguageSettings:
     orders: tuple[int, ...] = (1, 2, 3)
     log_features: int = 17
-    #: The classifier is fitted on at most so many labelled documents, those with the smallest id hashes. The
-    #: document frequencies behind the IDF weights come from every training document.
+    #: The classifier is fitted on so many labelled documents, shared out evenly among all languages of the training
+    #: rows, but on `language_rows` of each language at least; of each those with the smallest id hashes. The document
+    #: frequencies behind the IDF weights, and the languages' shares, come from every training document.
     sample_rows: int = 3000
+    language_rows: int = 200
     calibration_share: float = 0.2
     epochs: int = 3
     alpha: float = 0.5
@@ -106,23 +108,61 @@ def _vectors(texts: list[str], idf: np.ndarray, settings: LanguageSettings) -> l
     return out
 
 
+def _spread() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+
+
+def language_sizes(train: DataFrame) -> dict[str, tuple[int, int]]:
+    """language -> (documents, smallest id hash)."""
+    return {r["lang"]: (r["n"], r["least"]) for r in train.groupBy("lang").agg(F.count("*").alias("n"), F.min(_spread()).alias("least")).collect()}
+
+
+def language_sample(train: DataFrame, sizes: dict[str, tuple[int, int]], rows: int) -> list[dict]:
+    """At most `rows` documents (spread, text, lang) of every language, those with the smallest id hashes, and one at
+    least. A hash bound per language, with room to spare, goes first: where ids differ, no task ranks more than about
+    twice a language's share."""
+    bounds = [(lang, max(least + 1, min(1 << 32, (1 << 32) * (2 * rows + 100) // n))) for lang, (n, least) in sizes.items()]
+    bounds = train.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = train.select("text", "lang", _spread().alias("spread"), F.xxhash64("text").alias("content")).join(F.broadcast(bounds), "lang").where("spread < bound")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "content"))
+    found = near.withColumn("place", place).where(F.col("place") <= rows).select("spread", "content", "lang", "text").toArrow().to_pylist()
+    return sorted(found, key=lambda r: (r["spread"], r["content"], r["lang"]))
+
+
+def _calibration_rows(labels: np.ndarray, share: float) -> np.ndarray:
+    """Whether a row is held out for the temperature: the first `share` of each language, rounded down."""
+    held = np.zeros(len(labels), bool)
+    for label in np.unique(labels):
+        at = np.flatnonzero(labels == label)
+        held[at[: int(len(at) * share)]] = True
+    return held
+
+
 def fit(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
-    """Learn from text and non-null lang of the documents outside the held-out fold."""
+    """Learn from text and non-null lang of the documents outside the held-out fold: every language that stands
+    there. It is fitted as if all sampled rows were typical; the bias then moves from the sample's shares of the
+    languages to those of all training rows, and calibration rows count by these."""
     train = docs.where((fold_of(F.col("doc_id"), settings.folds) != settings.held_out_fold) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     found, total = document_frequencies(train, settings)
     idf = np.log((1 + total) / (1 + found)) + 1
-    picked = hash_sample(train, settings.sample_rows, total).select("text", "lang").toArrow().to_pylist()
-    languages = sorted({r["lang"] for r in picked})
+    sizes = language_sizes(train)
+    languages = sorted(sizes)
     size, k = 1 << settings.log_features, len(languages)
     if k == 0:
         return LanguageModel([], np.zeros((size, 0), np.float32), np.zeros(0), settings)
-    vectors, labels = _vectors([r["text"] for r in picked], idf, settings), [languages.index(r["lang"]) for r in picked]
-    held = int(len(vectors) * settings.calibration_share)
-    weights, bias = _follow_the_regularised_leader(vectors[held:], labels[held:], size, k, settings)
-    logits = np.array([x @ weights[f] + bias for f, x in vectors[:held]]).reshape(held, k)
-    temperature = _temperature(logits, np.array(labels[:held], int))
+    picked = language_sample(train, sizes, max(settings.sample_rows // k, settings.language_rows))
+    number = {lang: i for i, lang in enumerate(languages)}
+    vectors, labels = _vectors([r["text"] for r in picked], idf, settings), np.array([number[r["lang"]] for r in picked], int)
+    held = _calibration_rows(labels, settings.calibration_share)
+    used = np.flatnonzero(~held)
+    weights, bias = _follow_the_regularised_leader([vectors[i] for i in used], labels[used].tolist(), size, k, settings)
+    logits = np.array([x @ weights[f] + bias for f, x in (vectors[i] for i in np.flatnonzero(held))]).reshape(-1, k)
+    share = np.array([sizes[lang][0] for lang in languages]) / total
+    prior = np.log(share) - np.log(np.bincount(labels[used], minlength=k) / len(used))
+    counts = np.bincount(labels[held], minlength=k)
+    temperature = _temperature(logits, labels[held], prior, share[labels[held]] / counts[labels[held]])
     scaled = (weights * idf[:, None] * settings.scale / temperature).astype(np.float32)
-    return LanguageModel(languages, scaled, bias / temperature, settings)
+    return LanguageModel(languages, scaled, bias / temperature + prior, settings)
 
 
 def _follow_the_regularised_leader(vectors, labels, size: int, k: int, s: LanguageSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +187,12 @@ def _follow_the_regularised_leader(vectors, labels, size: int, k: int, s: Langua
     return w[:size], w[size]
 
 
-def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the smallest negative log-likelihood on the calibration rows."""
+def _temperature(logits: np.ndarray, labels: np.ndarray, prior: np.ndarray, counts: np.ndarray) -> float:
+    """The temperature with the smallest negative log-likelihood on the calibration rows, counted `counts` times."""
     if not len(labels):
         return 1.0
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-    losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
+    losses = [-counts @ np.log(np.maximum(_softmax(logits / t + prior)[np.arange(len(labels)), labels], 1e-12)) for t in grid]
     return float(grid[int(np.argmin(losses))])
 
 
@@ -161,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     If there was nothing to learn from, every prediction is `und`. Other columns of `docs` are not read."""
     s = model.settings
     held = fold_of(F.col("doc_id"), s.folds) == s.held_out_fold
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^log_features x languages of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^log_features x languages of the training rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

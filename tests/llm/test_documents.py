@@ -390,6 +390,36 @@ def test_language_of_held_out_documents(spark):
     assert abs(np.mean([r["score"] for r in found]) - np.mean([r["lang"] == r["lang_pred"] for r in found])) < 0.03
 
 
+def test_rare_languages_are_learned(spark):
+    """Documents of a rare language whose id hashes are the largest of all, so that no sample over all rows has them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    syllables = {"aa": "ta re mi so lu pe".split(), "bb": "gro ksu vny dzi shk bro".split(), "cc": "wai ohu eia ueo aio hau".split()}
+    hashes = spark.range(12000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("h")).orderBy("h").collect()
+    training = [r["id"] for r in hashes if brute.fold(r["id"], 4) != 2]
+    rare = {*training[-25:], *[r["id"] for r in hashes if brute.fold(r["id"], 4) == 2][:5]}
+    lang = {r["id"]: "cc" if r["id"] in rare else ("aa", "bb")[r["id"] % 2] for r in hashes}
+    rows = [(i, " ".join("".join(rng.choice(syllables[g], 3)) for _ in range(12)), g) for i, g in lang.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["aa", "bb", "cc"]
+    found = [r for r in language_id.predict(docs, model).collect() if r["held_out"]]
+    assert sum(lang[r["doc_id"]] == "cc" for r in found) == 5
+    assert all(r["lang_pred"] == lang[r["doc_id"]] for r in found)
+
+
+def test_language_sample_is_bounded_in_each_language(spark):
+    rows = [(i, f"t{i}", "a") for i in range(3000)] + [(5000 + i, f"t{i}", "b") for i in range(60)] + [(9000, "x", "c")] + [(9001, f"t{i}", "d") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = language_id.language_sizes(docs)
+    assert {g: n for g, (n, _) in sizes.items()} == {"a": 3000, "b": 60, "c": 1, "d": 900}
+    found = language_id.language_sample(docs, sizes, 50)
+    assert collections.Counter(r["lang"] for r in found) == {"a": 50, "b": 50, "c": 1, "d": 50}
+    held = language_id._calibration_rows(np.array([0] * 10 + [1] * 4 + [0] * 5), 0.2)
+    assert np.flatnonzero(held).tolist() == [0, 1, 2]
+
+
 def test_language_of_odd_rows(odd, none, given):
     model = language_id.fit(given)
     found = language_id.predict(odd, model).collect()
