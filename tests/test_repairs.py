@@ -101,3 +101,15 @@ def test_stored_steps_go_with_their_job(spark):
         kept = keep(spark.range(5))
         assert kept.count() == 5 and session.path_exists(spark, keep.folder)
     assert not session.path_exists(spark, keep.folder)
+
+
+def test_text_experiment_has_the_cases_of_all_countries(spark):
+    from unittest import mock
+
+    from checks import catalogue, collections
+
+    with mock.patch.object(collections.evaluate, "text_experiment", side_effect=collections.evaluate.text_experiment) as run:
+        catalogue.QUERIES["C14_C11_text_experiment"](spark, "/root/testdata/sf0.001")
+    cases, _, selection, _ = run.call_args.args
+    want = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").count()
+    assert cases.count() == want and selection.where("reason = 'expected'").count() == want
