@@ -19,12 +19,20 @@ from terralex.sources.entities import read_cases, read_entities
 from terralex.streaming import jobs
 
 
+def _write_arrays(rows, path: str, target: int = 8 << 20) -> None:
+    """JSON arrays of about `target` bytes of rows each, dealt by a hash; one file each, as an array is read whole."""
+    lines = rows.select(F.to_json(F.struct("*")).alias("j"))
+    size = lines.agg(F.coalesce(F.sum(F.octet_length("j")), F.lit(0))).first()[0]
+    arrays = lines.groupBy(F.pmod(F.xxhash64("j"), F.lit(size // target + 1)).alias("bucket")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def _forms(t: Tables, rows, reader):
-    """The same records as lines and as one JSON array, each read by its form."""
+    """The same records as lines and as JSON arrays, each read by its form."""
     lines, array = scratch(t), scratch(t)
     rows.write.json(lines)
-    text = rows.select(F.to_json(F.struct("*")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    text.write.text(array)
+    _write_arrays(rows, array)
     return reader(t.spark, lines).withColumn("form", F.lit("lines")).unionByName(reader(t.spark, array, array=True).withColumn("form", F.lit("array")))
 
 

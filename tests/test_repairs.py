@@ -113,3 +113,16 @@ def test_text_experiment_has_the_cases_of_all_countries(spark):
     cases, _, selection, _ = run.call_args.args
     want = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").count()
     assert cases.count() == want and selection.where("reason = 'expected'").count() == want
+
+
+def test_json_arrays_are_many_files(spark, tmp_path):
+    from checks import files
+
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("x" * 50).alias("query"))
+    files._write_arrays(rows, f"{tmp_path}/many", target=1 << 14)
+    written = list((tmp_path / "many").glob("part-*"))
+    assert len(written) > 15 and max(p.stat().st_size for p in written) < 3 << 14
+    found = spark.read.schema("id string, query string").json(f"{tmp_path}/many", multiLine=True)
+    assert sorted(int(r["id"]) for r in found.collect()) == list(range(5000))
+    files._write_arrays(rows.limit(0), f"{tmp_path}/none")
+    assert spark.read.schema("id string, query string").json(f"{tmp_path}/none", multiLine=True).count() == 0
