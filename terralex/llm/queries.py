@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralex.llm import chunk_bpe, curriculum, deleted_interpolation, host_rules, language_id, separator_scan, signature_join, snapshots, toxic_spans, weighted_sampling
+from terralex.llm import (
+    chunk_bpe, curriculum, deleted_interpolation, host_rules, language_id, merge_path, random_indexing, separator_scan, signature_join, snapshots, spelling, toxic_spans,
+    weighted_sampling,
+)
 from terralex.llm.common import documents
 from terralex.session import ship_package
 
@@ -71,10 +74,23 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, folder))
+
+
+def op12_random_indexing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return random_indexing.predict(docs, random_indexing.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+def op13_merge_path(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_path.cross_align(documents(spark, folder), merge_path.AlignSettings(_vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_weighted_sampling, op2_snapshot_collapse, op3_chunk_bpe, op4_host_rules, op5_separator_scan, op6_signature_join, op7_curriculum,
-        op8_deleted_interpolation, op9_toxic_spans, op10_language_id)
+        op8_deleted_interpolation, op9_toxic_spans, op10_language_id, op11_spelling_variants, op12_random_indexing, op13_merge_path)
 }
 
 ORACLES: dict[str, str] = {
@@ -153,4 +169,30 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, taken,
        (CASE WHEN size = 0 THEN 0 ELSE full_runs + CASE WHEN 2 * part >= size AND part > 0 THEN 1 ELSE 0 END END)::BIGINT AS copies,
        round(CASE WHEN taken > 0 THEN least(2 * area / (a + sqrt(a * a + 2 * (b - a) * area)), 1.0) END, 6) AS position
 FROM areas""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL HAVING length(run) >= 5),
+hexed AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda k: (position(substr(x, 2 * k + 1, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(x, 2 * k + 2, 1) IN '0123456789ABCDEF') - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, w.word, w.n FROM cut x JOIN words w ON w.word = x.a || x.b
+  UNION SELECT w.word, x.word, x.n FROM cut x JOIN words w ON w.word = x.a || x.b),
+ranked AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+formed AS (
+  SELECT w.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chains AS (SELECT word, form AS at FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(e.at, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e USING (word)""",
 }

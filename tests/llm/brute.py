@@ -98,3 +98,60 @@ def language_scores(text, one, two, weights, buckets):
         a = weights[min(int(math.floor(math.log2(context + 1))), buckets - 1)]
         total += math.log10(a[0] / (v + 1) + a[1] * one[w] / max(n, 1) + a[2] * two[h, w] / max(context, 1))
     return len(t), sum(one[w] > 0 for w in t), n, base, total
+
+
+LETTERS = re.compile("[A-Za-z\u00c0-\u00ff]+")
+
+
+def vocabulary(rows, shortest=5, least=3):
+    counts = collections.Counter()
+    for doc_id, text in rows:
+        for run in LETTERS.findall(text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            at = h % len(run)
+            counts[run if h % 97 else run[:at] + run[at + 1 :]] += 1
+    return {w: n for w, n in counts.items() if len(w) >= shortest and n >= least}
+
+
+def variants(rows):
+    """word, form, root, n, n_near, form_n by comparing the words that agree but for one place."""
+    counts = vocabulary(rows)
+    without, near = collections.defaultdict(set), collections.defaultdict(set)
+    for w in counts:
+        for i in range(len(w)):
+            without[w[:i], w[i + 1 :]].add(w)
+    for (a, b), group in without.items():
+        for w in group:
+            near[w] |= group - {w}
+            if a + b in counts:
+                near[w].add(a + b)
+                near[a + b].add(w)
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 2 * n:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return [(w, form.get(w), root(w), n, len(near[w]), counts.get(form.get(w))) for w, n in counts.items()]
+
+
+def aligned_groups(a_lengths, b_lengths):
+    """[(tokens of A, tokens of B)] by walking both lists of lengths."""
+    out, i, j, at_a, at_b = [], 0, 0, 0, 0
+    while i < len(a_lengths):
+        first = i, j
+        at_a, i = at_a + a_lengths[i], i + 1
+        at_b, j = at_b + b_lengths[j], j + 1
+        while at_a != at_b:
+            if at_a < at_b:
+                at_a, i = at_a + a_lengths[i], i + 1
+            else:
+                at_b, j = at_b + b_lengths[j], j + 1
+        out.append((range(first[0], i), range(first[1], j)))
+    return out
