@@ -45,13 +45,17 @@ def load_stream(
     text_version: str = fv.DEFAULT_TEXT_VERSION, batch_size: int = 64, progress_path: str | None = None,
     run_id: str = "stream", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Load entities as they arrive. A replayed batch finds its points present and writes nothing.
+    """Load entities as they arrive. A replayed batch is known by its transaction (the checkpoint names the stream)
+    and does nothing; points that another stream loaded are found present and not written again.
 
     `metadata` carries the fingerprint agreed for the whole load.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        points = to_points(batch.dropDuplicates(["id"]), metadata, text_version)
-        written = store.insert(embed_texts(store.missing(points), "document", make_embedder, batch_size))
+        store.refresh()
+        transaction, written = (checkpoint, int(batch_id)), 0
+        if not store.recorded(transaction):
+            points = to_points(batch.dropDuplicates(["id"]), metadata, text_version)
+            written = store.insert(embed_texts(store.missing(points), "document", make_embedder, batch_size), unique=True, transaction=transaction)
         if progress_path:
             _record(batch.sparkSession, progress_path, run_id, int(batch_id) + 1, int(written))
 
@@ -66,8 +70,10 @@ def verify_stream(store: CollectionStore, fingerprint: str, expected: int) -> No
 
 def load_vectors_stream(points: DataFrame, store: CollectionStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """The same for points that already carry vectors."""
-    def each(batch: DataFrame, _: int) -> None:
-        store.insert(store.missing(batch.dropDuplicates(["point_id"])))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store.refresh()
+        if not store.recorded((checkpoint, int(batch_id))):
+            store.insert(store.missing(batch.dropDuplicates(["point_id"])), unique=True, transaction=(checkpoint, int(batch_id)))
 
     return _start(points, each, checkpoint, trigger)
 
