@@ -12,10 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.collections import _points, scratch
-from checks.dataset import feature_lines
+from checks.collections import _BUILD, _points, scratch
+from checks.dataset import admin1_lines, alternate_lines, city_lines, country_lines, feature_lines
 from checks.registry import Tables, register
-from terralex.sources import archives, concordance
+from terralex.plans.build_dataset import Dumps, build_dataset, load_backbone
+from terralex.session import materialise
+from terralex.sources import archives, concordance, gazetteer
 from terralex.sources.collection_store import CollectionStore
 
 
@@ -101,3 +103,36 @@ def archived_features(t: Tables, parts: int = 2) -> DataFrame:
 def archive_source(t: Tables):
     rows = concordance.parse_features(archived_features(t), "city")
     return rows.select("wof_id", "gn_id", "placetype", "name_en", "name_vi", F.array_join("aliases_en", "|").alias("aliases_en"), F.col("_admissible").alias("admissible"))
+
+
+@register(
+    "W6_U1_first_line",
+    """SELECT s.split, 'geonames:city:' || CAST(geoname_id AS STRING) AS id, CASE WHEN geoname_id % 3 = 0 THEN upper(name) ELSE name END AS name_en
+       FROM city_src, (SELECT 'small' AS split UNION ALL SELECT 'large') s""", "city_src")
+def first_line(t: Tables):
+    """Every city stands twice in files of lines, under two names; whichever comes first in the files wins, for small
+    and for large splits of them."""
+    fields = F.split("value", "\t", -1)
+    key = fields[0].cast("bigint")
+    lines = city_lines(t, broken=False).select("value", key.alias("k"), fields.alias("f"))
+    other = lines.select(F.array_join(F.concat(F.slice("f", 1, 1), F.array(F.upper(F.col("f")[1])), F.slice("f", 3, 17)), "\t").alias("value"), "k", (F.col("k") % 3 != 0).alias("late"))
+    both = lines.select("value", "k", (F.col("k") % 3 == 0).alias("late")).unionByName(other)
+    path = scratch(t)
+    both.repartitionByRange(3, "late", F.xxhash64("k")).sortWithinPartitions("late", F.xxhash64("k")).select("value").write.text(path)
+    name, found = "spark.sql.files.maxPartitionBytes", None
+    usual = t.spark.conf.get(name)
+    for split, size in (("small", "8k"), ("large", "128m")):
+        t.spark.conf.set(name, size)
+        dumps = Dumps(gazetteer.read_positioned_lines(t.spark, path), country_lines(t), admin1_lines(t), alternate_lines(t))
+        rows = materialise(load_backbone(dumps, ["city"]).select(F.lit(split).alias("split"), "id", F.col("name.en").alias("name_en")))
+        found = rows if found is None else found.unionByName(rows)
+    t.spark.conf.set(name, usual)
+    return found
+
+
+@register("J4_C4_archive_build", "SELECT id, name_en, name_vi, wof_id FROM built", "ent", "alt_src", "wof_src", then=_BUILD)
+def archive_build(t: Tables):
+    """The whole build with the concordance features of the cities in archives."""
+    dumps = Dumps(city_lines(t, broken=False), country_lines(t), admin1_lines(t), alternate_lines(t), {"city": lambda: archived_features(t)})
+    entities, _ = build_dataset(dumps)
+    return entities.select("id", F.col("name.en").alias("name_en"), F.col("name.vi").alias("name_vi"), F.col("facts.wof_id").alias("wof_id"))

@@ -149,14 +149,20 @@ def apply_concordance(matched: DataFrame, columns: list[str]) -> DataFrame:
     }).select(*columns, "match", "filled_en", "filled_vi")
 
 
+def _requested() -> Column:
+    return F.col("match").isNotNull() & F.col("type").isin(*fv.BACKBONE_TYPES)
+
+
+def concordance_counts() -> dict[str, Column]:
+    """requested, matched, ambiguous, names filled of applied rows, as aggregates by name."""
+    states = {"requested": F.lit(True), "matched": F.col("match") == "matched", "ambiguous": F.col("match") == "ambiguous", "name_en": F.col("filled_en"), "name_vi": F.col("filled_vi")}
+    return {name: F.count_if(_requested() & state) for name, state in states.items()}
+
+
 def concordance_report(applied: DataFrame) -> DataFrame:
     """Per type and in total (type null): requested, matched, ambiguous, names filled."""
-    rows = applied.where(F.col("match").isNotNull() & F.col("type").isin(*fv.BACKBONE_TYPES))
-    return rows.groupingSets([["type"], []], "type").agg(
-        F.count("*").alias("requested"), F.count_if(F.col("match") == "matched").alias("matched"),
-        F.count_if(F.col("match") == "ambiguous").alias("ambiguous"),
-        F.count_if("filled_en").alias("name_en"), F.count_if("filled_vi").alias("name_vi"),
-    )
+    counts = [count.alias(name) for name, count in concordance_counts().items()]
+    return applied.where(_requested()).groupingSets([["type"], []], "type").agg(*counts)
 
 
 def scan_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:

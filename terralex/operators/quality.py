@@ -4,28 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
 from terralex.functions.text import has_legacy_letters
 
 
-def coverage(entities: DataFrame) -> DataFrame:
-    """Totals and language counters as one row."""
+def coverage_counts() -> dict[str, Column]:
+    """Totals and language counters as aggregates by name."""
     provenance = F.col("language_provenance")
     en, vi = F.col("name.en").isNotNull(), F.col("name.vi").isNotNull()
     en_fallback = F.coalesce(provenance["name_en"] == "geonames_fallback", F.lit(False))
     vi_fallback = F.coalesce(provenance["name_vi"] == "geonames_fallback", F.lit(False))
     vi_texts = F.concat(F.array("name.vi"), F.col("aliases.vi"))
-    return entities.agg(
-        F.count("*").alias("total"), F.count_if(F.col("type") == "city").alias("city_count"),
-        F.count_if(en & ~en_fallback).alias("name_en"), F.count_if(en).alias("name_en_present"),
-        F.count_if(en & en_fallback).alias("name_en_fallback"), F.count_if(vi & ~vi_fallback).alias("name_vi"),
-        F.count_if(F.col("description.en").isNotNull()).alias("description_en"),
-        F.count_if(F.col("description.vi").isNotNull()).alias("description_vi"),
-        F.coalesce(F.sum(F.size(F.filter(vi_texts, has_legacy_letters))), F.lit(0)).cast("bigint").alias("vi_legacy_texts"),
-    )
+    return {
+        "total": F.count("*"), "city_count": F.count_if(F.col("type") == "city"),
+        "name_en": F.count_if(en & ~en_fallback), "name_en_present": F.count_if(en),
+        "name_en_fallback": F.count_if(en & en_fallback), "name_vi": F.count_if(vi & ~vi_fallback),
+        "description_en": F.count_if(F.col("description.en").isNotNull()),
+        "description_vi": F.count_if(F.col("description.vi").isNotNull()),
+        "vi_legacy_texts": F.coalesce(F.sum(F.size(F.filter(vi_texts, has_legacy_letters))), F.lit(0)).cast("bigint"),
+    }
+
+
+def coverage(entities: DataFrame) -> DataFrame:
+    """Totals and language counters as one row."""
+    return entities.agg(*[count.alias(name) for name, count in coverage_counts().items()])
+
+
+def continent_counts(continents: tuple[str, ...] = fv.CONTINENTS) -> dict[str, Column]:
+    """Entities of every known continent as aggregates by its name."""
+    return {c: F.count_if(F.col("continent") == c) for c in continents}
 
 
 def continent_coverage(entities: DataFrame, continents: tuple[str, ...] = fv.CONTINENTS) -> DataFrame:
@@ -81,12 +91,16 @@ def quality_issues(entities: DataFrame) -> DataFrame:
     return duplicates.unionByName(shared).unionByName(legacy)
 
 
-def quality_checks(issues: DataFrame) -> DataFrame:
-    def total(code: str):
+def quality_counts() -> dict[str, Column]:
+    """Occurrences per kind of issue as aggregates by name."""
+    def total(code: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("code") == code, F.col("occurrences"))), F.lit(0)).cast("bigint")
 
-    return issues.agg(
-        total("duplicate_entity_id").alias("duplicate_entity_ids"),
-        total("duplicate_source_ref").alias("duplicate_source_refs"),
-        total("vi_legacy_text").alias("vi_legacy_texts"),
-    )
+    return {
+        "duplicate_entity_ids": total("duplicate_entity_id"), "duplicate_source_refs": total("duplicate_source_ref"),
+        "vi_legacy_texts": total("vi_legacy_text"),
+    }
+
+
+def quality_checks(issues: DataFrame) -> DataFrame:
+    return issues.agg(*[count.alias(name) for name, count in quality_counts().items()])

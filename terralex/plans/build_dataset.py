@@ -7,20 +7,22 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
 from terralex.operators import enrich, quality
 from terralex.operators.filters import dataset_options
 from terralex.operators.normalize import city_entities, country_entities, gazetteer_id, keep_first, select_representative
-from terralex.session import fail_on_errors, materialise
+from terralex.session import Scratch, fail_on_errors, materialise, materialise_counted
 from terralex.sources import concordance, gazetteer
 
 
 @dataclass(frozen=True)
 class Dumps:
-    """Line tables of the raw dumps. Concordance sources are callables so that one failing stays isolated."""
+    """Line tables of the raw dumps; lines that carry their position (`read_positioned_lines`) settle which of
+    several rows of one id is the first. Concordance sources, lines or an archive's features, are callables so that
+    one failing stays isolated."""
 
     cities: DataFrame
     countries: DataFrame
@@ -35,15 +37,28 @@ def load_backbone(dumps: Dumps, types: list[str]) -> DataFrame:
     parts = []
     for kind in types:
         if kind == "country":
-            parts.append(fail_on_errors(country_entities(countries)))
+            parts.append(_first_ids(fail_on_errors(country_entities(_first_lines(countries))), dumps.countries))
         else:
-            cities = fail_on_errors(gazetteer.parse_cities(dumps.cities))
+            cities = _first_lines(fail_on_errors(gazetteer.parse_cities(dumps.cities)))
             divisions = fail_on_errors(gazetteer.parse_admin1(dumps.admin1))
-            parts.append(fail_on_errors(city_entities(cities, countries, divisions)))
+            parts.append(_first_ids(fail_on_errors(city_entities(cities, countries, divisions)), dumps.cities))
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
-    return keep_first(rows.withColumn("_load", F.monotonically_increasing_id()), "id", "_load")
+    return rows
+
+
+def _first_lines(rows: DataFrame) -> DataFrame:
+    """Of parsed rows of one id the one that stands first in the files, where lines carry their position."""
+    return keep_first(rows, "geoname_id", "line_at") if "line_at" in rows.columns else rows
+
+
+def _first_ids(entities: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same for entities of lines without a position: the order in which Spark numbers them. Ids of different
+    types differ, so each type is settled by itself."""
+    if "line_at" in lines.columns:
+        return entities
+    return keep_first(entities.withColumn("_load", F.monotonically_increasing_id()), "id", "_load")
 
 
 def enrich_names(entities: DataFrame, alternate_lines: DataFrame) -> DataFrame:
@@ -52,7 +67,12 @@ def enrich_names(entities: DataFrame, alternate_lines: DataFrame) -> DataFrame:
     return enrich.apply_alternate_names(entities, names)
 
 
-def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict]:
+def requested_counts() -> dict[str, Column]:
+    """Entities with a gazetteer id per type, as aggregates by type."""
+    return {kind: F.count_if((F.col("type") == kind) & gazetteer_id().isNotNull()) for kind in fv.BACKBONE_TYPES}
+
+
+def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[], DataFrame]], requested_by_type: Mapping[str, int], keep: Scratch) -> tuple[DataFrame, dict]:
     """Per type: skip lines by id mention, parse, match one to one, apply. A failing type leaves its entities as they were."""
     outputs, report = [], {"byType": {}, "requested": 0, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0, "nameEn": 0, "nameVi": 0, "ambiguitySamples": []}
     attempted = succeeded = 0
@@ -60,13 +80,13 @@ def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[],
     outputs.append(entities.where(~F.col("type").isin(*fv.BACKBONE_TYPES)))
     for kind in ("country", "city"):
         typed = entities.where(F.col("type") == kind)
-        requested = typed.where(gazetteer_id().isNotNull()).count()
+        requested = requested_by_type.get(kind, 0)
         if not requested:
             outputs.append(typed)
             continue
         attempted += 1
         try:
-            applied, part = _enrich_type(typed, features[kind](), kind)
+            applied, part = _enrich_type(typed, features[kind](), kind, keep)
         except (AnalysisException, KeyError, OSError) as error:  # the source of this type is missing or unreadable
             part = {"status": "unavailable", "requested": requested, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0, "nameEn": 0, "nameVi": 0, "error": str(error).splitlines()[0] if str(error) else type(error).__name__}
             outputs.append(typed)
@@ -90,15 +110,13 @@ def enrich_concordance(entities: DataFrame, features: Mapping[str, Callable[[],
     return rows, report
 
 
-def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFrame, dict]:
-    features = concordance.feature_properties(lines)
+def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str, keep: Scratch) -> tuple[DataFrame, dict]:
+    features, read = keep.counted(concordance.feature_properties(lines), scanned=F.count("*"))
     targets = typed.select(gazetteer_id().alias("geoname_id")).where(F.col("geoname_id").isNotNull())
-    parsed = materialise(concordance.parse_features(concordance.worth_parsing(features, targets), kind))
+    parsed, seen = keep.counted(concordance.parse_features(concordance.worth_parsing(features, targets), kind), parsed=F.count("*"), invalid=F.count_if(F.size("_errors") > 0))
     candidates = parsed.where("_admissible").select("gn_id", "wof_id", "placetype", "name_en", "name_vi", "aliases_en", "aliases_vi")
-    matched = materialise(enrich.match_concordance(typed, candidates))
-    applied = materialise(enrich.apply_concordance(matched, typed.columns))
-    totals = enrich.concordance_report(applied).where(F.col("type").isNull()).first()
-    scan = enrich.scan_report(lines, parsed).first()
+    matched = keep(enrich.match_concordance(typed, candidates))
+    applied, totals = keep.counted(enrich.apply_concordance(matched, typed.columns), **enrich.concordance_counts())
     listed = materialise(enrich.ambiguity_samples(matched, candidates))
     samples = [
         {"type": r["type"], "geonamesId": r["gn_id"], "candidates": r["n"], "smallestCandidate": r["w"]}
@@ -106,32 +124,33 @@ def _enrich_type(typed: DataFrame, lines: DataFrame, kind: str) -> tuple[DataFra
     ]
     report = {
         "status": "ok", "requested": totals["requested"], "matched": totals["matched"], "ambiguous": totals["ambiguous"],
-        "nameEn": totals["name_en"], "nameVi": totals["name_vi"], "scanned": scan["scanned"],
-        "skippedUnmatched": scan["skipped_unmatched"], "invalid": scan["invalid"], "ambiguitySamples": samples,
+        "nameEn": totals["name_en"], "nameVi": totals["name_vi"], "scanned": read["scanned"],
+        "skippedUnmatched": read["scanned"] - seen["parsed"], "invalid": seen["invalid"], "ambiguitySamples": samples,
         "ambiguityCandidates": listed,
     }
     return applied, report
 
 
 def build_dataset(dumps: Dumps, sources=fv.PUBLIC_SOURCES, types=fv.BACKBONE_TYPES, limit: int | None = None) -> tuple[DataFrame, dict]:
-    """(entities, manifest). Selection comes before enrichment, so only survivors are enriched."""
+    """(entities, manifest). Selection comes before enrichment, so only survivors are enriched. Counts are taken
+    while tables are written; the steps between are removed at the end."""
     options = dataset_options(sources, types, limit)
-    backbone = materialise(load_backbone(dumps, options["loaded_types"]))
-    before = backbone.count()
-    selected = materialise(select_representative(backbone, limit)) if limit is not None and limit < before else backbone
-    entities = materialise(enrich_names(selected, dumps.alternate_names))
     report = {"status": "disabled", "requested": 0, "matched": 0, "ambiguous": 0, "invalid": 0, "scanned": 0, "skippedUnmatched": 0}
-    if "wof" in options["sources"]:
-        entities, report = enrich_concordance(entities, dumps.features)
-        entities = materialise(entities)
-    summary = quality.coverage(entities).first().asDict()
-    continents = {r["continent"]: r["entities"] for r in quality.continent_coverage(entities).collect()}  # seven rows
-    failures = quality.coverage_failures(summary["city_count"], continents)
-    if failures:
-        raise ValueError("; ".join(failures))
-    issues = materialise(quality.quality_issues(entities))
-    sample = issues.orderBy("code", "entity_id", "field").limit(fv.SAMPLE_LIMIT + 1).collect()
-    checks = quality.quality_checks(issues).first().asDict()
+    with Scratch(dumps.cities.sparkSession) as keep:
+        backbone, counted = keep.counted(load_backbone(dumps, options["loaded_types"]), rows=F.count("*"))
+        before = counted["rows"]
+        selected = keep(select_representative(backbone, limit)) if limit is not None and limit < before else backbone
+        entities = enrich_names(selected, dumps.alternate_names)
+        if "wof" in options["sources"]:
+            entities, requested = keep.counted(entities, **requested_counts())
+            entities, report = enrich_concordance(entities, dumps.features, requested, keep)
+        entities, summary = materialise_counted(entities, **quality.coverage_counts(), **{f"in {c}": n for c, n in quality.continent_counts().items()})
+        continents = {c: summary.pop(f"in {c}") for c in fv.CONTINENTS}
+        failures = quality.coverage_failures(summary["city_count"], continents)
+        if failures:
+            raise ValueError("; ".join(failures))
+        issues, checks = keep.counted(quality.quality_issues(entities), **quality.quality_counts())
+        sample = issues.orderBy("code", "entity_id", "field").limit(fv.SAMPLE_LIMIT + 1).collect() if any(checks.values()) else []
     manifest = {
         "version": fv.MANIFEST_VERSION, "generatedAt": datetime.now(timezone.utc).isoformat(),
         "sources": options["sources"], "types": options["types"], "limit": options["limit"],

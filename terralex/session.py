@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`materialise` with aggregates of the rows, taken while they are written. They stand on the write itself,
+    whose tasks count once each, however often earlier stages run."""
+    found = Observation()
+    kept = materialise(df.observe(found, *[m.alias(name) for name, m in metrics.items()]))
+    return kept, {name: (found.get or {}).get(name) or 0 for name in metrics}
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
@@ -88,7 +96,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Stored steps of one job, removed together when it ends: `with Scratch(spark) as keep: t = keep(df)`."""
+    """Stored steps of one job, removed together when it ends: `with Scratch(spark) as keep: t = keep(df)`.
+
+    `keep.counted(df, n=F.count("*"))` also returns aggregates of the rows, taken while they are written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
@@ -100,6 +111,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        found = Observation()
+        kept = self(df.observe(found, *[m.alias(name) for name, m in metrics.items()]))
+        return kept, {name: (found.get or {}).get(name) or 0 for name in metrics}  # nothing is observed of a plan known to be empty
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -17,7 +17,10 @@ def mentioned_ids(text: Column) -> Column:
 
 
 def feature_properties(lines: DataFrame) -> DataFrame:
-    """The raw `properties` text of each feature line with the ids it mentions."""
+    """The raw `properties` text of each feature line with the ids it mentions. Rows that carry properties already,
+    such as those of an archive, are passed on."""
+    if "properties" in lines.columns:
+        return lines.select("properties").withColumn("_ids", mentioned_ids("properties"))
     text = F.get_json_object("value", "$.properties")
     return lines.select(text.alias("properties")).withColumn("_ids", mentioned_ids("properties"))
 

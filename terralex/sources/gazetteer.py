@@ -19,9 +19,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_positioned_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with `line_at`, which orders them as they stand in the files, files by name: the row number counts
+    within a split, and splits are told apart by file and offset, so the order does not depend on their size."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", at.alias("line_at"))
+
+
+def _at(lines: DataFrame) -> list[str]:
+    return ["line_at"] if "line_at" in lines.columns else []
+
+
 def _cells(lines: DataFrame, skip_comments: bool = False) -> DataFrame:
     line = F.regexp_replace("value", "\r\\z", "")
-    rows = lines.select(line.alias("_line")).where(F.col("_line") != "")
+    rows = lines.select(line.alias("_line"), *_at(lines)).where(F.col("_line") != "")
     if skip_comments:
         rows = rows.where(~F.col("_line").startswith("#"))
     return rows.withColumn("_cell", F.split("_line", "\t", -1))
@@ -60,7 +71,7 @@ def parse_cities(lines: DataFrame) -> DataFrame:
         cell("geoname_id").try_cast("bigint").alias("geoname_id"), cell("country_code").alias("country_code"), *text,
         parse_number(cell("latitude")).alias("latitude"), parse_number(cell("longitude")).alias("longitude"),
         whole("population").alias("population"),
-        whole("elevation").cast("int").alias("elevation"), whole("dem").cast("int").alias("dem"),
+        whole("elevation").cast("int").alias("elevation"), whole("dem").cast("int").alias("dem"), *_at(lines),
         _errors(
             _unless(F.size("_cell") == len(fv.CITY_COLUMNS), "city row must contain 19 tab-delimited columns"),
             _unless(_digits(cell("geoname_id")), "geoname id is invalid"),
@@ -85,7 +96,7 @@ def parse_countries(lines: DataFrame) -> DataFrame:
         cell("iso2").alias("iso2"), cell("geoname_id").try_cast("bigint").alias("geoname_id"), *text,
         parse_number(cell("area_km2")).alias("area_km2"),
         parse_number(cell("population")).try_cast("bigint").alias("population"),
-        split_list(cell("languages")).alias("languages"), split_list(cell("neighbours")).alias("neighbours"),
+        split_list(cell("languages")).alias("languages"), split_list(cell("neighbours")).alias("neighbours"), *_at(lines),
         _errors(
             _unless(F.size("_cell") >= fv.COUNTRY_MIN_COLUMNS, "country row is malformed"),
             _unless(cell("iso2").rlike(r"^[A-Z]{2}\z") & _digits(cell("geoname_id")), "country identity is invalid"),
