@@ -11,14 +11,11 @@ from terralex.session import require
 
 
 def mark_expected(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """Add is_expected: the result id is one of the case's expected ids (any-of)."""
-    wanted = cases.select(
-        F.col("id").alias("case_id"), F.explode(F.array_distinct("expected_ids")).alias("id"),
-        F.lit(True).alias("_hit"),
-    )
-    return results.join(wanted, ["case_id", "id"], "left").withColumn(
-        "is_expected", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
+    """Add is_expected: the result id is one of the case's expected ids (any-of). Results meet their case once; its
+    ids stay one array."""
+    wanted = cases.select(F.col("id").alias("case_id"), F.col("expected_ids").alias("_wanted"))
+    hit = F.array_contains("_wanted", F.col("id"))
+    return results.join(wanted, "case_id", "left").withColumn("is_expected", F.coalesce(hit, F.lit(False))).drop("_wanted")
 
 
 def surviving(results: DataFrame, threshold: float) -> DataFrame:

@@ -94,7 +94,7 @@ def text_experiment(
     variants = {}
     for version in versions:
         texts = chosen.select("id", document_text(version).alias("text"))
-        vectors = embed_texts(texts, "text", make_embedder, batch_size).select("id", "embedding")
+        vectors = materialise(embed_texts(texts, "text", make_embedder, batch_size).select("id", "embedding"))  # the search scans them more than once
         variants[version] = materialise(evaluate_candidates(answerable, queries, vectors, size, result_limit, digits))
     before, after = (variants[v] for v in versions)
     return {"before": before, "after": after, **compare_variants(before, after)}
