@@ -4,9 +4,10 @@ A rolling hash over the last bytes cuts every text where its value says so, so e
 wherever they stand. Chunks that occur more than once in the corpus are encoded once, from one representative;
 their encodings are joined to the documents. A chunk's encoding covers its interior, from its first to its last
 white space, because a cut may split a word. Everything between the interiors is encoded with the document,
-and every join is checked by re-encoding a window that reaches into both neighbours: it must give the stored
-tokens, the tokens between and the stored tokens again. Where it does not, the document is encoded as one
-string, which is exact by definition.
+and every join is checked by re-encoding a window that reaches a word into both neighbours: the stored tokens must end
+and begin with what it gives. Where they do not, the window is widened to the whole of both neighbours, whose stored
+tokens must be what it gives; where they are not either, the document is encoded as one string, which is exact by
+definition.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import array
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import _SPACE, Texts, cuts, mix
+from terralex.llm.common import _SPACE, Texts, cuts
 from terralex.llm.packing import pack, unpack
 from terralex.session import materialise, small_side
 
@@ -151,10 +152,10 @@ def _interiors(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
 
 
 def _keys(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each chunk's bytes: two hashes over different byte codes."""
-    other = Texts.__new__(Texts)
-    other.data, other.offsets, other.count, other._sums = t.data ^ np.uint8(0xA5), t.offsets, t.count, None
-    return t.hashes(starts, ends).view(np.int64), mix(other.hashes(starts, ends)).view(np.int64)
+    """128 bits of each chunk's bytes: a rolling hash, and a cryptographic one that has nothing in common with it."""
+    raw = t.data.tobytes()
+    second = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return t.hashes(starts, ends).view(np.int64), np.frombuffer(second, np.int64)
 
 
 def chunk_keys(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
@@ -280,6 +281,26 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(packed, pa.binary())], names=["doc_id", "content", "packed"])
 
 
+def _stored(plan: list[tuple[int, int, bytes | None]], k: int) -> tuple[bytes | None, bytes | None]:
+    """Stored tokens before and after a stretch; None at the ends of the text."""
+    return (plan[k - 1][2] if k else None), (plan[k + 1][2] if k + 1 < len(plan) else None)
+
+
+def _agrees(stored: bytes | None, given: bytes, test: Callable[[bytes, bytes], bool]) -> bool:
+    """Whether stored tokens end or start with the given ones, or the other way round where the word is longer."""
+    if stored is None or not given:
+        return True
+    return test(stored, given) or test(given, stored)
+
+
+def _whole_agrees(raw: bytes, plan: list[tuple[int, int, bytes | None]], k: int, middle: list[bytes], encoder: Encoder) -> bool:
+    """Whether the library gives the stored tokens of both neighbours of a stretch around its own."""
+    before, after = _stored(plan, k)
+    start = plan[k - 1][0] if before is not None else plan[k][0]
+    end = plan[k + 1][1] if after is not None else plan[k][1]
+    return encoder.encode([raw[start:end]])[0] == (before or b"") + encoder.run(middle) + (after or b"")
+
+
 def _encode_part(part: pa.RecordBatch, encoder: Encoder, settings: ChunkSettings) -> list[list[int]]:
     raws = [unpack(x) if x is not None else b"" for x in part.column("packed").to_pylist()]
     plans: list[list[tuple[int, int, bytes | None]]] = []
@@ -294,20 +315,27 @@ def _encode_part(part: pa.RecordBatch, encoder: Encoder, settings: ChunkSettings
         stored = {r["number"]: r["ids"] for r in reused}
         plan = _plan(raw, list(zip(low.tolist(), high.tolist(), strict=True)), {n: unpack(x) for n, x in stored.items()})
         plans.append(plan)
-        for a, b, ids in plan:
+        for k, (a, b, ids) in enumerate(plan):
             if ids is None:
                 start, end = _join_window(raw, a, b)
                 windows.append(raw[start:end])
-                sides.append((i, raw[start:a], raw[a:b], raw[b:end]))
+                sides.append((i, k, raw[start:a], raw[a:b], raw[b:end]))
     words = encoder.words
     runs = [[words(raw[a:b]) if ids is None else None for a, b, ids in plan] for raw, plan in zip(raws, plans, strict=True)]
-    sides = [(i, words(left), words(middle), words(right)) for i, left, middle, right in sides]
+    sides = [(i, k, words(left), words(middle), words(right)) for i, k, left, middle, right in sides]
     needed = {w for run in runs for found in run if found for w in found}
-    for _, left, middle, right in sides:
+    for _, _, left, middle, right in sides:
         needed.update(left, middle, right)
     encoder.learn(needed)
     run = encoder.run
-    torn = {i for (i, left, middle, right), ids in zip(sides, encoder.encode(windows), strict=True) if ids != run(left) + run(middle) + run(right)}
+    loose = []
+    for (i, k, left, middle, right), ids in zip(sides, encoder.encode(windows), strict=True):
+        before, after = _stored(plans[i], k)
+        head, tail = run(left), run(right)
+        # What the window gives of a neighbour must be what is stored of it; a word may also stand outside of it.
+        if ids != head + run(middle) + tail or not _agrees(before, head, bytes.endswith) or not _agrees(after, tail, bytes.startswith):
+            loose.append((i, k))
+    torn = {i for i, k in loose if not _whole_agrees(raws[i], plans[i], k, runs[i][k], encoder)}
     out = []
     for i, (raw, plan) in enumerate(zip(raws, plans, strict=True)):
         data = encoder.encode([raw])[0] if i in torn else b"".join(ids if found is None else run(found) for (_, _, ids), found in zip(plan, runs[i], strict=True))

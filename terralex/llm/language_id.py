@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from terralex.llm.common import cuts, fold_of, mix
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """A letter of any script; numbers that are no digits, such as fractions, are none."""
+    return _PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -210,7 +215,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for start, count in cuts(batch.column("text")):
                 part = batch.slice(start, count)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                lettered = np.array([_LETTER.search(t) is not None for t in texts])
+                lettered = np.array([has_letter(t) for t in texts], bool)
                 best, score = np.full(count, len(m.languages)), np.zeros(count)
                 if m.languages and lettered.any():
                     features, before = ngram_features(texts, s)

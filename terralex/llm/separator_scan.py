@@ -50,6 +50,8 @@ class Ranks:
 def write_token_files(docs: DataFrame, ranks: Ranks, options: TokenFiles = TokenFiles()) -> tuple[str, DataFrame]:
     """Write one token file per task under the shared folder; returns the folder, and (file, ordinal, doc_id).
 
+    Null and empty texts are a separator alone. Repeated rows are written each. An empty table leaves an empty folder.
+    Columns other than doc_id and text are not read.
     A file gets its name when it is complete, so a task that is run again replaces it by an equal one.
     """
     folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/tokens/{uuid.uuid4().hex}"
@@ -77,7 +79,14 @@ def write_token_files(docs: DataFrame, ranks: Ranks, options: TokenFiles = Token
             store.move(trial, f"{root}/{name}")
 
     inner = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return folder, materialise(inner.mapInArrow(run, f"file string, ordinal long, doc_id {kind}"))
+    written = materialise(inner.mapInArrow(run, f"file string, ordinal long, doc_id {kind}"))
+    make_folder(docs.sparkSession, folder)  # where no task had a row
+    return folder, written
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
 def scan_blocks(spark: SparkSession, folder: str, options: TokenFiles = TokenFiles()) -> DataFrame:
@@ -121,5 +130,5 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, folder: str, options: TokenFiles = TokenFiles()) -> DataFrame:
-    """The documents of all token files (`*.bin`) of a folder."""
+    """The documents of all token files (`*.bin`) of a folder; none for a folder without files."""
     return documents_of(materialise(scan_blocks(spark, folder, options)))

@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are words; the two states are clean and toxic. Labels exist for documents only, so token labels are
-derived first: word beginnings that mark toxic documents of the fitting sample and hardly any clean one. The
-field learns weights of these beginnings, a bias and the transitions from the tagged tokens of toxic and clean
-documents. Forward-backward marginals of every whole text then give the spans and, through a logistic curve
-fitted on documents left out of the field's fit, the document's score.
+Tokens are words; the two states are clean and toxic. Labels exist for documents only, so the field is fitted to what
+they say of its states: in a clean document all tokens are clean, in a toxic one at least one is not. Its features
+are words and their beginnings that stand in a few toxic documents of the sample and more often there than in clean
+ones; a penalty, not a threshold, weighs those that are there by chance. Forward-backward marginals of every whole
+text then give the spans and, through a logistic curve fitted on documents left out of the field's fit, the
+document's score.
 """
 
 from __future__ import annotations
@@ -19,24 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralex.llm.common import Texts, cuts, fold_of, hash_sample, mix
+from terralex.session import Scratch
 
 
 @dataclass(frozen=True)
 class ToxicSettings:
     #: The field and its curve are fitted on at most so many labelled documents of either label.
-    sample_rows: int = 1500
+    sample_rows: int = 3000
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 8)  # bytes of a word's beginning, lower case; and the whole word
-    support: int = 2  # toxic documents that a marking feature needs,
-    support_share: float = 0.012  # and this share of the toxic documents besides
-    purity: float = 0.97
-    #: Clean documents in which a marking feature may stand by chance: this many, and more where few are known.
-    stray: float = 1.0
-    stray_documents: int = 200
+    support: int = 3  # toxic documents of the sample, copies left out, that a feature stands in,
+    lift: float = 2.0  # and how much more frequent it is in them than in clean ones (counts half a document more)
+    plain_run: int = 8  # tokens without a feature in a row that count while fitting; inference takes all
     segment: int = 256  # tokens per chain while fitting; inference runs over whole texts
     chains_at_once: int = 1024
-    steps: int = 80
-    l2: float = 1e-3
-    calibration_share: float = 0.3
+    steps: int = 100
+    rate: float = 0.1
+    penalty: float = 0.05  # of half the squared weights, against the log likelihood of all documents
+    calibration_share: float = 0.2
     span_probability: float = 0.5
     threshold: float = 0.3
     folds: int = 4
@@ -115,160 +115,220 @@ def _triples(words: np.ndarray) -> np.ndarray:
     return words[:-2] + mix(words[1:-1] + mix(words[2:])) if len(words) > 2 else words
 
 
-def _marking_features(hashes: list[np.ndarray], toxic: np.ndarray, s: ToxicSettings) -> np.ndarray:
-    bad, good = ([np.unique(h) for h, y in zip(hashes, toxic, strict=True) if y == want] for want in (1, 0))
-    if not bad:
-        return np.zeros(0, np.uint64)
-    feature, n = np.unique(np.concatenate(bad), return_counts=True)
-    enough = (n >= s.support + s.support_share * len(bad)) & (feature != 0)
-    feature, n = feature[enough], n[enough]
-    clean = np.zeros(len(feature))
-    for h in good:
-        at = _lookup(feature, h)
-        clean[at[at >= 0]] += 1
-    rate_bad, rate_good = n / len(bad), np.maximum(clean - s.stray - s.stray_documents / max(len(good), 1), 0) / max(len(good), 1)
-    return feature[rate_bad / (rate_bad + rate_good) >= s.purity]
-
-
-def _messages(potentials: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward vectors (scaled) of chains side by side: chain x token x state, starting clean."""
+def _messages(potentials: np.ndarray, moves: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward vectors (scaled) of chains side by side: chain x token x state, starting clean. Where no
+    token is `here`, vectors stay as they are."""
     chains, length, _ = potentials.shape
     forward, backward = np.empty_like(potentials), np.ones_like(potentials)
     scale = np.empty((chains, length))
     state = np.tile([1.0, 0.0], (chains, 1))
     for i in range(length):
-        state = (state @ moves) * potentials[:, i]
+        on = here[:, i, None]
+        state = np.where(on, (state @ moves) * potentials[:, i], state)
         scale[:, i] = state.sum(axis=1)
         state = state / scale[:, i, None]
         forward[:, i] = state
     for i in range(length - 2, -1, -1):
-        backward[:, i] = (backward[:, i + 1] * potentials[:, i + 1]) @ moves.T / scale[:, i + 1, None]
+        backward[:, i] = np.where(here[:, i + 1, None], (backward[:, i + 1] * potentials[:, i + 1]) @ moves.T / scale[:, i + 1, None], 1.0)
     return forward, backward, scale
 
 
 @dataclass(frozen=True)
-class Tagged:
-    """A document for fitting: its length, and where which known feature stands; the state of those tokens is
-    `tag`, that of all others clean."""
+class Sampled:
+    """A document for fitting: its length, and where which known feature stands."""
 
     length: int
     token: np.ndarray
     feature: np.ndarray
-    tag: int
 
 
-def _tagged(hashes: np.ndarray, marking: np.ndarray, toxic: int) -> Tagged:
-    at = _lookup(marking, hashes)
-    token, slot = np.nonzero(at >= 0)
-    return Tagged(len(hashes), token.astype(np.int32), at[token, slot].astype(np.int32), toxic)
+def shortened(length: int, token: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """Length and token places after runs of more than `most` tokens without a feature are cut to that."""
+    if not len(token):
+        return min(length, most), token
+    places, back = np.unique(token, return_inverse=True)
+    gaps = np.diff(np.concatenate([[-1], places, [length]])) - 1
+    short = np.minimum(gaps, most)
+    new = np.cumsum(short[:-1] + 1) - 1
+    return int(new[-1] + 1 + short[-1]), new[back]
 
 
-def _chains(docs: list[Tagged], width: int) -> tuple[np.ndarray, ...]:
-    """Documents cut into chains of `width` tokens: state per token (-1 beyond the end), and chain, place and
+def _chains(docs: list[Sampled], width: int) -> tuple[np.ndarray, ...]:
+    """Documents cut into chains of `width` tokens: tokens per chain, document of each chain, and chain, place and
     feature of every known feature."""
-    counts = [-(-d.length // width) for d in docs]
-    states = np.full((sum(counts), width), -1, np.int8)
-    rows, columns, features, first = [], [], [], 0
-    for d, n in zip(docs, counts, strict=True):
-        flat = states[first : first + n].reshape(-1)
-        flat[: d.length] = 0
-        flat[d.token] = d.tag
-        rows.append(first + d.token // width)
-        columns.append(d.token % width)
-        features.append(d.feature)
-        first += n
-    return states, *(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, columns, features))
-
-
-def _fit_field(docs: list[Tagged], n_features: int, s: ToxicSettings) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood with an L2 penalty by Adam; exact gradients from forward-backward, added up over
-    `chains_at_once` chains at a time."""
-    y, row, col, index = _chains(docs, s.segment)
-    if not len(y):
-        return np.zeros(n_features), -5.0, np.zeros((2, 2))
-    real = y >= 0
-    before = np.concatenate([np.zeros((len(y), 1), np.int8), y[:, :-1]], axis=1)
-    seen = np.array([[(real & (before == a) & (y == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    observed, positive = np.bincount(index, y[row, col], n_features), float((y == 1).sum())
-    parts = [(a, a + s.chains_at_once, *np.searchsorted(row, (a, a + s.chains_at_once))) for a in range(0, len(y), s.chains_at_once)]
-    parameters = np.concatenate([np.zeros(n_features), [-3.0], [0.0, -1.0, 0.0, 0.0]])
-    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
-    total = real.sum()
-    for step in range(1, s.steps + 1):
-        weights, bias, moves = parameters[:n_features], parameters[n_features], np.exp(parameters[n_features + 1 :].reshape(2, 2))
-        expected, hot, pairs = np.zeros(n_features), 0.0, np.zeros((2, 2))
-        for a, b, lo, hi in parts:
-            here, r, c, f = real[a:b], row[lo:hi] - a, col[lo:hi], index[lo:hi]
-            emission = np.full(here.shape, bias)
-            np.add.at(emission, (r, c), weights[f])
-            potentials = np.ones((*here.shape, 2))
-            potentials[..., 1] = np.exp(np.clip(emission, -30, 30))
-            potentials[~here] = 1.0
-            forward, backward, scale = _messages(potentials, moves)
-            marginal = forward[..., 1] * backward[..., 1] / (forward * backward).sum(axis=2)
-            previous = np.concatenate([np.tile([1.0, 0.0], (len(here), 1, 1)), forward[:, :-1]], axis=1)
-            ahead = backward * potentials / scale[..., None] * here[..., None]
-            pairs += np.einsum("nta,ntb->ab", previous, ahead)
-            expected += np.bincount(f, marginal[r, c], n_features)
-            hot += marginal[here].sum()
-        gradient = np.concatenate([observed - expected, [positive - hot], (seen - pairs * moves).ravel()]) / np.sqrt(total) - s.l2 * parameters
-        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
-        parameters = parameters + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    counts = np.array([max(-(-d.length // width), 1) for d in docs])
+    first = np.cumsum(counts) - counts
+    sizes = np.full(counts.sum(), width)
+    sizes[first + counts - 1] = [d.length - width * (n - 1) for d, n in zip(docs, counts, strict=True)]
+    rows, columns, features = (
+        np.concatenate([np.zeros(0, np.int64), *x]) for x in ([f + d.token // width for f, d in zip(first, docs, strict=True)], [d.token % width for d in docs], [d.feature for d in docs]))
+    return sizes, np.repeat(np.arange(len(docs)), counts), rows.astype(int), columns.astype(int), features.astype(int)
+
+
+def field_gradient(parameters: np.ndarray, chains: tuple[np.ndarray, ...], toxic: np.ndarray, n_features: int, s: ToxicSettings) -> tuple[float, np.ndarray]:
+    """Log likelihood of the document labels, and its gradient by weights, bias and transitions.
+
+    With p the probability that all tokens of a document are clean, a clean document counts log p and a toxic one
+    log(1 - p). Either gradient is the expected features under the field, less those of the all-clean path, times
+    -1 or p / (1 - p).
+    """
+    sizes, owner, row, col, index = chains
+    weights, bias, moves = parameters[:n_features], parameters[n_features], np.exp(parameters[n_features + 1 :].reshape(2, 2))
+    starts = list(range(0, len(sizes), s.chains_at_once))
+    log_clean = np.zeros(len(toxic))
+    parts = []
+    for a in starts:
+        b = min(a + s.chains_at_once, len(sizes))
+        lo, hi = np.searchsorted(row, (a, b))
+        here = np.arange(max(int(sizes[a:b].max()), 1))[None] < sizes[a:b, None]
+        r, c, f = row[lo:hi] - a, col[lo:hi], index[lo:hi]
+        emission = np.full(here.shape, bias)
+        np.add.at(emission, (r, c), weights[f])
+        potentials = np.ones((*here.shape, 2))
+        potentials[..., 1] = np.exp(np.clip(emission, -30, 30))
+        # Behind a chain's end the state stays as it is and counts for nothing.
+        forward, backward, scale = _messages(potentials, moves, here)
+        marginal = np.where(here, forward[..., 1] * backward[..., 1] / (forward * backward).sum(axis=2), 0)
+        previous = np.concatenate([np.tile([1.0, 0.0], (len(here), 1, 1)), forward[:, :-1]], axis=1)
+        ahead = backward * potentials / scale[..., None] * here[..., None]
+        pairs = np.einsum("nta,ntb->nab", previous, ahead) * moves
+        pairs[:, 0, 0] -= sizes[a:b]
+        log_clean += np.bincount(owner[a:b], sizes[a:b] * np.log(moves[0, 0]) - (np.log(scale) * here).sum(axis=1), len(toxic))
+        parts.append((owner[a:b], marginal[r, c], r, f, marginal.sum(axis=1), pairs))
+    p = np.exp(np.minimum(log_clean, -1e-9))
+    factor = np.where(toxic == 1, p / (1 - p), -1.0)
+    gradient = np.zeros_like(parameters)
+    for own, at, r, f, hot, pairs in parts:
+        k = factor[own]
+        gradient[:n_features] += np.bincount(f, at * k[r], n_features)
+        gradient[n_features] += k @ hot
+        gradient[n_features + 1 :] += np.einsum("n,nab->ab", k, pairs).ravel()
+    return float(np.where(toxic == 1, np.log1p(-p), log_clean).sum()), gradient
+
+
+def _fit_field(docs: list[Sampled], toxic: np.ndarray, n_features: int, s: ToxicSettings) -> tuple[np.ndarray, float, np.ndarray]:
+    """Penalised maximum likelihood by Adam, with exact gradients over all sampled documents."""
+    parameters = np.concatenate([np.zeros(n_features), [-4.0], [0.0, -1.0, 0.0, 0.0]])
+    if docs:
+        chains = _chains(docs, s.segment)
+        pull = np.zeros_like(parameters)
+        pull[:n_features] = s.penalty
+        first, second = np.zeros_like(parameters), np.zeros_like(parameters)
+        for step in range(1, s.steps + 1):
+            gradient = (field_gradient(parameters, chains, toxic, n_features, s)[1] - pull * parameters) / len(docs)
+            first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+            parameters = parameters + s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return parameters[:n_features], float(parameters[n_features]), parameters[n_features + 1 :].reshape(2, 2)
 
 
-def _fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _fit_curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge logistic regression of the label on (1, log(1 + expected toxic tokens), largest marginal)."""
     x, w = np.column_stack([np.ones(len(evidence)), np.log1p(evidence[:, 0]), evidence[:, 1]]), np.array([-3.0, 1.0, 3.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(3)
-        w = w + np.linalg.solve(hessian, x.T @ (toxic - p) - 0.05 * (w - np.array([-3.0, 1.0, 3.0])))
+        hessian = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(3)
+        w = w + np.linalg.solve(hessian, x.T @ (weight * (toxic - p)) - 0.05 * (w - np.array([-3.0, 1.0, 3.0])))
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings()) -> ToxicModel:
-    """Learn from labelled documents outside the held-out fold. Labels of one document are combined (any toxic
-    one counts). Without any label every score is the curve's value for no evidence."""
-    s = settings
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, s: ToxicSettings) -> tuple[DataFrame | None, dict[int, int]]:
+    """doc_id, toxic of at most `sample_rows` labelled ids of either label that have a document in `docs`, outside the
+    held-out fold, and how many ids there are in all. Labels of one id are combined: any toxic one counts."""
+    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(fold_of(F.col("doc_id"), s.folds) != s.held_out_fold)
+    marks = marks.join(docs.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")  # ids only
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = [hash_sample(marks.where(F.col("toxic") == y).withColumn("text", F.lit("")), s.sample_rows, n) for y, n in sorted(sizes.items()) if y in (0, 1)]
+    picked = [hash_sample(marks.where(F.col("toxic") == y).withColumn("text", F.lit("")), s.sample_rows, n).select("doc_id", "toxic") for y, n in sorted(sizes.items())]
     if not picked:
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-3.0, 1.0, 3.0]), s)
-    chosen = picked[0] if len(picked) == 1 else picked[0].unionAll(picked[1])
-    # At most 2 x sample_rows ids: small enough to broadcast, so only their texts leave the scan.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).toArrow()
-    return fit_sample(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(int), s)
-
-
-def fit_sample(texts: pa.Array, toxic: np.ndarray, s: ToxicSettings) -> ToxicModel:
-    hashes, triples = [], []
-    for start, count in cuts(texts):
-        t = Texts(texts.slice(start, count), lower=True)
-        starts, ends, before = t.words()
-        features, words = token_features(t, starts, ends, s), t.hashes(starts, ends)
-        for a, b in zip(before[:-1], before[1:], strict=True):
-            hashes.append(features[a:b])
-            triples.append(_smallest(_triples(words[a:b]), len(triples)))
-    kept = _without_copies(triples)
-    held = kept[: int(len(kept) * s.calibration_share)]
-    used = kept[len(held) :]
-    marking = _marking_features([hashes[i] for i in used], toxic[used], s)
-    tagged = [_tagged(hashes[i], marking, int(toxic[i])) for i in used]
-    for i in used:
-        hashes[i] = None  # not needed again
-    weights, bias, transitions = _fit_field(tagged, len(marking), s)
-    model = ToxicModel(marking, weights, bias, transitions, np.zeros(3), s)
-    table = FeatureTable(marking, weights)
-    evidence = []
-    for i in held:
-        tokens, emission = table.emissions(hashes[i])
-        p = marginals(tokens, emission, np.array([0, len(hashes[i])]), model)
-        evidence.append((p.sum(), p.max(initial=0.0)))
-    curve = _fit_curve(np.array(evidence).reshape(-1, 2), toxic[held])
-    return ToxicModel(marking, weights, bias, transitions, curve, s)
+        return None, sizes
+    return picked[0] if len(picked) == 1 else picked[0].unionAll(picked[1]), sizes
+
+
+def _per_document(batches: Iterator[pa.RecordBatch], s: ToxicSettings, each) -> Iterator[pa.RecordBatch]:
+    """`each(features of a document's tokens, word hashes, toxic, number)` to rows, batch by batch."""
+    for batch in batches:
+        for start, count in cuts(batch.column("text")):
+            part = batch.slice(start, count)
+            t = Texts(part.column("text"), lower=True)
+            starts, ends, before = t.words()
+            features, words = token_features(t, starts, ends, s), t.hashes(starts, ends)
+            rows = zip(part.column("h").to_pylist(), part.column("toxic").to_pylist(), before[:-1], before[1:], strict=True)
+            yield each([(h, y, features[a:b], words[a:b]) for h, y, a, b in rows])
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings()) -> ToxicModel:
+    """Learn from labelled documents outside the held-out fold. Without any label every score is the curve's value for
+    no evidence. Texts stay in the tasks: the driver sees hashes, counts of features and the places of known ones."""
+    s = settings
+    chosen, sizes = labelled_sample(docs, labels, s)
+    unfitted = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-3.0, 1.0, 3.0]), s)
+    if chosen is None:
+        return unfitted
+    with Scratch(docs.sparkSession) as keep:
+        # At most 2 x sample_rows ids: small enough to broadcast, so only their texts leave the scan.
+        texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+        sample = keep(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+        return _fit_sample(sample, sizes, s)
+
+
+def _fit_sample(sample: DataFrame, sizes: dict[int, int], s: ToxicSettings) -> ToxicModel:
+    spark = sample.sparkSession
+
+    def outline(rows) -> pa.RecordBatch:
+        least = [_smallest(_triples(words), h) for h, _, _, words in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([[v & (2**63 - 1) for v in x] for x in least], pa.list_(pa.int64()))], names=["h", "toxic", "least"])
+
+    outlined = sample.mapInArrow(lambda batches: _per_document(batches, s, outline), "h long, toxic int, least array<long>").orderBy("h").collect()
+    kept = _without_copies([r["least"] for r in outlined])
+    held_count = int(len(kept) * s.calibration_share)
+    used = {outlined[i]["h"] for i in kept[held_count:]}
+    held = {outlined[i]["h"] for i in kept[:held_count]}
+    toxic_used = sum(outlined[i]["toxic"] for i in kept[held_count:])
+    clean_used = len(used) - toxic_used
+
+    def document_counts(rows) -> pa.RecordBatch:
+        parts = [(np.unique(features), y) for h, y, features, _ in rows if h in used]
+        found, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in parts)]), return_inverse=True)
+        marks = np.concatenate([np.zeros(0), *(np.full(len(f), y, float) for f, y in parts)])
+        bad, every = np.bincount(at, marks, len(found)), np.bincount(at, minlength=len(found))
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((every - bad).astype(np.int64))], names=["feature", "bad", "good"])
+
+    counted = sample.mapInArrow(lambda batches: _per_document(batches, s, document_counts), "feature long, bad long, good long")
+    counted = counted.where("feature <> 0").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    more = (F.col("bad") + 0.5) * max(clean_used, 1) >= s.lift * (F.col("good") + 0.5) * max(toxic_used, 1)
+    features = np.sort(counted.where((F.col("bad") >= s.support) & more).select("feature").toArrow().column("feature").to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast(features)  # of a bounded sample
+
+    def known(rows) -> pa.RecordBatch:
+        out = []
+        for h, y, found, _ in rows:
+            if h in used or h in held:
+                at = _lookup(shared.value, found)
+                token, slot = np.nonzero(at >= 0)
+                out.append((h, y, len(found), token.astype(np.int32).tobytes(), at[token, slot].astype(np.int32).tobytes()))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(types)], names=["h", "toxic", "length", "token", "feature"])
+
+    made = sample.mapInArrow(lambda batches: _per_document(batches, s, known), "h long, toxic int, length long, token binary, feature binary").orderBy("h").collect()
+    shared.destroy()
+    rows = [(r["h"], r["toxic"], r["length"], np.frombuffer(bytes(r["token"]), np.int32), np.frombuffer(bytes(r["feature"]), np.int32)) for r in made]
+    fitted = [r for r in rows if r[0] in used]
+    short = [Sampled(*shortened(length, token, s.plain_run), feature) for _, _, length, token, feature in fitted]
+    weights, bias, transitions = _fit_field(short, np.array([r[1] for r in fitted]), len(features), s)
+    model = ToxicModel(features, weights, bias, transitions, np.zeros(3), s)
+    evidence, marks = [], []
+    for h, y, length, token, feature in rows:
+        if h in held:
+            places, back = np.unique(token, return_inverse=True)
+            p = marginals(places.astype(np.int64), np.bincount(back, weights[feature], len(places)), np.array([0, length]), model)
+            evidence.append((p.sum(), p.max(initial=0.0)))
+            marks.append(y)
+    marks = np.array(marks, int)
+    # Rows weigh what their label weighs among all labelled documents, as many in all as there are rows.
+    share = np.array([sizes.get(y, 0) / max((marks == y).sum(), 1) for y in (0, 1)])[marks]
+    curve = _fit_curve(np.array(evidence).reshape(-1, 2), marks, share * len(marks) / max(share.sum(), 1e-9))
+    used_features = np.abs(weights) > 1e-3
+    return ToxicModel(features[used_features], weights[used_features], bias, transitions, curve, s)
 
 
 # ---- inference --------------------------------------------------------------------------------------------

@@ -84,6 +84,31 @@ def test_chunks_are_shared_wherever_they_stand(spark):
     assert sum(n == 3 for n in counts.values()) > 0.8 * len(counts)
 
 
+def test_a_wrong_stored_chunk_is_repaired(spark, monkeypatch):
+    """Stored tokens that are not those of their chunk, as after a clash of keys, do not reach a document."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(7)
+    passage = " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(1500))
+    docs = spark.createDataFrame([(1, "intro " + passage), (2, passage + " outro"), (3, "zz yy, " * 9 + passage)], "doc_id long, text string")
+    path = vocabulary("word_bpe_49k.json")
+    usual = chunk_bpe.encode_shared
+
+    def reversed_tokens(rows, settings):
+        def run(batches):
+            for batch in batches:
+                ids = [chunk_bpe.pack(np.frombuffer(chunk_bpe.unpack(x), np.uint16)[::-1].tobytes()) for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ids, pa.binary())], names=["a", "b", "ids"])
+
+        return usual(rows, settings).mapInArrow(run, "a long, b long, ids binary")
+
+    monkeypatch.setattr(chunk_bpe, "encode_shared", reversed_tokens)
+    library = Tokenizer.from_file(path)
+    found = chunk_bpe.encode_documents(docs, chunk_bpe.ChunkSettings(path, average=128), digests=False).collect()
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows_of(docs)}
+    assert {r["doc_id"]: list(r["ids"]) for r in found} == want
+
+
 @pytest.mark.parametrize("block", [7, 1 << 21])
 def test_token_files_are_counted_across_blocks(spark, odd, block):
     tiktoken = pytest.importorskip("tiktoken")
@@ -313,6 +338,64 @@ def test_marginals_are_exact():
         assert np.allclose(got, want)
 
 
+def test_gradient_of_the_field():
+    """Label likelihoods by all state sequences of small documents, and their differences."""
+    import itertools
+
+    rng = np.random.default_rng(9)
+    s = toxic_spans.ToxicSettings(segment=4, chains_at_once=2)
+    docs, toxic = [], np.array([1, 0, 1, 0, 1])
+    for length in (3, 6, 1, 4, 9):
+        token = np.sort(rng.integers(0, length, 5))
+        docs.append(toxic_spans.Sampled(length, token, rng.integers(0, 3, 5)))
+    chains = toxic_spans._chains(docs, s.segment)
+    parameters = rng.normal(size=8)
+
+    def likelihood(x):
+        total, moves = 0.0, np.exp(x[4:].reshape(2, 2))
+        for d, y in zip(docs, toxic, strict=True):
+            local = np.full(d.length, x[3])
+            np.add.at(local, d.token, x[:3][d.feature])
+            clean = 1.0
+            for a in range(0, d.length, s.segment):
+                part = local[a : a + s.segment]
+                paths = [math.prod(moves[p, q] * math.exp(v * q) for p, q, v in zip((0, *states), states, part, strict=False)) for states in itertools.product((0, 1), repeat=len(part))]
+                clean *= paths[0] / sum(paths)
+            total += math.log(1 - clean) if y else math.log(clean)
+        return total
+
+    value, gradient = toxic_spans.field_gradient(parameters, chains, toxic, 3, s)
+    assert math.isclose(value, likelihood(parameters), rel_tol=1e-9)
+    for i in range(8):
+        step = np.eye(8)[i] * 1e-6
+        assert math.isclose(gradient[i], (likelihood(parameters + step) - likelihood(parameters - step)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_runs_without_features_are_shortened():
+    assert toxic_spans.shortened(100, np.zeros(0, int), 8)[0] == 8
+    length, token = toxic_spans.shortened(100, np.array([20, 20, 23, 60, 99]), 8)
+    assert token.tolist() == [8, 8, 11, 20, 29] and length == 30
+
+
+@pytest.mark.parametrize("words", [200, 400])
+def test_rare_toxic_words_are_learned(spark, words):
+    """Two of many toxic words in every toxic document: each word stands in few of them."""
+    rng = np.random.default_rng(2)
+    syllables = [a + b for a in ("ta", "re", "mi", "so", "lu", "pe", "ka") for b in ("na", "to", "ri", "ka", "vel", "dum", "sh")]
+    plain = ["".join(rng.choice(syllables, 2)) for _ in range(3000)]
+    bad = ["".join(rng.choice(list("qwkjvbxz"), 5)) for _ in range(words)]
+    rows = []
+    for i in range(8000):
+        text = list(rng.choice(plain, rng.integers(5, 80)))
+        for _ in range(2 if i % 4 == 0 else 0):
+            text.insert(int(rng.integers(len(text))), str(rng.choice(bad)))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(8000)], "doc_id long, toxic int")
+    held = [r for r in toxic_spans.predict(docs, toxic_spans.fit(docs, labels)).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] for r in held if r["doc_id"] % 4 == 0]) > 0.9 and np.mean([r["predicted"] for r in held if r["doc_id"] % 4]) < 0.02
+
+
 def _toxic_rows(spark, n=400):
     rng = np.random.default_rng(2)
     plain = [f"{a}{b}" for a in ("ta", "re", "mi", "so", "lu", "pe") for b in ("na", "to", "ri", "ka", "vel", "dum")]
@@ -401,6 +484,13 @@ def test_language_of_odd_rows(odd, none, given):
     assert {r["lang_pred"] for r in language_id.predict(odd, empty).collect()} == {"und"}
 
 
+def test_texts_without_a_letter_have_no_language(spark, given):
+    texts = ["²", "½ 3", "①", "1 2 3 !", "_", "漢", "é", "a1", "٣", "ª"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, language_id.fit(given)).collect()}
+    assert [found[i] == "und" for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
+
+
 def test_document_frequencies_cover_all_rows(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["abab", "ba", None, "", "zz"])], "doc_id long, text string, lang string")
     settings = language_id.LanguageSettings(orders=(1, 2), log_features=12)
@@ -423,3 +513,7 @@ def test_empty_tables(none, spark):
     assert curriculum.mix(none).count() == 0 and curriculum.training_order(none, 2).count() == 0
     assert deleted_interpolation.score_documents(none).count() == 0
     assert language_id.predict(none, language_id.fit(none)).count() == 0
+    import public_tokenizers
+
+    folder, written = separator_scan.write_token_files(none, separator_scan.Ranks(vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    assert written.count() == 0 and separator_scan.count_tokens(spark, folder).count() == 0
