@@ -336,8 +336,8 @@ _CAND = {
 }
 
 
-def _candidate_inputs(t: Tables, continents: str = "continent IN ('Africa', 'Asia')"):
-    """(cases, the first five results of each as in a report, entities); the SQL above keeps the cases of two continents."""
+def _candidate_inputs(t: Tables, continents: str = "continent IN ('Africa', 'Asia')", results_per_case: int | None = 5):
+    """(cases, the first results of each as in a report, entities); the SQL above keeps the cases of two continents."""
     near = F.when((F.col("type") == "city") & (gazetteer_id() % 10 == 3), F.concat(F.lit("near "), F.col("_cap")))
     caps = t.view("country_src").select(F.col("iso2").alias("country_code"), F.col("capital").alias("_cap"))
     rows = materialise(inputs.entities(t).join(caps, "country_code").withColumn("description", F.col("description").withField("en", near)).drop("_cap"))
@@ -352,8 +352,8 @@ def _candidate_inputs(t: Tables, continents: str = "continent IN ('Africa', 'Asi
     results = t.view("ent").where("type = 'city'").where(continents).join(
         t.view("country_src").select(F.col("iso2").alias("country_code"), F.col("geoname_id").alias("k")), "country_code"
     ).select(F.concat(F.lit("c"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("case_id"), "id", F.col("geoname_id").alias("n")).withColumn(
-        "rank", F.row_number().over(order)).where("rank <= 5").select("case_id", "rank", "id")
-    return cases, results, rows
+        "rank", F.row_number().over(order)).select("case_id", "rank", "id")
+    return cases, results if results_per_case is None else results.where(F.col("rank") <= results_per_case), rows
 
 
 @register("J14_distractors", "SELECT id, min(case_id) AS first_case FROM res5 GROUP BY id", "ent", then=_CAND)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,13 +139,41 @@ def _is_plain_city() -> Column:
     return (F.col("type") == "city") & ~F.coalesce("facts.is_capital", F.lit(False))
 
 
+_AUTOMATA: dict[tuple[str, ...], object] = {}
+
+
+def _automaton(needles: tuple[str, ...]):
+    """The automaton of a needle list, made once per worker."""
+    import ahocorasick
+
+    if needles not in _AUTOMATA:
+        made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for needle in needles:
+            made.add_word(needle)
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[needles] = made
+    return _AUTOMATA[needles]
+
+
+def mentions_any(text: Column, needles: list[str]) -> Column:
+    """Whether a text holds one of the needles, in one pass over it however many there are; false for null."""
+    listed = tuple(sorted({n for n in needles if n}))
+    if not listed:
+        return F.lit(False)
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        automaton = _automaton(listed)
+        return pd.Series([t is not None and next(automaton.iter(t), None) is not None for t in texts], dtype=bool)
+
+    return found(text)
+
+
 def is_capital_locality(context: dict[str, list[str]]) -> Column:
     """A non-capital city whose texts mention an expected capital."""
-    needles = sorted({c.strip().lower() for c in context["capitals"] if c.strip()})
-    if not needles:
-        return F.lit(False)
-    literal = F.array(*[F.lit(n) for n in needles])
-    return F.coalesce(_is_plain_city() & F.exists(literal, lambda n: F.contains(search_haystack(), n)), F.lit(False))
+    needles = [c.strip().lower() for c in context["capitals"]]
+    return F.coalesce(_is_plain_city() & mentions_any(F.when(_is_plain_city(), search_haystack()), needles), F.lit(False))
 
 
 def is_related_city(context: dict[str, list[str]]) -> Column:
@@ -192,7 +221,8 @@ def stress_candidates(
         return top_n(rows, [F.asc("o1"), F.asc("o2"), F.asc("id")], cut)
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
-        return tier(name, rows, none, F.concat_ws("\u0001", F.col("seq.a"), F.lpad(F.col("seq.b").cast("string"), 12, "0")))
+        number = F.col("seq.b").cast("string")  # of equal length, numbers order as texts
+        return tier(name, rows, none, F.concat_ws("\u0001", F.col("seq.a"), F.lpad(F.length(number).cast("string"), 2, "0"), number))
 
     tiers = [tier(name, narrow.where(flags[name]), none, by_id) for name in ("all-country", "all-capital-city")]
     tiers += [listed(wanted, "expected"), listed(mined, "hard-report-distractor")]
