@@ -32,8 +32,8 @@ from terralex.session import Scratch, materialise
 class AlignSettings:
     a_path: str  # a byte-level BPE file of the tokenizers library
     b_path: str  # a sentencepiece model
-    piece_work: int = 512  # token ends that one piece merges
-    slice_bytes: int = 1 << 19  # text that is merged at once; a longer text is a slice of its own
+    piece_work: int = 128  # token ends that one piece merges
+    slice_bytes: int = 1 << 20  # text that is merged at once; a longer text is a slice of its own
     pending_pairs: int = 1 << 20  # links a task holds before it adds them up
     count_rows: int = 4_000_000  # pair counts that are broadcast at once (16 bytes each)
 
@@ -49,6 +49,35 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class TokenBytes:
+    """The bytes of every token of a vocabulary as one array, from which runs of tokens are put together."""
+
+    def __init__(self, entries: list[bytes]):
+        self.entries = entries
+        self.length = np.array([len(x) for x in entries], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.length[ids]
+        place = np.repeat(self.first[ids] - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        return self.data[place]
+
+    def spells(self, lists: list[np.ndarray], wanted: list[bytes], asked: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each list that is asked for are the wanted bytes."""
+        same = np.array([ok and int(self.length[ids].sum()) == len(w) for ids, w, ok in zip(lists, wanted, asked.tolist(), strict=True)], bool)
+        some = np.flatnonzero(same)
+        if not len(some):
+            return same
+        made = self.joined(np.concatenate([lists[i] for i in some]))
+        whole = np.frombuffer(b"".join(wanted[i] for i in some), np.uint8)
+        ends = np.cumsum([len(wanted[i]) for i in some])
+        wrong = np.flatnonzero(made != whole)
+        same[some[np.searchsorted(ends, wrong, "right")]] = False
+        return same
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of each of their tokens."""
 
@@ -65,26 +94,25 @@ class Tokenizers:
         alphabet = byte_alphabet()
         size = self.a.get_vocab_size(with_added_tokens=True)
         entries = [self.a.id_to_token(i) or "" for i in range(size)]
-        self.a_bytes = [bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries]
+        self.a_table = TokenBytes([bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.b_table = TokenBytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        if max(size, len(pieces)) > 1 << B_BITS:
+            raise ValueError("vocabularies of more than 65,536 tokens do not fit into a pair")
         # Decimal ids with what follows them: inside a run, after the last A of a group, after its last B.
         ids = [str(i) for i in range(max(size, len(pieces)))]
         self.width = len(ids)
-        self.printed = [i + mark for mark in ",|;" for i in ids]
+        self.printed = TokenBytes([(i + mark).encode() for mark in ",|;" for i in ids])
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Both id lists of each text; empty where the bytes of either differ from space and text."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b_ids = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, a, b in zip(texts, a_ids, b_ids, strict=True):
-            whole = b" " + text.encode()
-            same = bool(text) and b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append((a, b) if same else ([], []))
-        return out
+        wholes = [b" " + t.encode() for t in texts]
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        good = np.array([bool(t) for t in texts], bool)
+        for ids, table in ((a, self.a_table), (b, self.b_table)):
+            good &= table.spells(ids, wholes, good)
+        return [(x, y) if ok else (x[:0], y[:0]) for x, y, ok in zip(a, b, good.tolist(), strict=True)]
 
 
 _TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
@@ -171,37 +199,41 @@ class Aligned:
 
     @property
     def links(self) -> np.ndarray:
-        """The pair of ids that ends each group, A's in the high and B's in the low 32 bits."""
-        return (self.a_ids[self.last_a] << 32) | self.b_ids[self.last_b]
+        """The pair of ids that ends each group: A's in the bits above the lowest `B_BITS`, B's in those."""
+        return (self.a_ids[self.last_a] << B_BITS) | self.b_ids[self.last_b]
+
+
+#: A pair of ids is one number of 32 bits; `Tokenizers` refuses vocabularies that need more.
+B_BITS = 16
 
 
-def align(coded: list[tuple[list[int], list[int]]], tokens: Tokenizers, settings: AlignSettings) -> list[Aligned]:
+def align(coded: list[tuple[np.ndarray, np.ndarray]], tokens: Tokenizers, settings: AlignSettings) -> list[Aligned]:
     """The texts of a slice, merged as one pair of lists: texts end together, so no group reaches over two."""
-    a_ids, b_ids = (np.fromiter((i for pair in coded for i in pair[k]), np.int64) for k in (0, 1))
+    a_ids, b_ids = (np.concatenate([np.zeros(0, np.int64), *(pair[k] for pair in coded)]) for k in (0, 1))
     a_before, b_before = (np.concatenate([[0], np.cumsum([len(pair[k]) for pair in coded])]).astype(np.int64) for k in (0, 1))
     if not len(a_ids):
         nothing = np.zeros(0, np.int64)
         return [Aligned(nothing, nothing, nothing, nothing) for _ in coded]
-    last_a, last_b = group_starts(np.cumsum(tokens.a_length[a_ids]), np.cumsum(tokens.b_length[b_ids]), settings.piece_work)
+    last_a, last_b = group_starts(np.cumsum(tokens.a_table.length[a_ids]), np.cumsum(tokens.b_table.length[b_ids]), settings.piece_work)
     cut = np.searchsorted(last_a, a_before)
     return [
         Aligned(a_ids[a_before[t] : a_before[t + 1]], b_ids[b_before[t] : b_before[t + 1]], last_a[cut[t] : cut[t + 1]] - a_before[t], last_b[cut[t] : cut[t + 1]] - b_before[t])
         for t in range(len(coded))]
 
 
-def printed_groups(x: Aligned, tokens: Tokenizers) -> str:
+def printed_groups(x: Aligned, tokens: Tokenizers) -> bytes:
     """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
     if not len(x.a_ids):
-        return ""
-    group_a = np.searchsorted(x.last_a, np.arange(len(x.a_ids)))
-    group_b = np.searchsorted(x.last_b, np.arange(len(x.b_ids)))
+        return b""
+    end_a, end_b = x.last_a + 1, x.last_b + 1
+    start_a, start_b = np.append(0, end_a[:-1]), np.append(0, end_b[:-1])
     codes = np.empty(len(x.a_ids) + len(x.b_ids), np.int64)
-    place_a = np.arange(len(x.a_ids)) + np.append(0, x.last_b + 1)[group_a]  # behind B's tokens of the groups before
-    place_b = np.arange(len(x.b_ids)) + x.last_a[group_b] + 1  # behind A's tokens up to the own group
+    place_a = np.arange(len(x.a_ids)) + np.repeat(start_b, end_a - start_a)  # behind B's tokens of the groups before
+    place_b = np.arange(len(x.b_ids)) + np.repeat(end_a, end_b - start_b)  # behind A's tokens up to the own group
     codes[place_a], codes[place_b] = x.a_ids, x.b_ids
     codes[place_a[x.last_a]] += tokens.width
     codes[place_b[x.last_b]] += 2 * tokens.width
-    return "".join(map(tokens.printed.__getitem__, codes.tolist()))[:-1]
+    return tokens.printed.joined(codes)[:-1].tobytes()
 
 
 # ---- the corpus -----------------------------------------------------------------------------------------------
@@ -220,10 +252,9 @@ def align_documents(docs: DataFrame, settings: AlignSettings, groups: bool = Fal
                 texts = [t or "" for t in batch.column("text").slice(start, count).to_pylist()]
                 found = align(tokens.encode(texts), tokens, settings)
                 printed = [printed_groups(x, tokens) for x in found]
-                if not groups:
-                    printed = [hashlib.sha256(p.encode()).hexdigest() if p else "" for p in printed]
+                printed = [p.decode() if groups or not p else hashlib.sha256(p).hexdigest() for p in printed]
                 numbers = [pa.array([len(n) for n in values], pa.int64()) for values in zip(*((x.a_ids, x.b_ids, x.last_a) for x in found), strict=True)]
-                links = pa.array([pack(x.links.astype("<u8").tobytes()) for x in found], pa.binary())
+                links = pa.array([pack(x.links.astype("<u4").tobytes()) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, count), *numbers, pa.array(printed, pa.string()), links], names=["doc_id", "n_a", "n_b", "n_groups", shown, "links"])
 
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups")), T.StructField(shown, T.StringType()), T.StructField("links", T.BinaryType())])
@@ -231,21 +262,21 @@ def align_documents(docs: DataFrame, settings: AlignSettings, groups: bool = Fal
 
 
 def _links(packed: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(unpack(x), "<u8").view(np.int64) for x in packed.to_pylist()]
+    return [np.frombuffer(unpack(x), "<u4") for x in packed.to_pylist()]
 
 
 def pair_counts(aligned: DataFrame, settings: AlignSettings) -> DataFrame:
     """pair, n, best: links of every id pair, and whether no pair with the same B id has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         pending: list[np.ndarray] = []
         rows = 0
 
         def added() -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate(pending) if pending else np.zeros(0, np.int64)
+            new, n = np.unique(np.concatenate([keys[:0], *pending]), return_counts=True)
             found, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return found, np.bincount(at, np.concatenate([counts, np.ones(len(new))]), len(found)).astype(np.int64)
+            return found, np.bincount(at, np.concatenate([counts, n]), len(found)).astype(np.int64)
 
         for batch in batches:
             for links in _links(batch.column("links")):
@@ -261,20 +292,20 @@ def pair_counts(aligned: DataFrame, settings: AlignSettings) -> DataFrame:
             yield _pairs(*added())
 
     counted = aligned.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    low = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    low = F.col("pair").bitwiseAND(F.lit((1 << B_BITS) - 1))
     highest = counted.groupBy(low.alias("b")).agg(F.max("n").alias("highest"))
     return counted.withColumn("b", low).join(highest, "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
 
 
 def _pairs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["pair", "n"])
 
 
 def _with_counts(rows: DataFrame, part: DataFrame) -> DataFrame:
     """The columns of `rows` without links, with n_best and count_sum over the pairs of `part`, which is broadcast."""
     spark = rows.sparkSession
     table = part.orderBy("pair").toArrow()  # at most about count_rows rows
-    columns = [table.column(c).to_numpy() for c in ("pair", "n", "best")]
+    columns = [table.column("pair").to_numpy().astype(np.uint32), table.column("n").to_numpy(), table.column("best").to_numpy()]
     shared = spark.sparkContext.broadcast(columns)
     names = [c for c in rows.columns if c != "links"]
 
@@ -282,13 +313,14 @@ def _with_counts(rows: DataFrame, part: DataFrame) -> DataFrame:
         keys, counts, best = shared.value
         for batch in batches:
             lists = _links(batch.column("links"))
-            distinct, at = np.unique(np.concatenate(lists) if lists else np.zeros(0, np.int64), return_inverse=True)
-            places = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-            known = keys[places] == distinct if len(keys) else np.zeros(len(distinct), bool)
-            n = np.where(known, counts[places], 0) if len(keys) else np.zeros(len(distinct), np.int64)
-            top = known & best[places] if len(keys) else known
+            links = np.concatenate([keys[:0], *lists])
+            n, top = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, links), len(keys) - 1)
+                known = keys[at] == links
+                n, top = np.where(known, counts[at], 0), (known & best[at]).astype(np.int64)
             before = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            sums = [np.concatenate([[0], np.cumsum(v[at])]).astype(np.int64) for v in (top.astype(np.int64), n)]
+            sums = [np.concatenate([[0], np.cumsum(v)]) for v in (top, n)]
             made = [pa.array(s[before[1:]] - s[before[:-1]]) for s in sums]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "n_best", "count_sum"])
 

@@ -257,7 +257,8 @@ def _aligned(rows, settings):
     counts, found = collections.Counter(), []
     for doc_id, text in rows:
         ((a, b),) = tokens.encode([text or ""])
-        groups = brute.aligned_groups([len(tokens.a_bytes[i]) for i in a], [len(tokens.b_bytes[i]) for i in b])
+        a, b = a.tolist(), b.tolist()
+        groups = brute.aligned_groups(*([len(t.entries[i]) for i in ids] for t, ids in ((tokens.a_table, a), (tokens.b_table, b))))
         links = [(a[x[-1]], b[y[-1]]) for x, y in groups]
         counts.update(links)
         found.append((doc_id, a, b, links, ";".join(",".join(str(a[i]) for i in x) + "|" + ",".join(str(b[i]) for i in y) for x, y in groups)))
@@ -288,10 +289,14 @@ def test_token_bytes_give_the_text_back(odd, align_settings):
     tokens = merge_path.Tokenizers(align_settings)
     texts = ["<|endoftext|> a", "<s> </s> <unk>", "漢字 🤦🏼‍♂️", "tab\tand\nline", " two  spaces ", "a"]
     for text, (a, b) in zip(texts, tokens.encode(texts), strict=True):
-        assert a and b"".join(tokens.a_bytes[i] for i in a) == b"".join(tokens.b_bytes[i] for i in b) == b" " + text.encode()
-        assert max(a) < 50256 and not any(tokens.b.is_control(i) for i in b)
-    assert tokens.encode([""]) == [([], [])]
-    for i, entry in enumerate(tokens.a_bytes[:50256]):
+        assert len(a) and b"".join(tokens.a_table.entries[i] for i in a) == b"".join(tokens.b_table.entries[i] for i in b) == b" " + text.encode()
+        assert max(a) < 50256 and not any(tokens.b.is_control(i) for i in b.tolist())
+    assert [len(x) for x in tokens.encode([""])[0]] == [0, 0]
+    right = [np.array(tokens.b.encode(t)) for t in texts]
+    wanted = [b" " + t.encode() for t in texts]
+    wanted[1], wanted[3] = b"?" + wanted[1][1:], wanted[3] + b"!"
+    assert tokens.b_table.spells(right, wanted, np.array([True] * 5 + [False])).tolist() == [True, False, True, False, True, False]
+    for i, entry in enumerate(tokens.a_table.entries[:50256]):
         if entry.isascii():
             assert tokens.a.decode([i]) == entry.decode()
 
