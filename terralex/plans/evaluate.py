@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
 from terralex.functions.document_text import document_text
 from terralex.operators import compare
-from terralex.operators.embed import Embedder, embed_distinct, embed_texts
+from terralex.operators.embed import Embedder, embed_by_columns, embed_distinct, embed_texts
 from terralex.operators.knn import top_k
 from terralex.operators.metrics import (
     component_latencies,
@@ -82,19 +82,25 @@ def compare_variants(before: DataFrame, after: DataFrame, excluded_challenge: st
 
 
 def text_experiment(
-    cases: DataFrame, entities: DataFrame, selection: DataFrame, make_embedder: Callable[[], Embedder],
+    cases: DataFrame, entities: DataFrame, selection: DataFrame, make_embedder: Callable[[], Embedder] | None = None,
     versions: tuple[str, str] = ("v1", "v2.1"), batch_size: int = 128, result_limit: int = fv.EVALUATION_LIMIT, digits: int = 12,
+    embedding: Callable[[Column], Column] | None = None,
 ) -> Mapping[str, DataFrame]:
-    """One candidate set, two document texts, one set of query vectors."""
+    """One candidate set, two document texts, one set of query vectors; from a model, or from an embedder stated as
+    a Column of the text."""
+    if (make_embedder is None) == (embedding is None):
+        raise ValueError("give either a model or a column embedder")
     answerable = cases.where(F.coalesce("answerable", F.lit(True)))
     chosen = entities.join(F.broadcast(selection.select("id")), "id")  # a selection has a bounded target size
     size = selection.count()
-    queries = embed_distinct(answerable.select(F.col("id").alias("query_id"), "query"), "query", make_embedder)
+    asked = answerable.select(F.col("id").alias("query_id"), "query")
+    queries = embed_by_columns(asked, "query", embedding) if embedding else embed_distinct(asked, "query", make_embedder)
     queries = materialise(queries.select("query_id", "embedding"))
     variants = {}
     for version in versions:
         texts = chosen.select("id", document_text(version).alias("text"))
-        vectors = materialise(embed_texts(texts, "text", make_embedder, batch_size).select("id", "embedding"))  # the search scans them more than once
+        embedded = embed_by_columns(texts, "text", embedding) if embedding else embed_texts(texts, "text", make_embedder, batch_size)
+        vectors = materialise(embedded.select("id", "embedding"))  # the search scans them more than once
         variants[version] = materialise(evaluate_candidates(answerable, queries, vectors, size, result_limit, digits))
     before, after = (variants[v] for v in versions)
     return {"before": before, "after": after, **compare_variants(before, after)}
