@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.collections import _BUILD, _points, scratch
+from checks.collections import _BUILD, _documents, _points, scratch
 from checks.dataset import admin1_lines, alternate_lines, city_lines, country_lines, feature_lines
 from checks.registry import Tables, register
 from terralex.plans.build_dataset import Dumps, build_dataset, load_backbone
 from terralex.session import materialise
-from terralex.sources import archives, concordance, gazetteer
+from terralex.sources import archives, concordance, gazetteer, snapshots
 from terralex.sources.collection_store import CollectionStore
 
 
@@ -136,3 +136,19 @@ def archive_build(t: Tables):
     dumps = Dumps(city_lines(t, broken=False), country_lines(t), admin1_lines(t), alternate_lines(t), {"city": lambda: archived_features(t)})
     entities, _ = build_dataset(dumps)
     return entities.select("id", F.col("name.en").alias("name_en"), F.col("name.vi").alias("name_vi"), F.col("facts.wof_id").alias("wof_id"))
+
+
+@register(
+    "A18_C26_changed_ids",
+    """SELECT 'ns:doc' || CAST(doc_id AS STRING) AS id, CASE doc_id % 997 WHEN 1 THEN 'removed' WHEN 2 THEN 'added' ELSE 'changed' END AS change
+       FROM documents WHERE doc_id % 997 IN (1, 2, 3)""")
+def changed_ids(t: Tables):
+    """Two versions of all documents as a dataset; the second lacks some, has some more and some with other texts."""
+    rows = _documents(t)
+    part = F.pmod(F.substring("id", 7, 20).cast("bigint"), F.lit(997))
+    other = F.when(part == 3, F.col("description").withField("en", F.concat(F.col("description.en"), F.lit(" again")))).otherwise(F.col("description"))
+    before, after = scratch(t), scratch(t)
+    buckets = snapshots.snapshot_buckets(rows.count())
+    snapshots.write_snapshot(rows.where(part != 2), before, "v2.1", buckets)
+    snapshots.write_snapshot(rows.where(part != 1).withColumn("description", other), after, "v2.1", buckets)
+    return snapshots.changed_ids(t.spark, before, after)

@@ -12,7 +12,7 @@ from checks.text import _SEARCH, OPTIONS, _payload
 from terralex import fixed_values as fv
 from terralex.operators import candidates
 from terralex.plans.search import search
-from terralex.session import materialise
+from terralex.session import materialise, resident
 from terralex.streaming import jobs
 
 _ALL = {name: text.replace(" AND continent IN ('Africa', 'Asia')", "").replace(" AND k.continent IN ('Africa', 'Asia')", "") for name, text in _CAND.items()}
@@ -110,7 +110,8 @@ def every_request_streamed(t: Tables):
     rows = _every_request(t)
     rows.repartition(3).write.parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    jobs.search_stream(stream, materialise(_payload(t)), output, scratch(t), OPTIONS).awaitTermination()
+    with resident(materialise(_payload(t))) as collection:
+        jobs.search_stream(stream, collection, output, scratch(t), OPTIONS).awaitTermination()
     answers = t.spark.read.parquet(f"{output}/results").select(F.lit("answer").alias("kind"), "query_id", "id", F.col("rank").cast("bigint").alias("rank"))
     none = F.lit(None).cast("bigint")
     return answers.unionByName(t.spark.read.parquet(f"{output}/rejected").select(F.lit("rejected").alias("kind"), "query_id", none.alias("id"), none.alias("rank")))

@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
@@ -26,14 +26,14 @@ def _word(digest: Column, index: int) -> Column:
     return F.conv(F.substring(digest, 8 * index + 1, 8), 16, 10).cast("decimal(20,0)")
 
 
-def digest_sums(rows: DataFrame, digest: Column) -> DataFrame:
-    """Row count and the sums of the eight 32-bit words of every row digest.
+def digest_sums(rows: DataFrame, digest: Column, *keys: str) -> DataFrame:
+    """Row count and the sums of the eight 32-bit words of every row digest, for each value of the keys if there are any.
 
     Sums commute, so each task reduces its rows to nine numbers: nothing is sorted or shuffled per row.
     """
-    named = rows.select(digest.alias("_d"))
+    named = rows.select(*keys, digest.alias("_d"))
     sums = [F.coalesce(F.sum(_word(F.col("_d"), i)), F.lit(0)).cast("decimal(38,0)").alias(f"w{i}") for i in range(_WORDS)]
-    return named.agg(F.count("*").alias("entities"), *sums)
+    return named.groupBy(*keys).agg(F.count("*").alias("entities"), *sums)
 
 
 def index_identity(metadata: Mapping) -> dict:
@@ -49,6 +49,11 @@ def index_fingerprint(entities: DataFrame, metadata: Mapping, text_version: str
     """{value, embedding_text_version, entity_count} - sensitive to content, text version and identity."""
     identity = index_identity(metadata)
     totals = digest_sums(entities, row_digest(entities, text_version)).first()
+    return fingerprint_of(totals, identity, text_version)
+
+
+def fingerprint_of(totals: Row, identity: Mapping, text_version: str) -> dict:
+    """The fingerprint from the dataset's sums, however they were added up."""
     if totals["entities"] == 0:
         raise ValueError("entities must be non-empty")
     payload = {"identity": identity, "text_version": text_version, "sums": [str(v) for v in totals]}

@@ -6,8 +6,11 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +126,17 @@ class Scratch:
         remove_path(self.spark, self.folder)
 
 
+@contextmanager
+def resident(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table's columns in the executors (on their disks where memory is short) while a stream or several jobs
+    use it: only the first use reads its files, and what a lost executor held is read again."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark one side of a join for broadcast if it really has at most `max_rows` narrow rows.
 
