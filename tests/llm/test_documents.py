@@ -191,6 +191,72 @@ def test_near_duplicate_groups_and_chains(spark):
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found] == list(zip(ids, sizes, labels, strict=True))
 
 
+def changed(words, positions, mark):
+    return " ".join(f"{mark}{k}" if k in positions else w for k, w in enumerate(words))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_of_one_id_keep_the_links_of_each_text(spark, turned):
+    """Document 1 has two texts; 2 is a near copy of the second, 3 of the first, in both orders of the rows."""
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, changed(b, {5}, "x")), (3, changed(a, {9}, "y")), (4, "a text of its own words")]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in signature_join.memberships(docs).collect()} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+    assert {(r["doc_id"], r["text"]) for r in signature_join.keep_one_of_each(docs).collect()} == {rows[0], rows[1], rows[4]}
+
+
+def test_rows_without_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, a), (7, a), (None, b), (None, b.upper()), (None, "c d"), (None, None), (None, "")], "doc_id long, text string")
+    kept = collections.Counter((r["doc_id"], (r["text"] or "").lower()) for r in signature_join.keep_one_of_each(docs).collect())
+    assert kept == {(7, a): 1, (None, b): 1, (None, "c d"): 1, (None, ""): 2}
+
+
+def unresolved(spark, n, rng):
+    """n texts that share a fifth of their words, half of them near copies of another one; their hub is given."""
+    base, rows = [f"s{i}" for i in range(30)], []
+    for i in range(n // 2):
+        own = base + [f"u{i}-{k}" for k in range(120)]
+        rows += [own, [f"v{i}" if k == 100 + int(rng.integers(40)) else w for k, w in enumerate(own)]]
+    texts = [" ".join(r) for r in rows]
+    ids = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, text string")
+    hubs = spark.createDataFrame([(1, i + 1) for i in range(1, n)], "a long, b long")
+    return ids, hubs, {(2 * i + 1, 2 * i + 2) for i in range(n // 2)}
+
+
+def test_large_unresolved_hubs(spark):
+    """Far more members than a block: every link comes out, and rows grow with the members, not with their square."""
+    rng, sizes = np.random.default_rng(4), {}
+    options = signature_join.NearDuplicates(block_rows=8, signature_blocks=2)
+    labels = spark.createDataFrame([], "id long, label long")
+    for n in (60, 240):
+        texts, hubs, want = unresolved(spark, n, rng)
+        fine = signature_join.materialise(signature_join.fine_signatures(texts, options))
+        members = signature_join.unresolved_members(hubs, labels, options)
+        lists = signature_join.meeting_lists(members, fine, options)
+        blocks = signature_join.blocks_beside(lists, options)
+        found = signature_join.materialise(signature_join.candidate_members(blocks, fine, options))
+        links = {tuple(sorted((r["a"], r["b"]))) for r in signature_join.link_lists(found, fine, options).collect()}
+        assert links == want
+        sizes[n] = blocks.count(), found.select("id").distinct().count()
+    assert sizes[240][0] <= 6 * sizes[60][0] and sizes[240][1] == 240
+
+
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_blocks_change_no_component(spark, rows):
+    """Boilerplate shared by unlike texts of which some are near copies: the same components for any block size."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        own = shared + [f"u{i // 3}-{k}" for k in range(60)]
+        texts.append(changed(own, set(rng.integers(0, 120, 2).tolist()), f"m{i}-"))
+    ids = list(range(1, 41))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    found = signature_join.memberships(docs, signature_join.NearDuplicates(block_rows=rows, signature_blocks=2)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in found] == brute.components(ids, texts)[1]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = signature_join.memberships(odd).collect()
     by_id = collections.defaultdict(set)
