@@ -124,7 +124,7 @@ def test_a_resident_collection_is_read_once(spark, tmp_path):
     rows = spark.createDataFrame([(f"Q{i + 1}", "city", "Asia", [float(x) for x in v]) for i, v in enumerate(vectors)], "id string, type string, continent string, embedding array<float>")
     rows.withColumns({"facts": facts, "name_en": F.col("id"), "name_vi": F.lit(None).cast("string")}).write.parquet(points)
     asked = lambda ids: spark.createDataFrame([(i, f"place {i}", [float(x) for x in vectors[i]]) for i in ids], "query_id long, query string, embedding array<float>")
-    options = SearchOptions(default_threshold=-1.0)
+    options = SearchOptions(default_threshold=0.0)
     with resident(spark.read.parquet(points)) as collection:
         for batch in (range(5), range(5, 12)):
             asked(batch).write.mode("append").parquet(source)
