@@ -5,9 +5,11 @@ context was seen; the weights come from expectation-maximisation on counts held
 
 Counting and scoring share one shuffle. Documents are dealt into groups of bounded size by a hash. A group sends
 its distinct words and word pairs, sorted, with their training counts, cut into slots by hash range: one row per
-group and slot. A slot adds up the counts of all groups and answers every group with the totals of the keys it
+group and slot. Groups and slots grow with the square root of a large input, so that the number of these rows grows
+with the input and not with its square. A slot adds up the counts of all groups and answers every group with the totals of the keys it
 sent, in their order. The group then has the corpus counts of all its tokens at hand. A key occurs once per group
-however frequent it is, so a word that makes up a third of all tokens is no hot spot.
+however frequent it is, so a word that makes up a third of all tokens is no hot spot. Rows equal in id and text are
+counted where they are read and travel once per task.
 
 The weights are learned on every document of one training fold. A slot answers a second time with the totals of
 only those keys that stand in the group's documents of that fold, so these documents are resolved without the rest.
@@ -15,6 +17,8 @@ only those keys that stand in the group's documents of that fold, so these docum
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import Texts, fold_of, mix, partitions_for, text_volume
+from terralex.llm.common import Texts, cuts, fold_of, mix, partitions_for, text_volume
 from terralex.llm.packing import pack, unpack
 from terralex.session import materialise
 
@@ -39,6 +43,7 @@ class Interpolation:
     em_fold: int = 0  # training fold whose counts are held out while the weights are learned
     group_bytes: int = 4 << 20  # of text
     slot_bytes: int = 16 << 20
+    messages: int = 8192  # rows to slots for each group_bytes of text, at most; beyond, groups and slots grow
     buckets: int = 40  # of the context's count, by powers of two
     iterations: int = 60
 
@@ -46,15 +51,12 @@ class Interpolation:
 class GroupTokens:
     """Tokens of a group's texts: words with A-Z lower-cased and one end each; pairs with the token before."""
 
-    def __init__(self, texts: pa.Array):
-        t = Texts(texts, lower=True)
-        starts, ends, before = t.words()
-        n = len(starts) + t.count
-        self.offsets = before + np.arange(t.count + 1)
-        self.tokens = np.full(n, _END)
-        is_word = np.ones(n, bool)
-        is_word[self.offsets[1:] - 1] = False
-        self.tokens[is_word] = t.hashes(starts, ends)
+    def __init__(self, texts: pa.Array, copies: np.ndarray):
+        parts = [self._hashed(texts.slice(start, count)) for start, count in cuts(texts)]
+        self.tokens = np.concatenate([np.zeros(0, np.uint64), *(tokens for tokens, _ in parts)])
+        self.offsets = np.cumsum(np.concatenate([[0], *(sizes for _, sizes in parts)]))
+        self.copies = np.repeat(copies, np.diff(self.offsets))
+        n = len(self.tokens)
         self.first = np.zeros(n, bool)
         self.first[self.offsets[:-1]] = True
         context = np.where(self.first, _START, np.append(_START, self.tokens[:-1])[:n])
@@ -62,9 +64,22 @@ class GroupTokens:
         for kind, values in ((WORDS, self.tokens), (PAIRS, mix(context + mix(self.tokens ^ _START)))):
             self.keys[kind], self.inverse[kind] = np.unique(values, return_inverse=True)
 
+    @staticmethod
+    def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the tokens of some texts, and the number of tokens of each text."""
+        t = Texts(texts, lower=True)
+        starts, ends, before = t.words()
+        offsets = before + np.arange(t.count + 1)
+        tokens = np.full(len(starts) + t.count, _END)
+        is_word = np.ones(len(tokens), bool)
+        is_word[offsets[1:] - 1] = False
+        tokens[is_word] = t.hashes(starts, ends)
+        return tokens, np.diff(offsets)
+
     def counts(self, kind: int, chosen: np.ndarray) -> np.ndarray:
-        """Occurrences of each key in the chosen texts."""
-        return np.bincount(self.inverse[kind][np.repeat(chosen, np.diff(self.offsets))], minlength=len(self.keys[kind]))
+        """Occurrences of each key in the chosen texts and their copies."""
+        here = np.repeat(chosen, np.diff(self.offsets))
+        return np.bincount(self.inverse[kind][here], self.copies[here], len(self.keys[kind])).astype(np.uint64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -95,8 +110,10 @@ class Scorer:
     def __init__(self, docs: DataFrame, options: Interpolation = Interpolation()):
         o = self.options = options
         size, _ = text_volume(docs)
-        self.groups = max(1, -(-size // o.group_bytes))
-        self.slots = partitions_for(docs.sparkSession, size, o.slot_bytes)
+        growth = max(1.0, math.sqrt(size / (o.messages * o.slot_bytes)))
+        self.groups = max(1, math.ceil(size / (growth * o.group_bytes)))
+        self.slots = partitions_for(docs.sparkSession, size, math.ceil(growth * o.slot_bytes))
+        self.group_tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.groups // 2))
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         inner = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("content"), fold_of(F.col("doc_id"), o.folds).cast("int").alias("fold"), F.col("text").cast("string").alias("text"))
         inner = inner.withColumn("grp", F.pmod("content", F.lit(self.groups)).cast("int"))
@@ -106,7 +123,8 @@ class Scorer:
         self.n, self.n_rest, self.v = row["n"], row["n_rest"], row["v"]
 
     def _packed(self, inner: DataFrame) -> DataFrame:
-        return inner.mapInArrow(_pack_texts, f"doc_id {self.kind}, content long, fold int, packed binary, grp int")
+        packed = inner.mapInArrow(_pack_texts, f"doc_id {self.kind}, content long, fold int, grp int, packed binary, copies long")
+        return packed.repartition(self.group_tasks, "grp")
 
     def _totals(self, packed: DataFrame) -> DataFrame:
         o, slots = self.options, self.slots
@@ -114,12 +132,12 @@ class Scorer:
         def send(table: pa.Table) -> pa.Table:
             table = _sorted_rows(table)
             fold, group = table.column("fold").to_numpy(), table.column("grp")[0].as_py()
-            tokens = GroupTokens(_group_texts(table))
+            tokens = GroupTokens(_group_texts(table), table.column("copies").to_numpy())
             rows = {"slot": [], "grp": [], "keys": [], "em": [], "rest": []}
             for kind in (WORDS, PAIRS):
                 keys = tokens.keys[kind]
-                em = tokens.counts(kind, fold == o.em_fold).astype(np.uint32)
-                rest = tokens.counts(kind, (fold != o.em_fold) & (fold != o.held_out_fold)).astype(np.uint32)
+                em = tokens.counts(kind, fold == o.em_fold)
+                rest = tokens.counts(kind, (fold != o.em_fold) & (fold != o.held_out_fold))
                 cut = _slot_cuts(keys, slots)
                 for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     if b > a:
@@ -131,10 +149,10 @@ class Scorer:
             slot, groups = table.column("slot")[0].as_py(), table.column("grp").to_pylist()
             parts = [_from_planes(x, np.uint64) for x in table.column("keys").to_pylist()]
             keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-            totals = [np.bincount(inverse, np.concatenate([_from_planes(x, np.uint32) for x in table.column(c).to_pylist()]), len(keys)).astype(np.uint64) for c in ("em", "rest")]
+            totals = [np.bincount(inverse, np.concatenate([_from_planes(x, np.uint64) for x in table.column(c).to_pylist()]), len(keys)).astype(np.uint64) for c in ("em", "rest")]
             ends = np.cumsum([len(p) for p in parts])
             replies = [[_planes(t[inverse[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)] for t in totals]
-            own = [_from_planes(x, np.uint32) > 0 for x in table.column("em").to_pylist()]
+            own = [_from_planes(x, np.uint64) > 0 for x in table.column("em").to_pylist()]
             held = [_planes(totals[1][inverse[e - len(p) : e][f]]) if f.any() else None for p, e, f in zip(parts, ends, own, strict=True)]
             words = slot < slots
             sums = [int(totals[0].sum() + totals[1].sum()), int(totals[1].sum()), int((totals[0] + totals[1] > 0).sum())] if words else [0, 0, 0]
@@ -146,7 +164,7 @@ class Scorer:
                 **{c: pa.array([0] * count + [x], pa.int64()) for c, x in zip(("n", "n_rest", "v"), sums, strict=True)}})
 
         sent = packed.groupBy("grp").applyInArrow(send, "slot int, grp int, keys binary, em binary, rest binary")
-        return sent.groupBy("slot").applyInArrow(answer, "grp int, slot int, em binary, rest binary, held binary, n long, n_rest long, v long")
+        return sent.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(answer, "grp int, slot int, em binary, rest binary, held binary, n long, n_rest long, v long")
 
     def _resolved(self, inner: DataFrame, replies: DataFrame, use, schema: str) -> DataFrame:
         """`use(table, tokens, counts)` per group; counts: (kind, column of the replies) -> totals per token. The
@@ -154,7 +172,7 @@ class Scorer:
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             left, right = _sorted_rows(left), right.sort_by("slot")
-            tokens, counts = GroupTokens(_group_texts(left)), {}
+            tokens, counts = GroupTokens(_group_texts(left), left.column("copies").to_numpy()), {}
             kinds = right.column("slot").to_numpy() >= slots
             for kind in (WORDS, PAIRS):
                 for c in columns:
@@ -163,7 +181,7 @@ class Scorer:
             return use(left, tokens, counts)
 
         slots, columns = self.slots, [c for c in replies.columns if c not in ("grp", "slot")]
-        return self._packed(inner).groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(run, schema)
+        return self._packed(inner).groupBy("grp").cogroup(replies.repartition(self.group_tasks, "grp").groupBy("grp")).applyInArrow(run, schema)
 
     def weights(self) -> np.ndarray:
         """bucket x order (0, 1, 2), learned on all documents of the held-out training fold."""
@@ -174,7 +192,8 @@ class Scorer:
             p2 = counts[PAIRS, "held"] / np.maximum(context, 1)
             p1 = counts[WORDS, "held"] / max(n_rest, 1)
             cells = np.stack([_bucket(context, o), *(np.where(p > 0, np.round(8 * np.log2(np.maximum(p, 1e-300))), 1) for p in (p2, p1))], axis=1).astype(np.int64)
-            cells, n = np.unique(cells, axis=0, return_counts=True)
+            cells, inverse = np.unique(cells, axis=0, return_inverse=True)
+            n = np.bincount(inverse.ravel(), tokens.copies, len(cells))
             return pa.table({"bucket": cells[:, 0], "q2": cells[:, 1], "q1": cells[:, 2], "n": n.astype(np.int64)})
 
         replies = self.totals.where("grp >= 0 AND held IS NOT NULL").select("grp", "slot", "held")
@@ -200,10 +219,11 @@ class Scorer:
             return pa.table({
                 "doc_id": table.column("doc_id"), "held_out": table.column("fold").to_numpy() == o.held_out_fold, "n_tokens": np.diff(tokens.offsets),
                 "n_known": np.add.reduceat((word > 0).astype(np.int64), at), "train_tokens": np.full(table.num_rows, n),
-                "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at)})
+                "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at), "copies": table.column("copies")})
 
-        schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return self._resolved(self.inner, self.totals.where("grp >= 0").select("grp", "slot", "em", "rest"), score, schema)
+        schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
+        scored = self._resolved(self.inner, self.totals.where("grp >= 0").select("grp", "slot", "em", "rest"), score, schema)
+        return scored.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy", "copies")
 
 
 def _contexts(tokens: GroupTokens, word: np.ndarray) -> np.ndarray:
@@ -231,10 +251,28 @@ def expectation_maximisation(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, b
     return weights
 
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_texts(batches: Iterator[pa.RecordBatch], held_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Compressed texts. Equal rows of a batch become one row with the number of copies; those that had copies wait
+    for more of them in later batches, up to `held_bytes` of text."""
+
+    def packed(rows: dict, like: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [pa.array(x, like.schema.field(c).type) for c, x in zip(names, zip(*(k[:4] for k in rows), strict=True), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([pack(k[4]) for k in rows], pa.binary()), pa.array(list(rows.values()), pa.int64())], names=[*names, "packed", "copies"])
+
+    names, held, size, batch = ["doc_id", "content", "fold", "grp"], Counter(), 0, None
     for batch in batches:
-        packed = [pack(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text").cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "content", "fold")), pa.array(packed, pa.binary()), batch.column("grp")], names=["doc_id", "content", "fold", "packed", "grp"])
+        texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").cast(pa.binary()))
+        rows = Counter(zip(*(batch.column(c).to_pylist() for c in names), texts, strict=True))
+        for key in [k for k, n in rows.items() if n > 1 or k in held]:
+            size += 0 if key in held else len(key[4]) + 100
+            held[key] += rows.pop(key)
+        if rows:
+            yield packed(rows, batch)
+        if size > held_bytes:
+            yield packed(held, batch)
+            held, size = Counter(), 0
+    if held:
+        yield packed(held, batch)
 
 
 def score_documents(docs: DataFrame, options: Interpolation = Interpolation()) -> DataFrame:

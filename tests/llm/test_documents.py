@@ -359,6 +359,32 @@ def test_weights_are_learned_on_every_group(spark):
     assert np.allclose(scorer.weights(), want, atol=1e-9)
 
 
+def test_messages_grow_with_the_input(spark):
+    """Twice the documents send about twice the rows between groups and slots, not four times."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 15))) for i in range(16000)]
+    options = deleted_interpolation.Interpolation(group_bytes=512, slot_bytes=1 << 11, messages=2)
+    sent = [deleted_interpolation.Scorer(spark.createDataFrame(rows[:n], "doc_id long, text string"), options).totals.where("grp >= 0").count() for n in (4000, 8000, 16000)]
+    assert sent[1] < 2.2 * sent[0] and sent[2] < 2.2 * sent[1]
+
+
+def test_equal_rows_travel_once(spark):
+    from pyspark.sql import functions as F
+
+    hot, rest = [(None, "a b a")] * 3000 + [(7, "c b")] * 40, [(i, f"b x{i}") for i in range(100)]
+    docs = spark.createDataFrame(hot + rest, "doc_id long, text string").repartition(3)
+    options = deleted_interpolation.Interpolation()
+    scorer = deleted_interpolation.Scorer(docs, options)
+    packed = scorer._packed(scorer.inner)
+    assert packed.where("doc_id IS NULL").count() == 3 and packed.agg(F.sum("copies")).first()[0] == 3140
+    one, two = brute.language_model(hot + rest)
+    weights = scorer.weights()
+    want = sorted([(i, *(round(x, 4) for x in brute.language_scores(t, one, two, weights, options.buckets))) for i, t in hot + rest], key=key)
+    got = sorted([(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in scorer.scores().collect()], key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4:] for g in got], [w[4:] for w in want], atol=2e-3)
+
+
 def test_expectation_maximisation_finds_the_mixture():
     rng = np.random.default_rng(0)
     p = rng.random((4000, 3)) ** 3
