@@ -92,3 +92,53 @@ def test_sorted_prefix_forms_agree(spark):
     assert [r["id"] for r in top_n(rows, order, 50, groups=3).orderBy(*order).collect()] == want
     numbered = number_rows(rows, order).where("_row <= 50").orderBy("_row")
     assert [r["id"] for r in numbered.collect()] == want
+
+
+def test_queries_of_one_vector_are_asked_once(spark, monkeypatch):
+    """Eight queries a vector, with limits and thresholds of their own, past the number of pairs that are broadcast."""
+    from terralex.operators import knn
+
+    queries, collection = tables(spark)
+    asked = []
+    grid = knn._grid_form
+    monkeypatch.setattr(knn, "GRID_PAIRS", 100)
+    monkeypatch.setattr(knn, "_grid_form", lambda shaped, *rest: asked.append(shaped.count()) or grid(shaped, *rest))
+    several = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+        (F.col("query_id") * 8 + F.col("c")).alias("query_id"), "embedding", (F.col("c") + 1).alias("k"), F.when(F.col("c") > 3, F.lit(0.3)).alias("score_threshold"))
+    found = {n: [] for n in range(8 * len(QUERIES))}
+    for r in sorted(top_k(several, collection, digits=9).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["id"], r["score"]))
+    best = brute(8)
+    assert asked == [len(QUERIES)]
+    assert found == {8 * n + c: [x for x in best[n][:c + 1] if c <= 3 or x[1] >= 0.3] for n in best for c in range(8)}
+
+
+def test_rows_travel_a_bounded_number_of_times():
+    """Cells of 64 KB would send every row once per cell of queries: a thousand times at 112,000 queries."""
+    from terralex.operators.knn import CELLS, CELL_BYTES, _cells
+
+    for n in (1_000, 112_000, 10_000_000):
+        query_cells, row_cells = _cells(n * 584, n * 512, n, 12, 64 * 1024)
+        assert max(query_cells, row_cells) <= max(CELLS, 48, -(-n * 584 // CELL_BYTES))
+    assert _cells(50_000_000, 50_000_000, 100_000, 12, CELL_BYTES)[0] == 48  # all cores are busy though one cell would hold them
+
+
+def test_a_block_of_queries_is_merged_alone(monkeypatch):
+    """What is kept for other blocks is not sorted again; results stay those of brute force."""
+    import pandas as pd
+
+    from terralex.operators import knn
+
+    seen = []
+    usual = np.lexsort
+    monkeypatch.setattr(knn.np, "lexsort", lambda keys: seen.append(len(keys[0])) or usual(keys))
+    frame = pd.DataFrame({"query_id": range(4000), "embedding": list(rng.normal(size=(4000, 8))), "k": 5, "score_threshold": float("-inf")})
+    best = knn._TopK(knn._Queries.from_pandas(frame, []), 9)
+    rows = rng.normal(size=(3000, 8))
+    for start in range(0, 3000, 500):
+        best.add(np.arange(start, start + 500), rows[start:start + 500], pd.DataFrame(index=range(500)))
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    scores = np.floor(best.q.units @ units.T * 1e9 + 0.5) / 1e9
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert max(seen) < 4000 * 5
+    assert (best.result()["id"].to_numpy().reshape(4000, 5) == want).all()
