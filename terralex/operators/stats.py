@@ -11,11 +11,14 @@ def _rate(count: Column, ms: Column) -> Column:
 
 
 def _derived(df: DataFrame) -> DataFrame:
-    """percent, rate, ETA and stage rates from cumulative counters; rounded to 3 digits."""
+    """percent, rate, ETA and stage rates from cumulative counters; rounded to 3 digits.
+
+    Progress ends at `total`; rates are of what was done, also where the counters pass a total that was set too low.
+    """
     total = F.greatest(F.coalesce("total", F.lit(0)), F.lit(0))
     cap = F.when(total > 0, total).otherwise(F.lit(2**53))
-    upserted = F.least(cap, F.greatest(F.coalesce("upserted", F.lit(0)), F.lit(0)))
-    skipped = F.least(cap, F.greatest(F.coalesce("skipped_existing", F.lit(0)), F.lit(0)))
+    upserted = F.greatest(F.coalesce("upserted", F.lit(0)), F.lit(0))
+    skipped = F.greatest(F.coalesce("skipped_existing", F.lit(0)), F.lit(0))
     completed = F.least(cap, upserted + skipped)
     rate = _rate(upserted, F.col("elapsed_ms"))
     remaining = F.greatest(F.lit(0), total - completed)

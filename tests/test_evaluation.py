@@ -161,3 +161,17 @@ def test_report_tables(spark):
     assert report["decision_quality"].first()["threshold"] == 0.5
     with pytest.raises(Exception, match="latencies"):
         metrics.latency_summary(timings.withColumn("total_ms", F.lit(-1.0)), "total_ms").collect()
+
+
+def test_rates_count_what_passes_the_total(spark):
+    """Twelve points a second for 300 s, of a total that was stated as 1,000."""
+    from terralex.operators.stats import progress_snapshots, running_progress
+
+    rows = spark.createDataFrame([("r", b, 1000, 12, 12, 0, 1000.0, 500.0, 250.0) for b in range(1, 301)],
+                                 "run_id string, batch long, total long, embedded long, upserted long, skipped_existing long, elapsed_ms double, embedding_ms double, upsert_ms double")
+    last = progress_snapshots(rows, 50).orderBy("batch").collect()
+    assert [r["rate_per_second"] for r in last] == [12.0] * 7 and [r["upsert_docs_per_second"] for r in last] == [48.0] * 7
+    assert (last[-1]["upserted"], last[-1]["percent"], last[-1]["eta_ms"]) == (3600, 100.0, 0.0)
+    assert [r["eta_ms"] > 0 for r in last] == [True, True] + [False] * 5
+    one = running_progress(rows).first()
+    assert (one["rate_per_second"], one["percent"], one["eta_ms"]) == (12.0, 100.0, 0.0)
