@@ -86,12 +86,14 @@ def write_archives(rows: DataFrame, folder: str) -> list[str]:
 
 
 def archived_features(t: Tables, parts: int = 2) -> DataFrame:
-    """All features as members of archives, some with a geometry longer than a split, among members of other kinds."""
+    """All features as members of archives, some with a geometry longer than a split, among members of other kinds.
+    An archive is written by one task, so their number follows the features."""
     lines = feature_lines(t).select("value", F.get_json_object("value", "$.properties['wof:id']").cast("bigint").alias("k"))
     ring = F.repeat(F.lit('{"}'), F.when(F.col("k") % 97 == 0, 40000).otherwise(F.col("k") % 50).cast("int"))
     padded = F.replace("value", F.lit('"geometry":{'), F.concat(F.lit('"geometry":{"ring":"'), F.replace(ring, F.lit('"'), F.lit('\\"')), F.lit('",')))
     features = lines.select(F.concat(F.lit("data/"), F.col("k").cast("string"), F.lit(".geojson")).alias("path"), padded.cast("binary").alias("data"))
     others = lines.where("k % 10 = 0").select(F.concat(F.lit("meta/"), F.col("k").cast("string"), F.lit(".csv")).alias("path"), F.col("value").cast("binary").alias("data"))
+    parts = max(parts, -(-lines.count() // 50_000))
     paths = write_archives(features.unionByName(others).repartition(parts, "path"), scratch(t))
     return archives.archive_properties(t.spark, paths, split_bytes=1 << 16)
 

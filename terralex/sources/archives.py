@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralex.session import materialise, ship_package
+from terralex.session import materialise, path_length, ship_package
 from terralex.sources.concordance import mentioned_ids
 
 BLOCK = 512
+SPLIT_BYTES = 64 << 20
+MAX_SPLITS = 128  # of all archives together, until they reach the usual size
 _PART = re.compile(rb'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
 _KEY = re.compile(rb'"properties"[\x20\t\r\n]*:[\x20\t\r\n]*(?=\{)')
 
@@ -166,29 +168,43 @@ def _blocks(spark: SparkSession, path: str, split_bytes: int):
         path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
 
 
-def archive_members(spark: SparkSession, path: str, split_bytes: int = 64 << 20, suffix: str = ".geojson") -> DataFrame:
-    """path, properties of every regular member of one archive whose name ends with `suffix`, in any case.
-    `properties` is null where a feature has none that can be read."""
+def read_size(lengths: list[int], split_bytes: int) -> int:
+    """The size of splits: `split_bytes`, but larger, up to the usual size, if archives of these lengths had more than
+    MAX_SPLITS of them. Every split is a task and a stored file in both passes."""
+    return max(split_bytes, min(SPLIT_BYTES, -(-sum(lengths) // MAX_SPLITS)))
+
+
+def archive_members(spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES, suffix: str = ".geojson") -> DataFrame:
+    """path, properties of every regular member of the archives whose name ends with `suffix`, in any case.
+    `properties` is null where a feature has none that can be read. All archives are read in the same two passes."""
     ship_package(spark)
-    blocks = _blocks(spark, path, split_bytes)
-    chains = materialise(spark.createDataFrame(blocks.mapPartitions(chain_exits), "begin long, end long, candidate long, exit long"))
-    splits = [(r["begin"], r["end"]) for r in chains.where("candidate = -1").select("begin", "end").collect()]
+    sc, paths = spark.sparkContext, [paths] if isinstance(paths, str) else paths
+    split_bytes = read_size([path_length(spark, path) for path in paths], split_bytes)
+    blocks = [_blocks(spark, path, split_bytes) for path in paths]
+    chains = materialise(spark.createDataFrame(
+        sc.union([part.mapPartitions(lambda records, n=n: ((n, *row) for row in chain_exits(records))) for n, part in enumerate(blocks)]),
+        "archive int, begin long, end long, candidate long, exit long"))
     # Only candidates at which another split's chain arrives, or the start, can be the first of a split: a few each.
-    arrivals = chains.where("candidate >= 0 AND exit >= end").select(F.col("exit").alias("candidate")).distinct()
-    first = chains.where("candidate = 0").select("candidate", "exit").unionAll(chains.where("candidate > 0").join(arrivals, "candidate", "left_semi").select("candidate", "exit"))
-    entries = split_entries(splits, {r["candidate"]: r["exit"] for r in first.collect()})
+    arrivals = chains.where("candidate >= 0 AND exit >= end").select("archive", F.col("exit").alias("candidate")).distinct()
+    first = chains.where("candidate = 0").select("archive", "candidate", "exit").unionAll(
+        chains.where("candidate > 0").join(arrivals, ["archive", "candidate"], "left_semi").select("archive", "candidate", "exit"))
+    splits: dict[int, list[tuple[int, int]]] = {n: [] for n in range(len(paths))}
+    exits: dict[int, dict[int, int]] = {n: {} for n in range(len(paths))}
+    for r in chains.where("candidate = -1").collect():
+        splits[r["archive"]].append((r["begin"], r["end"]))
+    for r in first.collect():
+        exits[r["archive"]][r["candidate"]] = r["exit"]
+    entries = sc.broadcast({n: split_entries(splits[n], exits[n]) for n in splits})  # once a worker, not once a task
     found = materialise(spark.createDataFrame(
-        blocks.mapPartitions(lambda records: walk_split(records, entries, suffix)), "next long, offset long, path string, size long, piece binary, properties string"))
+        sc.union([part.mapPartitions(lambda records, n=n: ((n, *row) for row in walk_split(records, entries.value[n], suffix))) for n, part in enumerate(blocks)]),
+        "archive int, next long, offset long, path string, size long, piece binary, properties string"))
     whole = found.where("piece IS NULL").select("path", "properties")
-    pieces = found.where("piece IS NOT NULL").groupBy("next").applyInArrow(_joined, "path string, properties string")
+    pieces = found.where("piece IS NOT NULL").groupBy("archive", "next").applyInArrow(_joined, "path string, properties string")
     return whole.unionByName(pieces)
 
 
-def archive_properties(spark: SparkSession, paths: list[str], split_bytes: int = 64 << 20) -> DataFrame:
+def archive_properties(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The features of several archives as `concordance.feature_properties` gives those of line files."""
     if not paths:
         raise ValueError("no archive is given")
-    rows = archive_members(spark, paths[0], split_bytes)
-    for path in paths[1:]:
-        rows = rows.unionAll(archive_members(spark, path, split_bytes))
-    return rows.select("properties").withColumn("_ids", mentioned_ids("properties"))
+    return archive_members(spark, paths, split_bytes).select("properties").withColumn("_ids", mentioned_ids("properties"))

@@ -91,3 +91,18 @@ def test_base_256_sizes():
     block[148:156] = b" " * 8
     block[148:156] = b"%06o\0 " % sum(block)
     assert archives.header_fields(bytes(block)) == ("x.geojson", 10**10, True) and archives.header_fields(bytes(512)) is None
+
+
+def test_tasks_do_not_grow_with_small_splits(spark, tmp_path, monkeypatch):
+    """Two archives of some 60 splits each at the stated size are read by eight in each pass, and in one job a pass."""
+    paths = []
+    for k in range(2):
+        write(tmp_path / f"{k}.tar", MEMBERS[k * 60 : k * 60 + 60])
+        paths.append(f"file://{tmp_path / f'{k}.tar'}")
+    whole = sorted(archives.archive_members(spark, paths[0], 1 << 10).unionAll(archives.archive_members(spark, paths[1], 1 << 10)).collect())
+    stored = []
+    usual = archives.materialise
+    monkeypatch.setattr(archives, "MAX_SPLITS", 8)
+    monkeypatch.setattr(archives, "materialise", lambda df: stored.append(df.rdd.getNumPartitions()) or usual(df))
+    assert sorted(archives.archive_members(spark, paths, 1 << 10).collect()) == whole and len(whole) == 120
+    assert len(stored) == 2 and max(stored) <= 8 + len(paths)
