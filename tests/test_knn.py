@@ -142,3 +142,45 @@ def test_a_block_of_queries_is_merged_alone(monkeypatch):
     want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
     assert max(seen) < 4000 * 5
     assert (best.result()["id"].to_numpy().reshape(4000, 5) == want).all()
+
+
+def test_wide_results_are_not_sorted_again_for_each_tile(monkeypatch):
+    """Merges of a hundred results a query are few: candidates wait until they are as many as the results."""
+    import pandas as pd
+
+    from terralex.operators import knn
+
+    merges = []
+    usual = np.lexsort
+    monkeypatch.setattr(knn.np, "lexsort", lambda keys: merges.append(len(keys[0])) or usual(keys))
+    frame = pd.DataFrame({"query_id": range(200), "embedding": list(rng.normal(size=(200, 8))), "k": 100, "score_threshold": float("-inf")})
+    best = knn._TopK(knn._Queries.from_pandas(frame, []), 9)
+    rows = rng.normal(size=(40_000, 8))
+    for start in range(0, 40_000, 500):
+        best.add(np.arange(start, start + 500), rows[start:start + 500], pd.DataFrame(index=range(500)))
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    scores = np.floor(best.q.units @ units.T * 1e9 + 0.5) / 1e9
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :100]
+    assert (best.result()["id"].to_numpy().reshape(200, 100) == want).all()
+    assert len(merges) < 25  # of 80 batches
+
+
+def test_set_flags_are_found_at_any_length():
+    from terralex.operators.knn import _true_positions
+
+    for size in (1, 7, 8, 9, 61, 64):
+        flags = np.ones(72, bool)
+        flags[:size] = rng.random(size) < 0.3
+        want = np.flatnonzero(flags[:size])
+        assert _true_positions(flags, size).tolist() == want.tolist()
+
+
+def test_cells_are_not_put_into_few_tasks(spark):
+    """Cells are small in bytes and long in time: the tasks follow their number, not their bytes, and the few winners of
+    a query are merged in one pass."""
+    queries, collection = tables(spark)
+    found = top_k(queries, collection, 5, digits=9, broadcast_bytes=0, cell_bytes=2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
+    assert "_salt" not in plan
+    assert collected(found) == brute(5)
