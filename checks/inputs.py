@@ -73,10 +73,13 @@ def marked(t: Tables, k: int = 5, variant: str = "reversed", threshold: float |
 
 
 def expecting_cases(t: Tables) -> DataFrame:
-    """Cases with the ids they expect: those of their label, none for a case without an answer."""
-    members = collection(t).groupBy("label").agg(F.collect_list("id").alias("expected_ids"))
-    none = F.array().cast("array<bigint>")
-    return t.view("cases").join(members, "label").withColumn("expected_ids", F.when(F.col("answerable"), F.col("expected_ids")).otherwise(none)).drop("label")
+    """Cases that name the set of ids they expect: those of their label, none for a case without an answer."""
+    return t.view("cases").withColumn("expected_set", F.when(F.col("answerable"), F.col("label"))).drop("label")
+
+
+def expected_sets(t: Tables) -> DataFrame:
+    """The ids of every label, once each."""
+    return collection(t).select(F.col("label").alias("expected_set"), "id")
 
 
 def evidence(t: Tables, k: int = 5, limit: int = 5, variant: str = "reversed", clamp: bool = False) -> DataFrame:

@@ -88,11 +88,8 @@ def overfetch_trim(t: Tables):
     "SELECT case_id, sum(CASE WHEN is_expected THEN 1 ELSE 0 END)::BIGINT AS hits, count(*) AS results FROM top GROUP BY case_id", "cases",
     then=sql_ranked())
 def mark_expected(t: Tables):
-    """Any-of expectation against id arrays: the ids that share the case's label."""
-    members = inputs.collection(t).groupBy("label").agg(F.collect_list("id").alias("expected_ids"))
-    cases = t.view("cases").join(members, "label").withColumn(
-        "expected_ids", F.when(F.col("answerable"), F.col("expected_ids")).otherwise(F.array().cast("array<bigint>")))
-    found = ranking.mark_expected(inputs.ranked(t).withColumnRenamed("query_id", "case_id"), cases)
+    """Any-of expectation against sets of ids: those that share the case's label."""
+    found = ranking.mark_expected(inputs.ranked(t).withColumnRenamed("query_id", "case_id"), inputs.expecting_cases(t), inputs.expected_sets(t))
     return found.groupBy("case_id").agg(F.count_if("is_expected").alias("hits"), F.count("*").alias("results"))
 
 
@@ -113,13 +110,13 @@ def _shown(evidence):
 def case_evidence(t: Tables):
     """Through the public report."""
     results = inputs.ranked(t).withColumnRenamed("query_id", "case_id")
-    return _shown(evaluate.evaluate_cases(inputs.expecting_cases(t), results)["evidence"])
+    return _shown(evaluate.evaluate_cases(inputs.expecting_cases(t), results, expected_sets=inputs.expected_sets(t))["evidence"])
 
 
 @register("C12_W4_rank_probe_evidence", _EVIDENCE_SQL, "cases", then=sql_evidence(50, 5))
 def rank_probe_evidence(t: Tables):
     """Through the public evaluation of a whole collection; scores below 0 are not results there."""
-    found = evaluate.evaluate_collection(inputs.expecting_cases(t), inputs.query_vectors(t).drop("label"), inputs.collection(t).select("id", "embedding"), 5, 50, inputs.DIGITS)
+    found = evaluate.evaluate_collection(inputs.expecting_cases(t), inputs.query_vectors(t).drop("label"), inputs.collection(t).select("id", "embedding"), 5, 50, inputs.DIGITS, inputs.expected_sets(t))
     return _shown(found)
 
 
@@ -187,7 +184,7 @@ def component_latencies(t: Tables):
 
 @register("C10_ranking_margins", _nearest_rank("evidence", "top1_top2_margin"), "cases", then=sql_evidence(clamp=True))
 def ranking_margins(t: Tables):
-    return rounded(metrics.margin_summary(inputs.evidence(t, clamp=True)), *_SUMMARY)
+    return rounded(metrics.margin_summary(inputs.stored_evidence(t, clamp=True)), *_SUMMARY)
 
 
 @register(
@@ -235,7 +232,7 @@ def recommended_threshold(t: Tables):
 
 @register("A11_score_distribution", _nearest_rank("evidence", "top1_score", "answerable"), "cases", then=sql_evidence())
 def score_distribution(t: Tables):
-    return rounded(calibrate.top1_distribution(inputs.evidence(t)), *_SUMMARY)
+    return rounded(calibrate.top1_distribution(inputs.stored_evidence(t)), *_SUMMARY)
 
 
 _GAP = {"gap": "SELECT min(CASE WHEN answerable THEN top1_score END) AS lo, max(CASE WHEN NOT answerable THEN top1_score END) AS hi FROM evidence"}

@@ -10,9 +10,18 @@ from terralex.functions.numeric import finite, round_half_up
 from terralex.session import require
 
 
-def mark_expected(results: DataFrame, cases: DataFrame) -> DataFrame:
+def mark_expected(results: DataFrame, cases: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Add is_expected: the result id is one of the case's expected ids (any-of). Results meet their case once; its
-    ids stay one array."""
+    ids stay one array.
+
+    Where many cases expect the same many ids, `sets` holds them once, as rows (expected_set, id), and a case names its
+    set in `expected_set` (null: nothing is expected); no case then carries the ids.
+    """
+    if sets is not None:
+        named = cases.select(F.col("id").alias("case_id"), "expected_set")
+        members = sets.select("expected_set", "id").distinct().withColumn("is_expected", F.lit(True))
+        marked = results.join(named, "case_id", "left").join(members, ["expected_set", "id"], "left")
+        return marked.select(*[results[c] for c in results.columns], F.coalesce("is_expected", F.lit(False)).alias("is_expected"))
     wanted = cases.select(F.col("id").alias("case_id"), F.col("expected_ids").alias("_wanted"))
     hit = F.array_contains("_wanted", F.col("id"))
     return results.join(wanted, "case_id", "left").withColumn("is_expected", F.coalesce(hit, F.lit(False))).drop("_wanted")

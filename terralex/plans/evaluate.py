@@ -26,10 +26,13 @@ from terralex.session import materialise
 
 def evaluate_cases(
     cases: DataFrame, results: DataFrame, timings: DataFrame | None = None, decision_threshold: float | None = None,
-    result_limit: int = fv.EVALUATION_LIMIT,
+    result_limit: int = fv.EVALUATION_LIMIT, expected_sets: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables of a report: evidence, quality, groups, margins, and decision quality / latency when asked for."""
-    marked = mark_expected(results, cases)
+    """Tables of a report: evidence, quality, groups, margins, and decision quality / latency when asked for.
+
+    Cases carry `expected_ids`, or name a set of `expected_sets` (see `mark_expected`).
+    """
+    marked = mark_expected(results, cases, expected_sets)
     evidence = case_evidence(cases, marked, result_limit, clamp_margin=True)
     report = {
         "evidence": evidence, "quality": quality(evidence), "quality_by_group": quality_by_group(evidence),
@@ -45,14 +48,14 @@ def evaluate_cases(
 
 def evaluate_collection(
     cases: DataFrame, query_vectors: DataFrame, collection: DataFrame, result_limit: int = fv.EVALUATION_LIMIT,
-    rank_probe: int = 100, digits: int = 12,
+    rank_probe: int = 100, digits: int = 12, expected_sets: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence against a whole collection, looking `rank_probe` results deep for expected ids."""
     if rank_probe < result_limit:
         raise ValueError("rank probe must be at least the result limit")
-    found = top_k(query_vectors, collection, rank_probe, 0.0, digits=digits).withColumnRenamed("query_id", "case_id")
+    found = materialise(top_k(query_vectors, collection, rank_probe, 0.0, digits=digits).withColumnRenamed("query_id", "case_id"))
     complete = require_results(cases, found)
-    return case_evidence(complete, mark_expected(found, cases), result_limit)
+    return case_evidence(complete, mark_expected(found, cases, expected_sets), result_limit)
 
 
 def evaluate_candidates(

@@ -175,3 +175,13 @@ def test_rates_count_what_passes_the_total(spark):
     assert [r["eta_ms"] > 0 for r in last] == [True, True] + [False] * 5
     one = running_progress(rows).first()
     assert (one["rate_per_second"], one["percent"], one["eta_ms"]) == (12.0, 100.0, 0.0)
+
+
+def test_cases_share_sets_of_expected_ids(spark):
+    """Marks are those of the arrays, though no case carries its ids; repeated members and unknown cases change nothing."""
+    cases = spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", ["x", "y"]), ("d", ["z"])], "id string, expected_ids array<string>")
+    named = spark.createDataFrame([("a", 1), ("b", None), ("c", 1), ("d", 2)], "id string, expected_set int")
+    sets = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "z")], "expected_set int, id string")
+    results = spark.createDataFrame([(c, i, n) for c in "abcde" for n, i in enumerate("xyz")], "case_id string, id string, rank int")
+    want = sorted(map(tuple, mark_expected(results, cases).select("case_id", "id", "rank", "is_expected").collect()))
+    assert sorted(map(tuple, mark_expected(results, named, sets).select("case_id", "id", "rank", "is_expected").collect())) == want
