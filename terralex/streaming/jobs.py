@@ -95,7 +95,9 @@ def search_stream(
     """Answer requests as they arrive. Each batch writes its own directories, so a replay overwrites itself."""
     def each(batch: DataFrame, batch_id: int) -> None:
         with Scratch(batch.sparkSession) as keep:
-            valid, rejected = prepare_requests(batch, options)
+            # A batch has as many splits as files; texts are read by rules that take far longer than the files.
+            spread = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+            valid, rejected = prepare_requests(spread, options)
             valid = keep(valid)
             judged = keep(search_candidates(valid, collection, options, make_embedder, keep))
             tables = {

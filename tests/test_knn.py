@@ -184,3 +184,18 @@ def test_cells_are_not_put_into_few_tasks(spark):
     assert plan.count("RepartitionByExpression") == 2
     assert "_salt" not in plan
     assert collected(found) == brute(5)
+
+
+def test_streamed_requests_of_one_file_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from terralex.streaming import jobs
+
+    queries, collection = tables(spark)
+    requests = queries.select("query_id", F.concat(F.lit("place "), F.col("query_id").cast("string")).alias("query"), "embedding")
+    requests.coalesce(1).write.parquet(f"{tmp_path}/in")
+    read, usual = [], jobs.prepare_requests
+    monkeypatch.setattr(jobs, "prepare_requests", lambda rows, *rest: read.append(rows.rdd.getNumPartitions()) or usual(rows, *rest))
+    payload = collection.withColumns({"continent": F.lit("Asia"), "name_en": F.col("id"), "name_vi": F.lit(None).cast("string")})
+    stream = spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in")
+    jobs.search_stream(stream, payload, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert read == [spark.sparkContext.defaultParallelism] and read[0] > 1
+    assert spark.read.parquet(f"{tmp_path}/out/meta").count() == len(QUERIES)
