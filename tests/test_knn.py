@@ -199,3 +199,41 @@ def test_streamed_requests_of_one_file_are_read_by_several_tasks(spark, tmp_path
     jobs.search_stream(stream, payload, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert read == [spark.sparkContext.defaultParallelism] and read[0] > 1
     assert spark.read.parquet(f"{tmp_path}/out/meta").count() == len(QUERIES)
+
+
+def test_tiles_out_of_reach_are_not_scored(monkeypatch):
+    """Queries that are sure of a score near 1 meet the few tiles that can hold it; the result is brute force's."""
+    import pandas as pd
+
+    from terralex.operators import knn
+
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    vectors = np.vstack([rng.normal(size=(1024, 8)), rng.normal(size=(1, 8)).repeat(40, axis=0)])
+    asked = np.vstack([vectors[:256] * 3, vectors[-3:]])
+    floors = np.full(len(asked), 1 - 2e-9)
+    queries = knn._Queries(np.arange(len(asked)), knn._unit_rows(asked), np.full(len(asked), 2), floors, [{}], np.zeros(len(asked), np.int64))
+    scored = []
+    best = knn._TopK(queries, 9)
+    seen = best._candidates
+    best._candidates = lambda *args: scored.append(1) or seen(*args)
+    best.add(np.arange(len(vectors)), vectors, pd.DataFrame(index=range(len(vectors))))
+    found = {n: list(zip(g["id"], g["score"])) for n, g in best.result().sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id")}
+    assert found == {n: [(n, 1.0)] for n in range(256)} | {256 + n: [(1024, 1.0), (1025, 1.0)] for n in range(3)}
+    assert 4 * len(scored) < -(-len(vectors) // 16) * -(-len(asked) // 16)
+
+
+def test_queries_that_stand_in_the_collection_have_sure_floors(spark):
+    from terralex.operators import knn
+
+    _, collection = tables(spark)
+    asked = tables(spark)[1].select(F.col("id").alias("query_id"), "embedding")
+    shaped, _ = knn._prepare_queries(asked, 2, 0.5)
+    floors = {r["query_id"]: r["score_threshold"] for r in knn._sure_floors(shaped.withColumn("k", F.lit(1)), collection, 9, 300).collect()}
+    assert len(floors) == 300 and set(floors.values()) == {1 - 2e-9}
+    some = knn._sure_floors(shaped.withColumn("k", F.when(F.col("query_id") < "p0010", 2).otherwise(1)), collection, 9, 300)
+    floors = {r["query_id"]: r["score_threshold"] for r in some.collect()}  # two are asked for; one vector stands 101 times
+    assert {i for i, x in floors.items() if x == 0.5} == {f"p{i:04d}" for i in range(1, 10)}
+    want = knn.top_k(asked, collection, 1, digits=9).collect()
+    got = knn.top_k(asked, collection, 1, digits=9, broadcast_bytes=0, cell_bytes=2000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 300
