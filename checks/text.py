@@ -422,7 +422,7 @@ def _experiment_cases(t: Tables):
 def verification_experiment(t: Tables):
     from pyspark.sql import Window
 
-    valid, _ = prepare_requests(_requests(t), OPTIONS)
+    valid = materialise(prepare_requests(_requests(t), OPTIONS)[0])  # the search and the checks read it again and again
     judged = materialise(search_candidates(valid, _payload(t), OPTIONS))
     raw = _marked(t, judged.withColumnRenamed("candidate_rank", "rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
@@ -448,7 +448,7 @@ def verification_experiment(t: Tables):
 def intent_experiment(t: Tables):
     from terralex.operators.ranking import trim_results
 
-    valid, _ = prepare_requests(_requests(t), OPTIONS)
+    valid = materialise(prepare_requests(_requests(t), OPTIONS)[0])  # the search and the checks read it again and again
     judged = materialise(search_candidates(valid, _payload(t), OPTIONS))
     cases = _experiment_cases(t).withColumns({c: F.lit("x") for c in ("language", "category", "query")})
 

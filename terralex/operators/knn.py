@@ -43,8 +43,10 @@ TILE_ROWS = 2048  # collection rows scored at once: a block's scores of them sta
 DIRECTIONS = 8  # main directions of the queries by which far tiles are told
 DIRECTION_SAMPLE = 4096  # queries the directions are taken from; any directions give the same result
 CELLS = 16  # cells a side below the usual cell size
+CELL_PAIRS = 4_000_000_000  # pairs of two cells, so that a task's time does not grow with the square of the input
 GRID_PAIRS = 2_000_000_000  # pairs from which the grid, which needs no driver and little merging, is quicker
 TASKS_PER_CORE = 4
+SPREAD = 64  # tasks a core up to which there are several for every pair of cells, so that few of these share one
 MERGE_FAN_IN = 64
 MERGE_ROWS = 100_000  # rows a query may have from all tasks before they are merged in two passes
 BYTES_PER_RESULT = 24
@@ -398,12 +400,13 @@ def _broadcast_form(shaped, narrow, filters, schema, digits) -> DataFrame:
     return narrow.mapInArrow(scan, schema)
 
 
-def _cells(query_bytes: int, row_bytes: int, number: int, cores: int, cell_bytes: int) -> tuple[int, int]:
+def _cells(query_bytes: int, row_bytes: int, number: int, cores: int, cell_bytes: int, pairs: int = 0) -> tuple[int, int]:
     """(cells of queries, cells of rows): of `cell_bytes` while there are few of them, of the usual size in the end;
-    more of queries if that leaves cores without work."""
+    more of queries if that leaves cores without work or two cells with more than `CELL_PAIRS` of the `pairs`."""
     row_cells = max(1, math.ceil(row_bytes / max(cell_bytes, min(CELL_BYTES, row_bytes / CELLS))))
     query_cells = max(1, math.ceil(query_bytes / max(cell_bytes, min(CELL_BYTES, query_bytes / CELLS))))
-    busy = min(math.ceil(TASKS_PER_CORE * cores / row_cells), math.ceil(number / QUERY_BLOCK))
+    wanted = max(TASKS_PER_CORE * cores, math.ceil(pairs / CELL_PAIRS))
+    busy = min(math.ceil(wanted / row_cells), math.ceil(number / QUERY_BLOCK))
     return max(query_cells, busy), row_cells
 
 
@@ -412,7 +415,7 @@ def _grid_form(shaped, narrow, filters, schema, digits, rows, size, k, cell_byte
     if not filters:
         shaped = _sure_floors(shaped, narrow, digits, size["n"])
     cores = narrow.sparkSession.sparkContext.defaultParallelism
-    query_cells, row_cells = _cells(_query_bytes(size, k), rows * (size["d"] or 0) * 8, size["n"], cores, cell_bytes)
+    query_cells, row_cells = _cells(_query_bytes(size, k), rows * (size["d"] or 0) * 8, size["n"], cores, cell_bytes, size["n"] * rows)
     left = shaped.select(
         "*", F.pmod(F.xxhash64("query_id"), F.lit(query_cells)).alias("_qc"),
         F.explode(F.sequence(F.lit(0), F.lit(row_cells - 1))).alias("_rc"),
@@ -434,7 +437,7 @@ def _grid_form(shaped, narrow, filters, schema, digits, rows, size, k, cell_byte
 
     # A number of tasks by the cells: by the bytes alone, cells that take long would be put into few tasks.
     cells = query_cells * row_cells
-    tasks = max(cells, min(TASKS_PER_CORE * cells, TASKS_PER_CORE * TASKS_PER_CORE * cores))
+    tasks = max(cells, min(TASKS_PER_CORE * cells, SPREAD * cores))
     left, right = (side.repartition(tasks, "_qc", "_rc") for side in (left, right))
     return left.groupBy("_qc", "_rc").cogroup(right.groupBy("_qc", "_rc")).applyInArrow(meet, schema), row_cells
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.session import cut_lineage
+from terralex.session import materialise
 
 MERGE_GROUPS = 16
 
@@ -31,7 +31,7 @@ def number_rows(df: DataFrame, order: list[Column], column: str = "_row") -> Dat
     sorted_rows = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn(
         "_in_part", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     )
-    fixed = cut_lineage(sorted_rows)
+    fixed = materialise(sorted_rows)  # as columns: every later pass reads the rows, most of them a few columns only
     counts = {r["_part"]: r["n"] for r in fixed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
     for part in sorted(counts):

@@ -185,3 +185,21 @@ def test_cases_share_sets_of_expected_ids(spark):
     results = spark.createDataFrame([(c, i, n) for c in "abcde" for n, i in enumerate("xyz")], "case_id string, id string, rank int")
     want = sorted(map(tuple, mark_expected(results, cases).select("case_id", "id", "rank", "is_expected").collect()))
     assert sorted(map(tuple, mark_expected(results, named, sets).select("case_id", "id", "rank", "is_expected").collect())) == want
+
+
+@pytest.mark.parametrize("name", ["verification_experiment", "intent_experiment"])
+def test_experiments_prepare_their_requests_once(spark, monkeypatch, name):
+    """The search and the checks read the requests in many passes: they are given a stored table."""
+    from checks import text
+    from checks.registry import Tables
+
+    class Seen(Exception):
+        pass
+
+    def search(requests, *rest):
+        raise Seen(requests._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(text, "search_candidates", search)
+    with pytest.raises(Seen) as seen:
+        getattr(text, name)(Tables(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in str(seen.value)

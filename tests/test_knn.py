@@ -237,3 +237,21 @@ def test_queries_that_stand_in_the_collection_have_sure_floors(spark):
     want = knn.top_k(asked, collection, 1, digits=9).collect()
     got = knn.top_k(asked, collection, 1, digits=9, broadcast_bytes=0, cell_bytes=2000).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 300
+
+
+def test_pairs_of_two_cells_are_bounded():
+    """The longest task takes as long with more vectors: cells grow in number with the pairs."""
+    from terralex.operators.knn import CELL_BYTES, CELL_PAIRS, _cells
+
+    for n in (10_000, 100_000, 600_000, 3_000_000):
+        query_cells, row_cells = _cells(n * 632, n * 512, n, 12, CELL_BYTES, n * n)
+        assert n * n / (query_cells * row_cells) <= CELL_PAIRS
+    assert _cells(50_000_000, 50_000_000, 100_000, 12, CELL_BYTES, 10**10)[0] == 48  # few pairs: by the cores, as before
+
+
+def test_numbered_rows_are_stored_as_columns(spark):
+    """Later passes read columns of files, and of these only what they use."""
+    numbered = number_rows(spark.range(100).withColumn("text", F.repeat(F.lit("a"), 1000)), [F.desc("id")], "n")
+    assert len(numbered.inputFiles()) > 0
+    assert "text" not in numbered.select("n")._jdf.queryExecution().executedPlan().toString()
+    assert [r["id"] for r in numbered.orderBy("n").collect()] == list(range(99, -1, -1))
