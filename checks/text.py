@@ -450,7 +450,8 @@ def intent_experiment(t: Tables):
 
     valid = materialise(prepare_requests(_requests(t), OPTIONS)[0])  # the search and the checks read it again and again
     judged = materialise(search_candidates(valid, _payload(t), OPTIONS))
-    cases = _experiment_cases(t).withColumns({c: F.lit("x") for c in ("language", "category", "query")})
+    run = valid.select(F.col("query_id").alias("id"))  # a case whose request is rejected was not run
+    cases = _experiment_cases(t).join(run, "id", "left_semi").withColumns({c: F.lit("x") for c in ("language", "category", "query")})
 
     def evidence(rows):
         return case_evidence(cases, _marked(t, trim_results(rows, valid, "query_id")), 3)

@@ -43,3 +43,8 @@ def test_against_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_cases_of_rejected_requests_are_not_counted(spark, db):
+    """Some texts of this folder are longer than a request may be."""
+    test_against_sql(spark, db, "C24_intent_experiment")
