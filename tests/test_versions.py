@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +38,17 @@ def test_letter_groups(spark, dimension):
         assert np.array_equal(np.float32(r["v"]), np.float32(np.array(want) / math.sqrt(sum(x * x for x in want))))
 
 
+def test_letter_groups_of_a_long_text(spark):
+    """Two million letters take well below a second, not the ten and more of array expressions; pieces meet without a gap."""
+    text = "".join(f"Đảo {i} " for i in range(220_000))
+    rows = spark.createDataFrame([(t,) for t in [text, "ab"]], "text string").coalesce(1).localCheckpoint()
+    rows.where("length(text) < 3").select(letter_group_counts(F.col("text"))).collect()  # starts the worker
+    started = time.perf_counter()
+    found = {r["text"]: r["n"] for r in rows.select("text", letter_group_counts(F.col("text")).alias("n")).collect()}
+    assert time.perf_counter() - started < 5
+    assert found == {t: brute_counts(t, 64) for t in (text, "ab")}
+
+
 def test_blank_texts_fail_with_columns(spark):
     with pytest.raises(Exception, match="non-empty"):
         embed_by_columns(spark.createDataFrame([(" \n",)], "text string"), "text", letter_group_vector).collect()
