@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from terralex.operators.validate import bilingual_state
 from terralex.session import require, small_side
 
 
-def to_points(entities: DataFrame, metadata: Mapping, text_version: str = fv.DEFAULT_TEXT_VERSION) -> DataFrame:
-    """point_id, document text and the payload columns; unset runtime details are null."""
+def to_points(entities: DataFrame, metadata: Mapping, text_version: str = fv.DEFAULT_TEXT_VERSION, also: Sequence[str] = ()) -> DataFrame:
+    """point_id, document text and the payload columns, and what entities carry `also`; unset runtime details are null."""
     runtime = normalise_runtime(metadata.get("embedding_runtime")) or {}
     stamped = [F.lit(runtime.get(f)).cast("boolean" if f == "semantic" else "string").alias(f"embedding_{f}") for f in fv.PAYLOAD_RUNTIME_FIELDS]
     return entities.select(
@@ -29,7 +29,7 @@ def to_points(entities: DataFrame, metadata: Mapping, text_version: str = fv.DEF
         F.lit(metadata.get("embedding_version")).cast("string").alias("embedding_version"),
         *stamped, F.lit(text_version).alias("embedding_text_version"),
         F.lit(metadata.get("dataset_version")).cast("string").alias("dataset_version"),
-        F.lit(metadata.get("index_fingerprint")).cast("string").alias("index_fingerprint"),
+        F.lit(metadata.get("index_fingerprint")).cast("string").alias("index_fingerprint"), *also,
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralex import fixed_values as fv
+from terralex.functions.document_text import selected_document_text
+from terralex.functions.ids import point_id
 from terralex.operators import audit
 from terralex.operators.embed import Embedder, embed_texts
 from terralex.operators.filters import compatible_runtime, normalise_runtime, require_semantic_runtime
@@ -54,10 +56,11 @@ def load_collection(
         "points_after": points, "matching_after": matching,
     }
     if mode != "idempotent":
-        stamped = to_points(entities, {**metadata, "index_fingerprint": fingerprint["value"]}, text_version)
-        pending = store.missing(stamped)
-        vectors = embed_texts(pending, "document", make_embedder, batch_size)
-        report["upserted"] = store.insert(vectors, unique=True)
+        stamp = {**metadata, "index_fingerprint": fingerprint["value"]}
+        pending = store.missing(entities.withColumn("point_id", point_id(F.col("id"))))
+        vectors = embed_texts(pending.withColumn("document", selected_document_text(text_version)), "document", make_embedder, batch_size).drop("document")
+        # Points hold every text twice, in a column of its own and in the document: they are made of the entities where they are written.
+        report["upserted"] = store.insert(vectors, unique=True, finish=lambda rows: to_points(rows, stamp, text_version, also=["embedding"]))
         report["points_after"], report["matching_after"] = stored_counts(store, fingerprint["value"])
         audit.verify_load(report["points_after"], report["matching_after"], expected)
     elapsed = time.monotonic() - started
@@ -95,6 +98,7 @@ def build_translate_load(
         translated, fresh = translate_missing(entities, cache, make_translator, identity, fields)
         if save_cache:
             save_cache(fresh)
+        translated = materialise(translated)  # counted, loaded and handed on
         counts = translation_report(entities, translated, fields).first()
         translation |= {"translatedCandidates": counts["translated"], "remainingCandidates": counts["remaining"]}
         entities = translated

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakSet
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -67,12 +68,35 @@ def ship_package(spark: SparkSession, *packages: str) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_STORED: WeakSet[DataFrame] = WeakSet()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes made here go when a write ends, not when the driver's memory happens to be collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and read it back: later passes scan columns instead of
-    recomputing, and a lost executor costs a re-read only."""
+    recomputing, and a lost executor costs a re-read only. A table that was stored here is not stored again."""
+    if df in _STORED:
+        return df
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.add(kept)
+    return kept
 
 
 def materialise_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralex.session import Scratch, materialise, remove_path
+from terralex.session import Scratch, materialise, remove_path, shuffles_removed
 from terralex.sources import bloom
 
 MIN_BUCKETS = 8
@@ -205,14 +205,17 @@ class CollectionStore:
 
     # ---- writing ------------------------------------------------------------------------------------------
 
-    def insert(self, points: DataFrame, unique: bool = False, transaction: tuple[str, int] | None = None) -> int:
+    def insert(
+        self, points: DataFrame, unique: bool = False, transaction: tuple[str, int] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> int:
         """Append points known to be absent. Returns the number written. Rows of one id are stored once; `unique`
         says that there are none and saves the shuffle. Points that another writer stored in the meantime are left
-        out. A `transaction` (stream, batch) that is recorded already writes nothing."""
+        out. A `transaction` (stream, batch) that is recorded already writes nothing. `finish` makes points of the given
+        rows, one each and of the same id, after these have been moved to their buckets."""
         if self.recorded(transaction):
             return 0
         base = self.manifest
-        segment, counts, recorded = self._write(points if unique else last_per_id(points))
+        segment, counts, recorded = self._write(points if unique else last_per_id(points), finish)
         for _ in range(self.attempts):
             if self._publish(self._appended(segment, counts, recorded, transaction)):
                 self._maintain()
@@ -259,14 +262,16 @@ class CollectionStore:
         """Whether a stream's batch, or a later one, is part of the collection."""
         return bool(transaction) and self.manifest["transactions"].get(transaction[0], -1) >= transaction[1]
 
-    def _write(self, points: DataFrame) -> tuple[str, dict[int, int], str]:
+    def _write(self, points: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, dict[int, int], str]:
         """Write a segment and its filters: (name, rows per bucket, schema). Nothing is visible yet."""
         segment = uuid.uuid4().hex
         target = f"{self.path}/data/{segment}"
-        recorded = self._merged_schema(points.schema)
-        bucketed = points.withColumn("bucket", self.bucket(F.col("point_id")))
+        finish = finish or (lambda rows: rows.drop("bucket"))
+        recorded = self._merged_schema(finish(points).schema)
         # Rebalancing sizes the files: small buckets share a task, a large one is split over several.
-        bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
+        placed = points.withColumn("bucket", self.bucket(F.col("point_id"))).hint("rebalance", "bucket")
+        with shuffles_removed(self.spark):
+            finish(placed).withColumn("bucket", self.bucket(F.col("point_id"))).write.option("compression", "zstd").partitionBy("bucket").parquet(target)
         if not self._has_files(target):
             return segment, {}, recorded
         hashes = self.spark.read.parquet(target).select("bucket", F.xxhash64("point_id").alias("hash"))

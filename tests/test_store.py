@@ -2,12 +2,14 @@
 
 import glob
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from terralex.session import materialise
 from terralex.sources import bloom
 from terralex.sources.collection_store import CollectionStore, Conflict, last_per_id
 
@@ -106,3 +108,28 @@ def test_filters_know_every_id(spark):
 def test_last_per_id_of_rows_with_maps(spark):
     rows = spark.createDataFrame([("a", {"x": "1"}, [{"y": "2"}], 1), ("a", {"x": "1"}, [{"y": "2"}], 2), ("b", None, None, 3)], "point_id string, m map<string,string>, l array<map<string,string>>, n int")
     assert {r["point_id"]: r["n"] for r in last_per_id(rows, "n").collect()} == {"a": 2, "b": 3} and last_per_id(rows).count() == 2
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    """Shuffles of a write go with it, however long the driver keeps its objects; a stored table is not stored again."""
+    before = shuffle_files(spark)
+    kept = materialise(points(spark, 0, 50).repartition(3, "point_id"))
+    assert CollectionStore(spark, str(tmp_path / "c"), buckets=4).insert(kept, unique=True) == 50
+    deadline = time.monotonic() + 20
+    while shuffle_files(spark) > before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert materialise(kept) is kept and materialise(kept.where("v = 0")) is not kept
+
+
+def test_points_are_finished_where_they_are_written(spark, tmp_path):
+    first, second = (CollectionStore(spark, str(tmp_path / "c"), buckets=4) for _ in range(2))
+    assert first.insert(points(spark, 0, 20, 1)) == 20
+    made = second.insert(points(spark, 10, 30, 2), unique=True, finish=lambda rows: rows.select("point_id", (F.col("v") + 5).alias("v")))
+    assert made == 10
+    assert stored(second) == {f"p{i}": 1 if i < 20 else 7 for i in range(30)}
