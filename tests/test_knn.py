@@ -239,6 +239,33 @@ def test_queries_that_stand_in_the_collection_have_sure_floors(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 300
 
 
+def test_the_best_row_of_stored_vectors_is_found_without_all_pairs(spark, monkeypatch):
+    """Queries that ask for their own vector meet near vectors only, in no grid of cells, whatever the pairs; ids, ties
+    by rounded score and queries that stand in no row are brute force's."""
+    from terralex.operators import knn
+
+    base = np.random.default_rng(5).normal(size=(120, 6))
+    rows = [(f"r{n:04d}", (v * f).tolist()) for n, v in enumerate(base) for f in (1.0, 1.0, 2.0)]
+    rows += [(f"a{n:04d}", (v + 3e-8 * np.roll(v, 1)).tolist()) for n, v in enumerate(base[:60])]  # scores 1 when rounded
+    rows += [(f"b{n:04d}", (v + 0.01 * np.roll(v, 1)).tolist()) for n, v in enumerate(base[:60])]
+    asked = [(n, v) for n, (_, v) in enumerate(rows)]
+    collection = spark.createDataFrame([(f"{i}-{n}", v) for n, (i, v) in enumerate(rows)], "id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+    want = sorted(map(tuple, top_k(queries, collection, 1).collect()))
+    usual = knn._cells
+    monkeypatch.setattr(knn, "GRID_PAIRS", 0)
+    monkeypatch.setattr(knn, "NEAR_PAIRS", 7)
+    monkeypatch.setattr(knn, "_cells", lambda *_: 1 / 0)
+    assert sorted(map(tuple, top_k(queries, collection, 1).collect())) == want and len(want) == len(rows)
+    assert {r[1][0] for r in want[:180]} == {"a"}
+    monkeypatch.setattr(knn, "_cells", usual)
+    others = spark.createDataFrame([(1000 + n, np.roll(v, 2).tolist()) for n, v in enumerate(base[:50])], "query_id bigint, embedding array<double>")
+    both = queries.unionAll(others)
+    found = sorted(map(tuple, top_k(both, collection, 1).collect()))
+    monkeypatch.setattr(knn, "NEAR_ROWS", 0)  # too many vectors in a cell: the grid
+    assert sorted(map(tuple, top_k(both, collection, 1).collect())) == found and len(found) == len(rows) + 50
+
+
 def test_pairs_of_two_cells_are_bounded():
     """The longest task takes as long with more vectors: cells grow in number with the pairs."""
     from terralex.operators.knn import CELL_BYTES, CELL_PAIRS, _cells
