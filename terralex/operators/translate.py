@@ -122,14 +122,15 @@ def apply_translations(entities: DataFrame, translated: DataFrame, fields: Seque
 
 def translate_missing(
     entities: DataFrame, cache: DataFrame, make_translator: Callable[[], Translator], identity: TranslationIdentity,
-    fields: Sequence[str] = ("description",),
+    fields: Sequence[str] = ("description",), keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> tuple[DataFrame, DataFrame]:
-    """(translated entities, new cache records)."""
+    """(translated entities, new cache records). `keep` stores the steps; both results read what it stored."""
     keyed = keyed_texts(translation_candidates(entities, fields), identity)
     # Stored before use: every consumer reads the same texts, and the model sees each miss once.
-    fresh = materialise(translate_texts(cache_misses(keyed, cache), make_translator, identity))
+    fresh = keep(translate_texts(cache_misses(keyed, cache), make_translator, identity))
     known = cache.select("key", "text", "metadata").unionByName(fresh)
-    translated = keyed.select("id", "field", "key").join(known, "key")
+    # Stored too: the shuffles that bring texts to their keys are gone before those that bring them to the entities.
+    translated = keep(keyed.select("id", "field", "key").join(known, "key"))
     return apply_translations(entities, translated, fields), fresh
 
 

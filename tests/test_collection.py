@@ -175,3 +175,27 @@ def test_streams_are_safe_to_replay(spark, tmp_path):
 
 def test_progress_publishing():
     assert [logs.publish_every(n) for n in (1, 100, 101, 1000)] == [1, 1, 2, 10] and logs.publish_every(5, 3) == 3
+
+
+def test_a_load_in_parts_is_the_whole_load(spark, tmp_path, monkeypatch):
+    """Parts take whole buckets by turns, so a bucket gets one segment, and steps of a translation are removed."""
+    import os
+
+    from checks.collections import IDENTITY, META, Prefixing, make_grams
+    from terralex.plans import load_collection as plan
+    from terralex.schema import TRANSLATION
+
+    monkeypatch.setattr(plan, "PART_BYTES", 1)
+    rows = spark.range(60).select(
+        F.concat(F.lit("ns:doc"), "id").alias("id"), F.lit("landmark").alias("type"), F.struct(F.concat(F.lit("d"), "id").alias("en"), F.lit(None).cast("string").alias("vi")).alias("name"),
+        F.struct(F.concat(F.lit("text "), "id").alias("en"), F.lit(None).cast("string").alias("vi")).alias("description"))
+    rows = fail_on_errors(normalise_entities(rows))
+    store = CollectionStore(spark, str(tmp_path / "c"), buckets=8)
+    cache = spark.createDataFrame([], f"key string, text string, metadata {TRANSLATION.simpleString()}")
+    seen = []
+    outcome = build_translate_load(
+        lambda: (rows, {}), lambda r: plan.load_collection(r, store, make_grams, META, "v2.1"), Prefixing, cache, IDENTITY, save_cache=lambda c: seen.extend(c.inputFiles()) or seen.append(c.count()))
+    assert outcome["seed"]["upserted"] == 60 and store.manifest["version"] == 4 and seen[-1] == 60
+    assert all(len(names) == 1 for names in store.manifest["segments"].values())
+    assert {r["entity_id"]: r["description_vi"] for r in store.read().collect()} == {f"ns:doc{n}": f"VI text {n}" for n in range(60)}
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in seen[:-1])
